@@ -209,7 +209,8 @@ def invoice_check_off(model: Model) -> DataFrame:
     is_set = F.col("double_invoice_check").eqNullSafe(F.lit(True))
     support = rows.agg(
         F.count(F.when(is_set, 1)).alias("n_set"), F.count("*").alias("n_rows")
-    ).select(F.struct(F.col("n_set").cast("string"), F.col("n_rows").cast("string")))
+    ).select(F.struct(F.col("n_set").cast("string").alias("n_set"),
+                     F.col("n_rows").cast("string").alias("n_rows")))
     found = rows.filter(~is_set).withColumn("support", support.scalar())
     n_set, n_rows = F.col("support.n_set"), F.col("support.n_rows")
     return contract(
