@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgercheck.fixed import DATE_INITIALS
-
 
 def parse_date(text: Column) -> Column:
     """20260830, 2026-08-30 or 30.8.2026 to DATE.
@@ -14,18 +12,19 @@ def parse_date(text: Column) -> Column:
     Initial values are NULL, and so is a day the calendar does not have.
     """
     t = F.trim(text)
-    year_first = F.concat_ws("-", t.substr(1, 4), t.substr(5, 2), t.substr(7, 2))
-    parts = F.split(t, r"\.")
-    day_first = F.concat_ws(
-        "-", F.get(parts, 2), F.lpad(F.get(parts, 1), 2, "0"), F.lpad(F.get(parts, 0), 2, "0")
-    )
+    day, year = F.substring_index(t, ".", 1), F.substring_index(t, ".", -1)
+    month = F.substring_index(F.substring_index(t, ".", 2), ".", -1)
+    compact = F.concat_ws("-", F.left(t, F.lit(4)), F.substring(t, 5, 2), F.substring(t, 7, 2))
+    dashed = (F.substring(t, 5, 1) == "-") & (F.substring(t, 8, 1) == "-")
     iso = (
-        F.when(t.isin(*DATE_INITIALS), F.lit(None).cast("string"))
-        .when(t.rlike(r"^[0-9]{8}\z"), year_first)
-        .when(t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), t)
-        .when(t.rlike(r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}\z"), day_first)
+        F.when(F.contains(t, F.lit(".")), F.when(
+            (F.length(year) == 4) & (F.concat_ws(".", day, month, year) == t),
+            F.concat_ws("-", year, month, day)))
+        .when((F.length(t) == 8), compact)
+        .when((F.length(t) == 10) & dashed, t)
     )
-    return iso.try_cast("date")
+    # the cast knows the calendar; the pattern keeps out what else it would accept
+    return F.when(t.rlike(r"^[0-9.-]{8,10}\z"), iso.try_cast("date"))
 
 
 def date_text(day: Column) -> Column:

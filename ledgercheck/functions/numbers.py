@@ -2,12 +2,15 @@
 
 A number is read in steps, each a thin layer of columns over the one before:
 
-    clean      digits and separators, without sign and blanks ('' if not a number)
+    bare       the text without sign and blanks
+    shape      how many separators it has, and what follows the last ones
     separator  the character that starts the decimals ('' none, NULL undecidable)
     literal    a plain number text with a dot
 
 `parse_columns` keeps the layers apart as projections.  Nested into one expression the
 same steps would be repeated in every branch and outgrow what code generation can take.
+The steps are plain string functions; one pattern per value decides at the end whether
+the literal is a number.
 """
 
 from __future__ import annotations
@@ -17,100 +20,88 @@ from pyspark.sql import functions as F
 
 SCALES = {"amount": (15, 2), "percent": (5, 3)}
 
-_ONE_SIGN = r"(?s)^(.*?) *[+-]\z|^[+-] *(.*)\z"
-_NUMBER = r"^(?=.*[0-9])[0-9.,]+\z"
-
-
-def _last_of_both(mark: str, other: str) -> str:
-    """Both characters occur and `mark` is the later one."""
-    return rf"[0-9{mark}]*{other}[0-9.,]*{mark}[0-9]*"
-
-
-def _once(mark: str, digits: str) -> str:
-    """`mark` is the only separator, with so many digits behind it."""
-    return rf"[0-9]*{mark}{digits}"
-
-
-def _several(mark: str) -> str:
-    return rf"[0-9]*(?:{mark}[0-9]*){{2,}}"
-
-
-def _any_of(*patterns: str) -> str:
-    return "^(?:" + "|".join(patterns) + r")\z"
-
-
-_DOT, _COMMA = r"\.", ","
-_NOT_THREE = "(?:[0-9]{0,2}|[0-9]{4,})"
-_DECIMAL_DOT = _any_of(_last_of_both(_DOT, _COMMA), _once(_DOT, _NOT_THREE))
-_DECIMAL_COMMA = _any_of(_last_of_both(_COMMA, _DOT), _once(_COMMA, _NOT_THREE))
-_UNDECIDED_DOT = _any_of(_once(_DOT, "[0-9]{3}"))
-_UNDECIDED_COMMA = _any_of(_once(_COMMA, "[0-9]{3}"))
-_PROVES_ISO = _any_of(_last_of_both(_DOT, _COMMA), _once(_DOT, "[0-9]{1,2}"), _several(_COMMA))
-_PROVES_DE = _any_of(_last_of_both(_COMMA, _DOT), _once(_COMMA, "[0-9]{1,2}"), _several(_DOT))
+_PLAIN = r"^[0-9]+(\.[0-9]+)?\z"
 
 
 def sign(text: Column) -> Column:
     """'-' for a negative number; a sign at the end counts before one at the start."""
-    return F.when(F.trim(text).rlike(r"(?s)-\z|^-(?!.*\+\z)"), F.lit("-")).otherwise(F.lit(""))
+    t = F.trim(text)
+    minus = t.endswith("-") | (t.startswith("-") & ~t.endswith("+"))
+    return F.when(minus, F.lit("-")).otherwise(F.lit(""))
 
 
 def body(text: Column) -> Column:
-    """The text without its one sign."""
-    return F.regexp_replace(F.trim(text), _ONE_SIGN, "$1$2")
+    """The text without its one sign and without blanks between the digits."""
+    t = F.trim(text)
+    bare = (
+        F.when(t.endswith("-") | t.endswith("+"), F.left(t, F.length(t) - 1))
+        .when(t.startswith("-") | t.startswith("+"), F.substring(t, 2, 1 << 30))
+        .otherwise(t)
+    )
+    return F.replace(bare, F.lit(" "), F.lit(""))
+
 
+def _count(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
 
-def _packed(text: Column) -> Column:
-    return F.replace(body(text), F.lit(" "), F.lit(""))
 
+def _behind_last(text: Column, mark: str) -> Column:
+    return F.length(F.substring_index(text, mark, -1))
 
-def clean(text: Column) -> Column:
-    """Digits and separators; '' when another character or no digit is there."""
-    return F.regexp_extract(_packed(text), _NUMBER, 0)
 
+def shape(bare: Column) -> Column:
+    """Dots, commas, and the characters behind the last of each."""
+    return F.struct(
+        _count(bare, ".").alias("dots"), _count(bare, ",").alias("commas"),
+        _behind_last(bare, ".").alias("after_dot"), _behind_last(bare, ",").alias("after_comma"),
+    )
 
-def decimal_separator(cleaned: Column, notation: Column) -> Column:
-    """Which character starts the decimals of an amount.
+
+def decimal_separator(s: Column, notation: Column) -> Column:
+    """Which character starts the decimals of an amount, from its shape.
 
     Both characters: the later one.  One character, several times: it groups thousands.
     One character once with exactly three digits behind it: only the notation of the
     file ('de' or 'iso') can tell, and without one the value stays undecided.
     """
+    dots, commas = s["dots"], s["commas"]
     return (
-        F.when(cleaned == "", F.lit(None).cast("string"))
-        .when(cleaned.rlike(_DECIMAL_COMMA), F.lit(","))
-        .when(cleaned.rlike(_DECIMAL_DOT), F.lit("."))
-        .when(cleaned.rlike(_UNDECIDED_DOT),
-              F.when(notation == "iso", F.lit(".")).when(notation == "de", F.lit("")))
-        .when(cleaned.rlike(_UNDECIDED_COMMA),
-              F.when(notation == "de", F.lit(",")).when(notation == "iso", F.lit("")))
-        .otherwise(F.lit(""))
+        F.when((dots > 0) & (commas > 0),
+               F.when(s["after_dot"] < s["after_comma"], F.lit(".")).otherwise(F.lit(",")))
+        .when(dots + commas != 1, F.lit(""))
+        .when((dots == 1) & (s["after_dot"] != 3), F.lit("."))
+        .when((commas == 1) & (s["after_comma"] != 3), F.lit(","))
+        .when(notation == "iso", F.when(dots == 1, F.lit(".")).otherwise(F.lit("")))
+        .when(notation == "de", F.when(commas == 1, F.lit(",")).otherwise(F.lit("")))
     )
 
 
-def percent_separator(cleaned: Column) -> Column:
+def percent_separator(s: Column) -> Column:
     """A percentage has no thousands: one separator is the decimal one, more are an error."""
     return (
-        F.when(cleaned.rlike(_any_of(_once(_COMMA, "[0-9]*"))), F.lit(","))
-        .when(cleaned.rlike(_any_of(_once(_DOT, "[0-9]*"))), F.lit("."))
-        .when(cleaned.rlike(r"^[0-9]+\z"), F.lit(""))
+        F.when(s["dots"] + s["commas"] == 0, F.lit(""))
+        .when(s["dots"] + s["commas"] > 1, F.lit(None).cast("string"))
+        .when(s["dots"] == 1, F.lit(".")).otherwise(F.lit(","))
     )
 
 
-def dotted(cleaned: Column, separator: Column) -> Column:
-    """The number with a dot for its decimals and without thousands."""
-    return (
-        F.when(separator == "", F.translate(cleaned, ".,", ""))
-        .when(separator == ".", F.replace(cleaned, F.lit(","), F.lit("")))
-        .when(separator == ",", F.translate(F.replace(cleaned, F.lit("."), F.lit("")), ",", "."))
+def dotted(bare: Column, separator: Column) -> Column:
+    """The number with a dot for its decimals and without thousands; NULL without a digit."""
+    no_dots = F.replace(bare, F.lit("."), F.lit(""))
+    kept = (
+        F.when(separator == "", F.replace(no_dots, F.lit(","), F.lit("")))
+        .when(separator == ".", F.replace(bare, F.lit(","), F.lit("")))
+        .when(separator == ",", F.replace(no_dots, F.lit(","), F.lit(".")))
     )
+    return F.nullif(F.nullif(kept, F.lit("")), F.lit("."))
 
 
 def literal(kept: Column) -> Column:
-    """Complete number text: '.5' becomes '0.5', '1.' becomes '1'."""
-    whole = F.substring_index(kept, ".", 1)
-    filled = F.when(whole == "", F.concat(F.lit("0"), kept)).otherwise(kept)
-    ends_in_its_only_dot = F.length(kept) - F.length(whole) == 1
-    return F.when(ends_in_its_only_dot, F.substring_index(filled, ".", 1)).otherwise(filled)
+    """Complete number text: '.5' becomes '0.5', '1.' becomes '1'; NULL if it is no number."""
+    filled = F.when(kept.startswith("."), F.concat(F.lit("0"), kept)).otherwise(kept)
+    only_dot_last = kept.endswith(".") & (F.instr(kept, ".") == F.length(kept))
+    complete = F.when(only_dot_last, F.substring_index(kept, ".", 1)).otherwise(filled)
+    return complete
 
 
 def fits(lit: Column, digits: int, decimals: int) -> Column:
@@ -129,7 +120,7 @@ def typed(signed: Column, lit: Column, kind: str) -> Column:
     """The decimal of a sign and a literal, NULL when it does not fit without loss."""
     digits, decimals = SCALES[kind]
     number = F.concat(signed, lit).try_cast(f"decimal({digits},{decimals})")
-    return F.when(fits(lit, digits, decimals), number)
+    return F.when(fits(lit, digits, decimals) & lit.rlike(_PLAIN), number)
 
 
 def parse_integer(text: Column) -> Column:
@@ -143,32 +134,50 @@ def parse_columns(df: DataFrame, kinds: dict[str, str], notation: Column) -> Dat
     names = [name for name, kind in kinds.items() if kind in SCALES]
     if not names:
         return df
+    kept = df.columns
 
     def layer(step: str, build) -> dict[str, Column]:
         return {f"{n}__{step}": build(n) for n in names}
 
-    df = df.withColumns(layer("clean", lambda n: clean(F.col(n))))
+    df = df.withColumns(layer("bare", lambda n: body(F.col(n))))
+    df = df.withColumns(layer("shape", lambda n: shape(F.col(f"{n}__bare"))))
     df = df.withColumns(layer("sep", lambda n: (
-        decimal_separator(F.col(f"{n}__clean"), notation)
-        if kinds[n] == "amount" else percent_separator(F.col(f"{n}__clean"))
+        decimal_separator(F.col(f"{n}__shape"), notation)
+        if kinds[n] == "amount" else percent_separator(F.col(f"{n}__shape"))
     )))
     df = df.withColumns(
-        layer("dotted", lambda n: dotted(F.col(f"{n}__clean"), F.col(f"{n}__sep")))
+        layer("dotted", lambda n: dotted(F.col(f"{n}__bare"), F.col(f"{n}__sep")))
     )
     df = df.withColumns(layer("lit", lambda n: literal(F.col(f"{n}__dotted"))))
-    df = df.withColumns(
-        layer("typed", lambda n: typed(sign(F.col(n)), F.col(f"{n}__lit"), kinds[n]))
+    return df.select(*kept, *[
+        typed(sign(F.col(n)), F.col(f"{n}__lit"), kinds[n]).alias(f"{n}__typed") for n in names
+    ])
+
+
+def _proof(bare: Column, s: Column) -> Column:
+    """What the shape of one amount proves: 'de', 'iso', or NULL for nothing."""
+    dots, commas = s["dots"], s["commas"]
+    decimal = (
+        F.when((dots > 0) & (commas > 0),
+               F.when(s["after_dot"] < s["after_comma"], F.lit("iso")).otherwise(F.lit("de")))
+        .when(dots > 1, F.lit("de")).when(commas > 1, F.lit("iso"))
+        .when((dots == 1) & s["after_dot"].between(1, 2), F.lit("iso"))
+        .when((commas == 1) & s["after_comma"].between(1, 2), F.lit("de"))
     )
-    steps = ("clean", "sep", "dotted", "lit")
-    return df.drop(*[f"{n}__{step}" for n in names for step in steps])
+    return F.when(decimal.isNotNull() & bare.rlike(r"^[0-9.,]+\z"), decimal)
+
+
+def notations(df: DataFrame, names: list[str]) -> DataFrame:
+    """Replace amount texts by the notation each one proves."""
+    bare = df.select(*[body(F.col(n)).alias(n) for n in names])
+    shaped = bare.select(*names, *[shape(F.col(n)).alias(f"{n}__shape") for n in names])
+    return shaped.select(*[_proof(F.col(n), F.col(f"{n}__shape")).alias(n) for n in names])
 
 
 def value_notation(text: Column) -> Column:
     """What one amount proves about its file: 'de', 'iso', or NULL for nothing."""
-    packed = _packed(text)
-    return F.when(packed.rlike(_PROVES_DE), F.lit("de")).when(
-        packed.rlike(_PROVES_ISO), F.lit("iso")
-    )
+    bare = body(text)
+    return _proof(bare, shape(bare))
 
 
 def group_digits(digits: Column) -> Column:

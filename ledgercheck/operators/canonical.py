@@ -20,6 +20,7 @@ from ledgercheck import fixed
 from ledgercheck.functions import bank, text
 from ledgercheck.operators.staging import REASON, ROW_NO
 from ledgercheck.schema import CANONICAL, PRIMARY_KEYS, CanonicalColumn
+from ledgercheck.session import at_once
 from ledgercheck.sources.mapping import EXPORT_TABLES, SOURCE_ORDER, TAX_FIELDS, ExportTable
 
 SOURCE = "_source"
@@ -377,7 +378,8 @@ def build_canonical(
     if keys is not None:
         keys = settle(keys, "scope-keys")
     ordered = [n for n in SOURCE_ORDER if n in staged]
-    for target in CANONICAL:
+
+    def build(target: str) -> None:
         names = [
             n for n in ordered
             if EXPORT_TABLES[n].main_target == target
@@ -387,7 +389,7 @@ def build_canonical(
                 if EXPORT_TABLES[n].role is None or EXPORT_TABLES[n].role in scope.roles]
         model.skipped[target] = [n for n in names if n not in used]
         if not used:
-            continue
+            return
         parts = []
         for name in used:
             spec = EXPORT_TABLES[name]
@@ -402,6 +404,11 @@ def build_canonical(
         if target in PRIMARY_KEYS:
             rows = mark_duplicates(rows, PRIMARY_KEYS[target], used, target, settle)
         model.checked[target] = settle(rows, target)
+
+    # partners first: every other table asks for them
+    build("business_partner")
+    at_once(build, [t for t in CANONICAL if t != "business_partner"])
+    model.checked = {t: model.checked[t] for t in CANONICAL if t in model.checked}
     return model
 
 

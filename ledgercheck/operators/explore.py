@@ -188,9 +188,10 @@ def by_category(findings: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(F.struct((-F.col("amount")).alias("a"), "currency"))),
             lambda x: x["currency"]).alias("order")
     ).scalar()
-    return counts.join(per_category, "category", "left").withColumn("sort_key", F.transform(
-        order, lambda c: -F.coalesce(F.try_element_at(F.col("totals"), c), F.lit(0))
-    ))
+    joined = counts.join(per_category, "category", "left").withColumn("order", order)
+    return joined.withColumn("sort_key", F.transform(
+        "order", lambda c: -F.coalesce(F.try_element_at(F.col("totals"), c), F.lit(0))
+    )).drop("order")
 
 
 def ordered_categories(findings: DataFrame) -> DataFrame:
@@ -224,7 +225,7 @@ def match_reasons(evidence: Column) -> Column:
     model = F.filter(evidence, lambda e: e["source_type"] == "model")
     words = F.flatten(F.transform(
         model, lambda e: F.split(F.coalesce(e["value"], F.lit("")), ",")))
-    return F.filter(F.transform(words, F.trim), lambda w: w != "")
+    return F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: w != "")
 
 
 def match_note(evidence: Column) -> Column:

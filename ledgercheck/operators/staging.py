@@ -27,11 +27,12 @@ NOTATIONS = ("de", "iso")
 
 def column_notations(raw: DataFrame, columns: list[str]) -> DataFrame:
     """One row: per amount column 'de', 'iso', or NULL when its values are silent or disagree."""
-    seen = raw.agg(*[
-        F.collect_set(numbers.value_notation(F.col(c))).alias(c) for c in columns
+    seen = numbers.notations(raw, columns).agg(*[
+        agg for c in columns for agg in (F.min(c).alias(f"{c}__low"), F.max(c).alias(f"{c}__high"))
     ])
     return seen.select(*[
-        F.when(F.size(c) == 1, F.get(F.col(c), F.lit(0))).alias(c) for c in columns
+        F.when(F.col(f"{c}__low") == F.col(f"{c}__high"), F.col(f"{c}__low")).alias(c)
+        for c in columns
     ])
 
 
@@ -153,13 +154,13 @@ def _typed(df: DataFrame, spec: ExportTable, columns: list[str]) -> DataFrame:
         known = F.coalesce(F.trim("SHKZG"), F.lit("")).isin("S", "H")
         reasons.append(F.when(~known, F.lit(REJECT_DEBIT_CREDIT)))
     reason = F.coalesce(*reasons) if reasons else F.lit(None).cast("string")
-    derived = _derived(columns)
-    return df.select(
+    return df.withColumn(REASON, reason).select(
         ROW_NO,
         *[(F.col(f"{c}__typed") if c in typed else F.col(c)).alias(c) for c in columns],
-        *[expr.alias(name) for name, expr in derived.items()],
-        reason.alias(REASON),
-        F.when(reason.isNotNull(), text.excerpt([F.col(c) for c in columns])).alias(EXCERPT),
+        *[expr.alias(name) for name, expr in _derived(columns).items()],
+        REASON,
+        F.when(F.col(REASON).isNotNull(), text.excerpt([F.col(c) for c in columns]))
+        .alias(EXCERPT),
     )
 
 

@@ -7,8 +7,6 @@ are written a second time, independently, in the oracle SQL.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +19,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, when a file has fewer splits than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _numbered(df: DataFrame, number: str) -> DataFrame:
     """A row number that follows from the row itself; exports in files get their line."""
     return df.withColumn(ROW_NO, F.expr(number).cast("bigint"))
@@ -75,7 +79,7 @@ def partners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vat() -> tuple[Column, Column]:
-    """First match wins: no prefix, too short, foreign prefix, else the national form."""
+    """First match wins: no, short, foreign or unknown prefix, else the national form."""
     prefix = F.expr(
         "CASE WHEN side = 'V' AND k % 10 = 0 THEN 'DE' "
         "WHEN country = 'GR' THEN 'EL' ELSE country END"
@@ -92,6 +96,7 @@ def _vat() -> tuple[Column, Column]:
         .when(F.expr("k % 37 = 6"), F.concat("vat_prefix", F.left("n9", F.lit(5))))
         .when(F.expr("k % 31 = 8"), F.expr(
             "CASE WHEN country = 'DE' THEN concat('ATU', left(n9, 8)) ELSE concat('DE', n9) END"))
+        .when(F.expr("k % 61 = 10"), F.concat(F.lit("XX"), F.col("n9")))
         .when(F.expr("k % 5 = 0"), F.concat("vat_prefix", F.lit(" "), national))
         .otherwise(F.concat("vat_prefix", national))
     )
@@ -163,7 +168,7 @@ def _german(amount: str) -> str:
 
 def _customer_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        _read(spark, sf_dir, "orders")
+        _spread(_read(spark, sf_dir, "orders"))
         .selectExpr(
             "o_orderkey AS n", "o_orderstatus AS status", "to_date(o_orderdate) AS day",
             "CAST(o_totalprice AS DECIMAL(15,2)) AS amount",
@@ -198,7 +203,7 @@ def _customer_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vendor_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        _read(spark, sf_dir, "lineitem")
+        _spread(_read(spark, sf_dir, "lineitem"))
         .selectExpr(
             "l_orderkey AS n", "l_linenumber AS line", "l_linestatus AS status",
             "CAST(l_quantity AS INT) AS quantity", "to_date(l_shipdate) AS day",
@@ -276,14 +281,3 @@ def raw_exports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "BSIK": ap.filter("open").drop("open"),
         "BSAK": ap.filter("NOT open").drop("open"),
     }
-
-
-def events_as_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event stream as a log of reviewer clicks (who, when, what)."""
-    return _read(spark, sf_dir, "events").selectExpr(
-        "event_id", "ts AS at", "CAST(user_id AS STRING) AS by", "event_type", "value"
-    )
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

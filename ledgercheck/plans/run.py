@@ -24,24 +24,38 @@ from ledgercheck.operators.canonical import (
     unknown_vat_prefixes,
 )
 from ledgercheck.operators.staging import Staged, control_totals, stage, stage_counts
-from ledgercheck.session import tune, work_folder
+from ledgercheck.session import at_once, tune, work_folder
 from ledgercheck.sources import documents
 from ledgercheck.sources.files import Export, read_exports
 from ledgercheck.sources.mapping import EXPORT_TABLES
 
 
-def settler(spark: SparkSession, folder: str) -> Settle:
+@dataclass(frozen=True)
+class Settler:
     """Write an intermediate table and read it back.
 
     This cuts the lineage, survives lost executors, and gives the planner the true size
     of what it joins.
     """
-    def settle(df: DataFrame, name: str) -> DataFrame:
-        path = f"{folder}/{name}"
+
+    spark: SparkSession
+    folder: str
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
         df.write.mode("overwrite").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
-    return settle
+    def by_rule(self, parts: dict[str, DataFrame], name: str) -> DataFrame:
+        """One table of the results of several rules, a folder per rule."""
+        def write(item: tuple[str, DataFrame]) -> None:
+            rule_id, df = item
+            df.drop("rule_id").write.mode("overwrite").parquet(
+                f"{self.folder}/{name}/rule_id={rule_id}")
+
+        at_once(write, parts.items())
+        schema = next(iter(parts.values())).schema
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
 
 
 @dataclass
@@ -69,12 +83,16 @@ def prepare(
 ) -> Prepared:
     """Stage the raw exports, build the canonical tables and the relevance of partners."""
     scope = scope or Scope()
-    staged = {}
-    for name in sorted(raw):
-        if name in EXPORT_TABLES:
-            part = stage(raw[name], name, notation)
-            part.typed = settle(part.typed, f"staged-{name}")
-            staged[name] = part
+
+    def one(name: str) -> Staged:
+        part = stage(raw[name], name, notation)
+        part.typed = settle(part.typed, f"staged-{name}")
+        return part
+
+    # the large exports first, so that none of them is left for the end
+    names = sorted((n for n in raw if n in EXPORT_TABLES),
+                   key=lambda n: (EXPORT_TABLES[n].target != "fi_item", n))
+    staged = dict(sorted(zip(names, at_once(one, names), strict=True)))
     rows = {name: part.rows for name, part in staged.items()}
     canonical = build_canonical(rows, scope, settle)
     tables = canonical.tables()
@@ -108,6 +126,18 @@ def run_id(
     return f"{as_of.isoformat()}-{digest[:8]}"
 
 
+def check_all(
+    model: Model, results: dict[str, DataFrame], ctx: findings.RunContext, settle: Settler,
+    rules: list[Rule] = RULES,
+) -> DataFrame:
+    """Finding documents of all check results, enriched in one join for all rules."""
+    by_id = {rule.id: rule for rule in rules}
+    hits = settle.by_rule(
+        {rule_id: findings.with_rule(df, by_id[rule_id]) for rule_id, df in results.items()},
+        "hits")
+    return findings.to_documents(findings.enriched(hits, model), ctx, model.as_of)
+
+
 @dataclass
 class RunResult:
     """The tables of a finished run, read back from where they were written."""
@@ -152,16 +182,14 @@ def execute(
     stamp = spark.range(1).select(dates.utc_stamp_text(F.lit(created_at)).alias("t")).first()["t"]
     if stamp is None:
         raise ValueError(f"created_at {created_at!r} is not a time in UTC")
-    settle = settler(spark, work_folder(spark, "run"))
+    settle = Settler(spark, work_folder(spark, "run"))
     exports, raw = read_exports(spark, input_folder, settle)
     prepared = prepare(raw, settle, scope, data_as_of, notation, thresholds)
     name = run_id(exports, scope, prepared.as_of, notation, memory_hash)
     ctx = findings.RunContext(name, stamp)
 
     results, skipped = findings.run_rules(prepared.model, rules)
-    found = findings.to_documents(
-        findings.enriched(findings.union_rules(results, rules), prepared.model), ctx,
-        prepared.model.as_of)
+    found = check_all(prepared.model, results, ctx, settle, rules)
     if memory is not None:
         applied = decisions.apply_memory(found.drop("finding_key", "problem"), memory)
         keys = found.select("finding_id", "finding_key", "problem")
@@ -191,8 +219,7 @@ def execute(
         "finding_keys": found.select("finding_id", "finding_key"),
         **{f"canonical/{t}": df for t, df in prepared.model.tables.items()},
     }
-    for table, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{out}/{table}")
+    at_once(lambda t: tables[t].write.mode("overwrite").parquet(f"{out}/{t}"), tables)
     written = {t: spark.read.parquet(f"{out}/{t}") for t in tables}
     summary = report.run_totals(written["stage_counts"], written["canonical_counts"], found,
                                 written["rule_outcomes"])

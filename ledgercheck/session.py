@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -15,8 +17,18 @@ PLAN_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # HotSpot never compiles a longer method: such a stage runs operator by operator
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+JOBS_AT_ONCE = 8
+
+
+def at_once(work: Callable, jobs: Iterable) -> list:
+    """Results of `work` for every job; Spark fills its cores from several plans at a time."""
+    with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
+        return list(pool.map(work, jobs))
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the plan settings to a running session."""

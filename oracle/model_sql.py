@@ -41,7 +41,7 @@ business_partner AS (
                 THEN 'V:' || lpad((k - 1)::VARCHAR, 10, '0') END AS alt_payer_key,
            (SELECT min('prio' || left(o.o_orderpriority, 1) || '.' || o.o_custkey
                        || '@example.com')
-            FROM orders o WHERE o.o_custkey = k AND side = 'C') AS customer_email, k, side
+            FROM orders o WHERE o.o_custkey = k) AS email, k, side
     FROM derived
 ),
 vat_parts AS (
@@ -58,6 +58,7 @@ bp_tax_id AS (
             WHEN k % 37 = 6 THEN p || left(n9, 5)
             WHEN k % 31 = 8 THEN CASE WHEN country = 'DE' THEN 'ATU' || left(n9, 8)
                                       ELSE 'DE' || n9 END
+            WHEN k % 61 = 10 THEN 'XX' || n9
             ELSE p || CASE WHEN k % 5 = 0 THEN ' ' ELSE '' END || CASE p
                 WHEN 'AT' THEN 'U' || left(n9, 8) WHEN 'FR' THEN '12' || n9
                 WHEN 'IT' THEN '01' || n9 WHEN 'NL' THEN n9 || 'B01' WHEN 'PL' THEN '5' || n9
