@@ -283,13 +283,21 @@ def _project(spec: ExportTable, df: DataFrame) -> DataFrame:
     return projected.withColumn(REASON, reason).drop(_AMBIGUOUS)
 
 
-def mark_orphans(rows: DataFrame, partners: DataFrame, settle: Settle, name: str) -> DataFrame:
+def orphan_keys(rows: DataFrame, partners: DataFrame) -> DataFrame:
+    """Partner keys of rows that no partner has."""
+    return rows.filter(F.col("bp_key").isNotNull()).select("bp_key").distinct().join(
+        partners.select("bp_key"), "bp_key", "left_anti"
+    )
+
+
+def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys more than one row has, over all sources."""
+    return rows.select(*keys).dropna().groupBy(*keys).count().filter("count > 1").drop("count")
+
+
+def mark_orphans(rows: DataFrame, orphans: DataFrame) -> DataFrame:
     """Add a reason to rows whose partner is not in the model."""
-    orphans = settle(
-        rows.filter(F.col("bp_key").isNotNull()).select("bp_key").distinct()
-        .join(partners.select("bp_key"), "bp_key", "left_anti"),
-        f"{name}-orphans",
-    ).withColumn("_orphan", F.lit(True))
+    orphans = orphans.withColumn("_orphan", F.lit(True))
     before, after = fixed.REJECT_ORPHAN
     reason = F.when(F.col("_orphan"), F.concat(F.lit(before), F.col("bp_key"), F.lit(after)))
     return (
@@ -300,19 +308,15 @@ def mark_orphans(rows: DataFrame, partners: DataFrame, settle: Settle, name: str
 
 
 def mark_duplicates(
-    rows: DataFrame, keys: tuple[str, ...], sources: list[str], target: str, settle: Settle
+    rows: DataFrame, keys: list[str], twice: DataFrame, sources: list[str], target: str,
+    settle: Settle,
 ) -> DataFrame:
     """Add a reason to rows whose key is used twice.
 
     Within one source no row wins.  Over several sources the earlier one keeps a key it
     holds with exactly one sound row.
     """
-    keys = list(keys)
-    complete = rows.dropna(subset=keys)
-    twice = settle(
-        complete.groupBy(*keys).count().filter("count > 1").drop("count"), f"{target}-twice"
-    )
-    counts = complete.join(twice, keys, "left_semi").groupBy(*keys).agg(*[
+    counts = rows.join(twice, keys, "left_semi").groupBy(*keys).agg(*[
         agg
         for i, s in enumerate(sources)
         for agg in (
@@ -399,10 +403,18 @@ def build_canonical(
                 df = in_scope(_with_lookups(spec, staged), spec, scope, keys)
                 parts.append(_project(spec, df))
         rows = reduce(DataFrame.unionByName, parts)
+        key = list(PRIMARY_KEYS.get(target, ()))
+        asked = {}
         if target != "business_partner" and "bp_key" in rows.columns:
-            rows = mark_orphans(rows, model["business_partner"], settle, target)
-        if target in PRIMARY_KEYS:
-            rows = mark_duplicates(rows, PRIMARY_KEYS[target], used, target, settle)
+            asked["orphans"] = orphan_keys(rows, model["business_partner"])
+        if key:
+            asked["twice"] = repeated_keys(rows, key)
+        found = dict(zip(asked, at_once(
+            lambda name: settle(asked[name], f"{target}-{name}"), asked), strict=True))
+        if "orphans" in found:
+            rows = mark_orphans(rows, found["orphans"])
+        if "twice" in found:
+            rows = mark_duplicates(rows, key, found["twice"], used, target, settle)
         model.checked[target] = settle(rows, target)
 
     # partners first: every other table asks for them
