@@ -32,11 +32,11 @@ def numbered_in_group(
         "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_low")).alias("_shift")
     )
     indexed = placed.join(offsets, "_part").withColumn("_index", F.col("_place") + F.col("_shift"))
-    first = indexed.groupBy(*group).agg(F.min("_index").alias("_first"))
-    same = [indexed[c].eqNullSafe(first[c]) for c in group]
-    condition = same[0]
-    for part in same[1:]:
-        condition = condition & part
-    return indexed.join(first.select(*group, "_first"), condition).select(
-        *[indexed[c] for c in df.columns], (F.col("_index") - F.col("_first") + 1).alias("position")
+    first = indexed.groupBy(*[F.col(c).alias(f"_of_{c}") for c in group]).agg(
+        F.min("_index").alias("_first"))
+    same = F.lit(True)
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return indexed.join(first, same).select(
+        *df.columns, (F.col("_index") - F.col("_first") + 1).alias("position")
     )
