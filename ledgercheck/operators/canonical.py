@@ -356,7 +356,7 @@ def _tax_rows(spec: ExportTable, df: DataFrame) -> DataFrame:
         F.struct(F.lit(TAX_FIELDS[f]).alias("tax_id_type"), F.col(f).alias("value"),
                  F.col(f"{f}_norm").alias("value_norm"))
         for f in fields
-    ])
+    ]).cast("array<struct<tax_id_type:string,value:string,value_norm:string>>")
     return (
         df.select(F.lit(spec.name).alias(SOURCE), ROW_NO, _partner_key(spec).alias("bp_key"),
                   F.inline(entries))
@@ -404,17 +404,12 @@ def build_canonical(
                 parts.append(_project(spec, df))
         rows = reduce(DataFrame.unionByName, parts)
         key = list(PRIMARY_KEYS.get(target, ()))
-        asked = {}
+        twice = settle(repeated_keys(rows, key), f"{target}-twice") if key else None
         if target != "business_partner" and "bp_key" in rows.columns:
-            asked["orphans"] = orphan_keys(rows, model["business_partner"])
+            orphans = orphan_keys(rows, model["business_partner"])
+            rows = mark_orphans(rows, settle(orphans, f"{target}-orphans"))
         if key:
-            asked["twice"] = repeated_keys(rows, key)
-        found = dict(zip(asked, at_once(
-            lambda name: settle(asked[name], f"{target}-{name}"), asked), strict=True))
-        if "orphans" in found:
-            rows = mark_orphans(rows, found["orphans"])
-        if "twice" in found:
-            rows = mark_duplicates(rows, key, found["twice"], used, target, settle)
+            rows = mark_duplicates(rows, key, twice, used, target, settle)
         model.checked[target] = settle(rows, target)
 
     # partners first: every other table asks for them

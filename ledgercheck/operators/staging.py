@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -116,8 +117,15 @@ class Staged:
         )
 
 
-def stage(raw: DataFrame, table: str, fallback: str | None = None) -> Staged:
-    """Type one raw export.  All columns of `raw` are text, plus the row number."""
+def stage(
+    raw: DataFrame, table: str, settle: Callable[[DataFrame, str], DataFrame],
+    fallback: str | None = None,
+) -> Staged:
+    """Type one raw export.  All columns of `raw` are text, plus the row number.
+
+    The typed rows are settled: good rows and rejects are two filters over them, and a
+    filter pushed down through the typing would unfold all its layers into itself.
+    """
     if fallback is not None and fallback not in NOTATIONS:
         raise ValueError(f"unknown decimal notation {fallback!r}, allowed: {NOTATIONS}")
     spec = EXPORT_TABLES[table]
@@ -132,7 +140,7 @@ def stage(raw: DataFrame, table: str, fallback: str | None = None) -> Staged:
         df = df.withColumn("__notation", notation.select("notation").scalar())
     else:
         df = df.withColumn("__notation", F.lit(None).cast("string"))
-    df = _typed(df, spec, columns)
+    df = settle(_typed(df, spec, columns), f"staged-{table}")
     return Staged(table, df, notation, columns, missing_columns(spec, delivered))
 
 

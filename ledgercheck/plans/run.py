@@ -85,9 +85,7 @@ def prepare(
     scope = scope or Scope()
 
     def one(name: str) -> Staged:
-        part = stage(raw[name], name, notation)
-        part.typed = settle(part.typed, f"staged-{name}")
-        return part
+        return stage(raw[name], name, settle, notation)
 
     # the large exports first, so that none of them is left for the end
     names = sorted((n for n in raw if n in EXPORT_TABLES),
