@@ -457,7 +457,7 @@ _SEVERITY = "list_position(['low', 'medium', 'high', 'critical'], severity)"
 ORACLE["sorted_by_tier"] = with_findings(f"""
 SELECT finding_id, list_position(['A', 'B', 'C', 'decision'], tier)::BIGINT AS tier_rank,
        {_SEVERITY}::BIGINT AS severity_rank, 1::BIGINT AS status_rank
-FROM findings WHERE category <> 'leakage'""")
+FROM findings""")
 ORACLE["top_findings"] = with_findings(
     _BRIEF + f" WHERE impact_amount IS NOT NULL ORDER BY impact_amount DESC, {_SEVERITY} DESC, "
     "finding_id LIMIT 10")
