@@ -41,8 +41,7 @@ def near_texts(text: Column) -> Column:
 
 
 def paid_invoices(model: Model) -> DataFrame:
-    """Paid vendor invoices with a reference and a date."""
-    vendors = model["business_partner"].filter("role = 'VENDOR'").select("bp_key")
+    """Paid items of a vendor invoice type, with a reference and a date."""
     return (
         model["fi_item"]
         .filter((F.col("debit_credit") == "H") & ~F.col("is_open")
@@ -50,7 +49,6 @@ def paid_invoices(model: Model) -> DataFrame:
                 & F.col("reference_norm").isNotNull() & F.col("document_date").isNotNull())
         .select(*_SAME, "item_key", "company_code", "fiscal_year", "document_no", "reference",
                 "reference_norm", "document_date")
-        .join(vendors, "bp_key", "left_semi")
     )
 
 
@@ -129,8 +127,14 @@ def invoice_pairs(invoices: DataFrame) -> DataFrame:
 
 
 def double_payment(model: Model) -> DataFrame:
-    """Pairs of paid invoices that look like one invoice paid twice."""
-    pairs = invoice_pairs(not_netted(repeated_amounts(paid_invoices(model)), model))
+    """Pairs of paid invoices that look like one invoice paid twice.
+
+    Both invoices of a pair have one partner, so the role is asked of the pairs and not
+    of all invoices.
+    """
+    vendors = model["business_partner"].filter("role = 'VENDOR'").select("bp_key")
+    invoices = not_netted(repeated_amounts(paid_invoices(model)), model)
+    pairs = invoice_pairs(invoices).join(vendors, "bp_key", "left_semi")
     money = numbers.money(F.col("amount_doc"), F.col("currency"))
     gap = F.abs(F.datediff("a.document_date", "b.document_date")).cast("string")
 
