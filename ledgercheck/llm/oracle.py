@@ -31,3 +31,46 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
+
+ORACLE["op7_mixing"] = """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS key,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+  FROM documents),
+counts AS (SELECT key, count(*) AS n FROM docs GROUP BY key),
+roots AS (SELECT key, n, CAST(floor(sqrt(n)) AS BIGINT) AS root FROM counts),
+shares AS (SELECT key, n, greatest(1, 1000 * root // (SELECT sum(root) FROM roots)) AS share
+           FROM roots),
+numbered AS (SELECT key, share, n, row_number() OVER (ORDER BY key) AS i FROM shares),
+total AS (SELECT CAST(sum(share) AS BIGINT) AS q, list(share ORDER BY i) AS a FROM numbered),
+-- one slot at a time: of the released blocks the one due first
+sched(t, given, pick) AS (
+  SELECT CAST(-1 AS BIGINT), list_transform(a, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT)
+  FROM total
+  UNION ALL
+  SELECT t + 1, list_transform(given, lambda g, i: CASE WHEN i = p THEN g + 1 ELSE g END), p
+  FROM (
+    SELECT t, given, (
+      SELECT arg_min(i, due * 100000 + i) FROM (
+        SELECT i, ((given[i] + 1) * q + a[i] - 1) // a[i] AS due
+        FROM unnest(range(1, len(a) + 1)) AS u(i)
+        WHERE given[i] * q < (t + 2) * a[i])) AS p
+    FROM sched, total WHERE t + 1 < q)),
+plan AS (
+  SELECT key, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k
+  FROM sched JOIN numbered ON pick = i WHERE t >= 0),
+placed AS (
+  SELECT doc_id, source, key, share, n, h % ((n + 8191) // 8192) AS bucket, h
+  FROM docs JOIN shares USING (key)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY bucket, h, doc_id) - 1 AS r FROM placed),
+horizon AS (
+  SELECT min(blocks // share * q + slot) AS horizon
+  FROM (SELECT key, share, (n + 63) // 64 AS blocks FROM shares) s, total, plan
+  WHERE plan.key = s.key AND plan.k = blocks % share)
+SELECT doc_id, source, CAST(share AS BIGINT) AS share, q AS period, r // 64 AS block,
+       r // 64 // share * q + slot AS slot,
+       (r // 64 // share * q + slot) * 64 + r % 64 AS position,
+       r // 64 // share * q + slot < horizon AS in_mix
+FROM ranked JOIN plan ON plan.key = ranked.key AND plan.k = r // 64 % share, total, horizon
+"""

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgercheck.llm.common import table
+from ledgercheck.llm import langid, mixing, pii
+from ledgercheck.llm.common import learned, table
 from ledgercheck.llm.decontaminate import decontaminate
 from ledgercheck.session import tune
 
@@ -15,4 +17,23 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate,)}
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text")
+    return pii.find_pii(docs, pii.learn(docs)).select(
+        "row.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tune(spark), sf_dir, "documents")
+    model = langid.learn(docs.where(learned()).select("text", "lang"))
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "row.doc_id", (~learned("row.doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tune(spark), sf_dir, "documents")
+    return mixing.mix(docs, columns=["doc_id", "source"]).select(
+        "row.doc_id", "row.source", "share", "period", "block", "slot", "position", "in_mix")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_pii, op5_language, op7_mixing)}
