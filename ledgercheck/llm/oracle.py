@@ -74,3 +74,30 @@ SELECT doc_id, source, CAST(share AS BIGINT) AS share, q AS period, r // 64 AS b
        r // 64 // share * q + slot < horizon AS in_mix
 FROM ranked JOIN plan ON plan.key = ranked.key AND plan.k = r // 64 % share, total, horizon
 """
+
+# Words between ASCII white space, lower-cased A-Z.
+_SPACED = ("regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+           "'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')")
+
+ORACLE["op10_jaccard"] = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, {_SPACED.format('text')} AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM docs, unnest(range(1, len(w) - 3)) AS t(i) WHERE len(w) >= 5
+  UNION ALL
+  SELECT doc_id, array_to_string(w, ' ') FROM docs WHERE len(w) BETWEEN 1 AND 4),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach(a, b) AS (
+  SELECT doc_id, doc_id FROM docs
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT docs.doc_id, CAST(coalesce(sizes.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM docs LEFT JOIN sizes USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) m USING (doc_id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgercheck.llm import langid, mixing, pii
+from ledgercheck.llm import jaccard, langid, mixing, pii
 from ledgercheck.llm.common import learned, table
 from ledgercheck.llm.decontaminate import decontaminate
 from ledgercheck.session import tune
@@ -36,4 +36,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "row.source", "share", "period", "block", "slot", "position", "in_mix")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_pii, op5_language, op7_mixing)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text")
+    return jaccard.similarity_join(docs).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_pii, op5_language, op7_mixing,
+                                   op10_jaccard)}
