@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -115,3 +115,27 @@ def sized_broadcast(spark: SparkSession, value, n_bytes: int, bound: int, what:
     if n_bytes > bound:
         raise ValueError(f"{what}: {n_bytes} bytes exceed the broadcast bound of {bound}")
     return spark.sparkContext.broadcast(value)
+
+
+BITMAP_BITS = 1 << 26
+
+
+def bitmap_of(df: DataFrame, number: Column):
+    """Broadcast bitmap (8 MB at any size) of the low 26 bits of a whole number; null counts as 0.
+
+    It keeps most rows that a join would drop from being shuffled; the join itself decides."""
+    spot = F.coalesce(number, F.lit(0)).cast("long").bitwiseAND(F.lit(BITMAP_BITS - 1))
+    found = df.select(spot.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    # a bucket holds 32768 positions, from 1 on; position 0 has bucket 0 for itself
+    bits = np.zeros(BITMAP_BITS // 8 + 4096, np.uint8)
+    for b, blob in found:
+        part = np.frombuffer(blob, np.uint8)
+        bits[b * 4096:b * 4096 + len(part)] = part
+    return df.sparkSession.sparkContext.broadcast(bits)
+
+
+def in_bitmap(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    spot = numbers.astype(np.int64) & (BITMAP_BITS - 1)
+    at = np.where(spot > 0, spot + 32767, 0)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0

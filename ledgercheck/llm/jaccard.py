@@ -36,12 +36,12 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgercheck.llm.common import (fields, packed, scan_texts, settled, slices, string_buffers,
-                                    to_batch, unpacked)
+from ledgercheck.llm.common import (bitmap_of, fields, in_bitmap, packed, scan_texts, settled,
+                                    slices, string_buffers, to_batch, unpacked)
 from ledgercheck.llm.components import components
 from ledgercheck.llm.tokens import NOT_SPACE, Hasher, mix, windows, words
 
@@ -53,8 +53,6 @@ VERIFY = 4               # cost of comparing a posting's set, in postings
 BUCKET_POSTINGS = 2_000_000
 MAX_BUCKETS = 1 << 14
 FLUSH = 2_000_000        # postings a task packs at once
-NEED_BITS = 1 << 26      # bits of the filter on needed sets, 8 MB
-BITMAP_FIRST = 1 << 15   # place of position 1 in the bitmap functions' numbering
 
 
 def needed(s: int, t: int) -> int:
@@ -305,32 +303,16 @@ def needed_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """(node, shingles) of the sets named in `chosen` (node, doc_id: one row per set).
 
     A bitmap of fixed size keeps the others from being shuffled; the join decides."""
-    spot = F.col("node").bitwiseXOR(F.coalesce("doc_id", F.lit(-1))).bitwiseAND(
-        F.lit(NEED_BITS - 1))
-    bits = chosen.select(spot.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    # a bucket holds 32768 positions, from 1 on; position 0 has bucket 0 for itself
-    bitmap = np.zeros(NEED_BITS // 8 + 4096, np.uint8)
-    for b, blob in bits:
-        part = np.frombuffer(blob, np.uint8)
-        bitmap[b * 4096:b * 4096 + len(part)] = part
-    lookup = docs.sparkSession.sparkContext.broadcast(bitmap)  # 8 MB
+    lookup = bitmap_of(chosen, F.col("node").bitwiseXOR(F.coalesce("doc_id", F.lit(-1))))
     hasher = Hasher()
 
     def work(part: pa.RecordBatch) -> dict:
         sets = sets_of(part, hasher)
-        ids = part.column("doc_id").to_pylist()
-        out, bitmap = {"node": [], "doc_id": [], "shingles": []}, lookup.value
-        for own, doc in zip(sets, ids):
-            node = node_of(own)
-            if node is not None:
-                position = (node ^ (-1 if doc is None else doc)) & (NEED_BITS - 1)
-                at = BITMAP_FIRST + position - 1 if position else 0
-                if bitmap[at >> 3] >> (at & 7) & 1:
-                    out["node"].append(node)
-                    out["doc_id"].append(doc)
-                    out["shingles"].append(own.view(np.int64))
-        return out
+        nodes, ids = [node_of(x) for x in sets], part.column("doc_id").to_pylist()
+        spots = np.array([(n or 0) ^ (-1 if d is None else d) for n, d in zip(nodes, ids)])
+        chosen = [i for i in np.flatnonzero(in_bitmap(lookup.value, spots)) if len(sets[i])]
+        return {"node": [nodes[i] for i in chosen], "doc_id": [ids[i] for i in chosen],
+                "shingles": [sets[i].view(np.int64) for i in chosen]}
 
     kept = scan_texts(docs.select(F.col("doc_id").cast("long"), "text"), work,
                       fields("node long, doc_id long, shingles array<long>"))
@@ -424,8 +406,6 @@ def similarity_join(docs: DataFrame) -> DataFrame:
 
 def top_per_key(members: DataFrame, order, n: int) -> DataFrame:
     """The first n members of every key; a rank limit is applied before the shuffle."""
-    from pyspark.sql import Window
-
     return members.withColumn("_n", F.row_number().over(
         Window.partitionBy("key").orderBy(order))).where(F.col("_n") <= n).drop("_n")
 
@@ -446,8 +426,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = packed(docs)
     named = scan_texts(rows, name, fields("text string, node long", rows.schema["row"]))
     doc = F.col("row.doc_id").cast("long")
-    from pyspark.sql import Window
-
     kept = named.join(first, (F.col("node") == F.col("_node")) & doc.eqNullSafe(F.col("_doc"))) \
         .withColumn("_n", F.row_number().over(Window.partitionBy("_node", "_doc").orderBy("text"))) \
         .where("_n = 1").select("row", "text")

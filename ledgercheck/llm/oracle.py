@@ -101,3 +101,26 @@ SELECT docs.doc_id, CAST(coalesce(sizes.n, 0) AS BIGINT) AS n_shingles, m.compon
 FROM docs LEFT JOIN sizes USING (doc_id)
 JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) m USING (doc_id)
 """
+
+ORACLE["op9_repeats"] = """
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+wins AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS win
+  FROM docs, unnest(range(1, len(w) - 18)) AS t(i) WHERE len(w) >= 20),
+later AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM wins)
+  WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM later),
+spread AS (SELECT doc_id, k, w[k] AS word FROM docs, unnest(range(1, len(w) + 1)) AS t(k)),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text
+  FROM spread LEFT JOIN gone USING (doc_id, k) WHERE gone.doc_id IS NULL GROUP BY doc_id)
+SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+       CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM docs LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
+LEFT JOIN kept USING (doc_id)
+"""

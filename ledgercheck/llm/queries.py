@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgercheck.llm import jaccard, langid, mixing, pii
+from ledgercheck.llm import jaccard, langid, mixing, pii, repeats, urls
 from ledgercheck.llm.common import learned, table
 from ledgercheck.llm.decontaminate import decontaminate
 from ledgercheck.session import tune
@@ -30,16 +30,31 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", (~learned("row.doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+# fixed values: the rules of the query
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"),
+             ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
+             ("block", "com", "/de/")]
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(tune(spark), sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tune(spark), sf_dir, "documents")
     return mixing.mix(docs, columns=["doc_id", "source"]).select(
         "row.doc_id", "row.source", "share", "period", "block", "slot", "position", "in_mix")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs).drop("kept")
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text")
     return jaccard.similarity_join(docs).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_pii, op5_language, op7_mixing,
-                                   op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_pii, op5_language, op6_urls,
+                                   op7_mixing, op9_repeats, op10_jaccard)}
