@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgercheck.llm import jaccard, langid, mixing, pii, repeats, urls
+from ledgercheck.llm import (jaccard, langid, mixing, neighbours, pii, repeats, unigram, urls)
 from ledgercheck.llm.common import learned, table
 from ledgercheck.llm.decontaminate import decontaminate
 from ledgercheck.session import tune
@@ -17,6 +17,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(tune(spark), sf_dir, "embeddings")
+    return neighbours.search(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text")
     return pii.find_pii(docs, pii.learn(docs)).select(
@@ -46,6 +51,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "row.source", "share", "period", "block", "slot", "position", "in_mix")
 
 
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count_tokens(table(tune(spark), sf_dir, "documents"), VOCABULARY)
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text")
     return repeats.remove_repeats(docs).drop("kept")
@@ -56,5 +68,6 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_join(docs).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_pii, op5_language, op6_urls,
-                                   op7_mixing, op9_repeats, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (
+    op1_decontaminate, op2_neighbours, op3_pii, op5_language, op6_urls, op7_mixing, op8_tokens,
+    op9_repeats, op10_jaccard)}
