@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgercheck.llm import (jaccard, langid, mixing, neighbours, pii, repeats, unigram, urls)
+from ledgercheck.llm import (jaccard, langid, mixing, neighbours, pii, repeats, toxicity,
+                             unigram, urls)
 from ledgercheck.llm.common import learned, table
 from ledgercheck.llm.decontaminate import decontaminate
 from ledgercheck.session import tune
@@ -28,6 +29,15 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, docs.where(learned()), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "row.doc_id", (~learned("row.doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"), "nearest_cosine",
+        "nearest_toxic", "voters")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tune(spark), sf_dir, "documents")
     model = langid.learn(docs.where(learned()).select("text", "lang"))
@@ -69,5 +79,5 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_neighbours, op3_pii, op5_language, op6_urls, op7_mixing, op8_tokens,
-    op9_repeats, op10_jaccard)}
+    op1_decontaminate, op2_neighbours, op3_pii, op4_toxicity, op5_language, op6_urls,
+    op7_mixing, op8_tokens, op9_repeats, op10_jaccard)}
