@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -39,6 +39,21 @@ def learned(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 != 2, F.lit(True))
 
 
+def sample_by_hash(df: DataFrame, column: str, rows: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows with the `rows` lowest hashes of a column (per group of `by`), one per hash.
+
+    Only hashes are ranked; they are at most `rows` per group and tell which rows are fetched."""
+    h = F.xxhash64(column).alias("_h")
+    keys = df.select(*by, h).distinct()
+    if by:
+        order = Window.partitionBy(*by).orderBy("_h")
+        keys = keys.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows)
+    else:
+        keys = keys.orderBy("_h").limit(rows)
+    return df.withColumn("_h", F.xxhash64(column)).join(
+        F.broadcast(keys.select(*by, "_h")), [*by, "_h"]).dropDuplicates([*by, "_h"]).drop("_h")
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows and the offsets of each row; null is empty."""
     if isinstance(column, pa.ChunkedArray):

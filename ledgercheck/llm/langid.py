@@ -21,10 +21,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgercheck.llm.common import (fields, packed, scan_texts, sized_broadcast, string_buffers)
+from ledgercheck.llm.common import (fields, packed, sample_by_hash, scan_texts, sized_broadcast,
+                                    string_buffers)
 
 ROWS_PER_LANGUAGE = 600
 MAX_LANGUAGES = 256
@@ -127,11 +128,8 @@ def learn(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> dict:
         return out
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
-        "text", "lang", F.xxhash64("text").alias("_h"))
-    first = Window.partitionBy("lang").orderBy("_h", "text")
-    # kept small on each task before the shuffle, as a rank limit
-    sample = rows.withColumn("_n", F.row_number().over(first)).where(
-        F.col("_n") <= rows_per_language)
+        "text", "lang")
+    sample = sample_by_hash(rows, "text", rows_per_language, ("lang",))
     found = scan_texts(sample.select("text", "lang"), work,
                        fields("text string, lang string, at binary, value binary")) \
         .select("lang", "at", "value").collect()

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgercheck.llm.common import fields, settled, to_batch
+from ledgercheck.llm.common import fields, sample_by_hash, settled, to_batch
 
 K = 24
 SAMPLE = 20000
@@ -104,7 +104,7 @@ class Index:
     def __init__(self, vectors: DataFrame, k: int = K, sample: int = SAMPLE) -> None:
         spark = vectors.sparkSession
         rows = usable(vectors)
-        found = rows.orderBy(F.xxhash64("v"), "vec_id").limit(sample).select("v").collect()
+        found = sorted(sample_by_hash(rows.select("v"), "v", sample).collect())
         self.empty = not found
         if self.empty:
             return
@@ -186,7 +186,7 @@ class Index:
 
     def calibrate(self, recall: float, top: int, queries: int = CALIBRATION) -> float:
         """The least number of vectors the walk has to pass to meet `recall` of the neighbours."""
-        some = self.table.orderBy(F.xxhash64("v"), "vec_id").limit(queries).collect()
+        some = sorted(sample_by_hash(self.table, "v", queries).collect())
         ids = np.array([r["vec_id"] for r in some], np.int64)
         q = np.array([r["v"] for r in some])
         every = np.ones((len(q), len(self.sizes)), bool)

@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgercheck.llm.common import (fields, packed, scan_texts, sized_broadcast, string_buffers,
-                                    unpacked)
+from ledgercheck.llm.common import (fields, packed, sample_by_hash, scan_texts, sized_broadcast,
+                                    string_buffers, unpacked)
 from ledgercheck.llm.tokens import NOT_SPACE, Hasher, words
 
 KINDS = ("email", "ip", "card", "phone")
@@ -126,12 +126,22 @@ def keys_of(token: str) -> list[str]:
     return ["=" + digits] + (["~" + digits[-7:]] if len(digits) > 7 else ["~" + digits] * (len(digits) == 7))
 
 
+def barred(token: str) -> int:
+    """The label a token can't have: a card number that fails its check, an address beyond 255."""
+    digits = "".join(c for c in token if "0" <= c <= "9")
+    if len(digits) >= 16 and not (len(digits) <= 19 and luhn(digits)):
+        return 3
+    if (m := IP.search(token)) and any(int(x[-4:]) > 255 for x in m[0].split(".")):
+        return 2
+    return 0
+
+
 class Graph:
     """Candidate tokens of a few texts: nodes, chain edges, skip edges."""
 
     def __init__(self) -> None:
         self.row, self.start, self.end, self.label = [], [], [], []
-        self.features, self.chain, self.skip = [], [], []
+        self.barred, self.features, self.chain, self.skip = [], [], [], []
 
     def add(self, row: int, text: str, cuts: list[tuple[int, int]], spans) -> None:
         """`cuts`: whitespace-separated candidates as code points, in order."""
@@ -159,6 +169,7 @@ class Graph:
             self.start.append(lo)
             self.end.append(hi)
             self.label.append(label)
+            self.barred.append(0 if label else barred(token))
             self.features.append(token_features(token, before[0], after[0]))
             if previous_end >= 0 and lo - previous_end <= 2:
                 self.chain.append((node - 1, node))
@@ -193,9 +204,8 @@ def graph_of(texts: list, spans: list) -> Graph:
 
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
     """Node weights and edge potentials from the base labels of a bounded sample."""
-    sample = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS)) \
-        .select("text").orderBy(F.xxhash64("text"), "text").limit(rows)
-    texts = [r[0] for r in sample.collect()]
+    short = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS))
+    texts = sorted(r[0] for r in sample_by_hash(short.select("text"), "text", rows).collect())
     graph = graph_of(texts, [base_spans(t) for t in texts])
     label = np.array(graph.label, int)
     weights = np.zeros((DIMENSIONS, LABELS))
@@ -239,6 +249,8 @@ def beliefs(graph: Graph, model: dict, rounds: int = ROUNDS) -> np.ndarray:
     label = np.array(graph.label)
     node[label > 0] = -OBSERVED
     node[label > 0, label[label > 0]] = 0
+    out = np.flatnonzero(graph.barred)
+    node[out, np.array(graph.barred)[out]] -= OBSERVED
     total = node
     edges = [(u, v, model["chain"]) for u, v in graph.chain] \
         + [(u, v, model["skip"]) for u, v in graph.skip]

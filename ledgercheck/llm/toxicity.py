@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgercheck.llm.common import (fields, packed, scan_texts, settled, sized_broadcast,
-                                    string_buffers)
+from ledgercheck.llm.common import (fields, packed, sample_by_hash, scan_texts, settled,
+                                    sized_broadcast, string_buffers)
 from ledgercheck.llm.tokens import ALNUM, BYTE_CODE, Hasher, words
 
 TERMS = 2048
@@ -82,17 +82,11 @@ def term_filter(terms: np.ndarray) -> np.ndarray:
 def examples(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame, dict]:
     """(text, toxic) of the examples, and the number of labelled documents per label."""
     own = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # narrow first: only chosen rows bring their text
-    marked = settled(docs.select("doc_id", F.xxhash64("text").alias("h"))
-                     .join(own, "doc_id").select("doc_id", "h", "toxic"), "labelled")
-    total = {int(r[0]): r[1] for r in marked.groupBy("toxic").count().collect()}
-    chosen = None
-    for label in (0, 1):
-        some = marked.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(rows)
-        chosen = some if chosen is None else chosen.union(some)
-    # at most 2 * ROWS_PER_LABEL ids
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
-        "text", "toxic"), total
+    total = {int(r[0]): r[1] for r in own.join(docs.select("doc_id"), "doc_id")
+             .groupBy("toxic").count().collect()}
+    # only hashes are ranked; at most 2 * ROWS_PER_LABEL rows bring their text
+    marked = docs.select("doc_id", "text").join(own, "doc_id").select("text", "toxic")
+    return sample_by_hash(marked, "text", rows, ("toxic",)), total
 
 
 def choose_terms(sample: DataFrame, n: tuple[int, int]) -> np.ndarray:
