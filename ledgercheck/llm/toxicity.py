@@ -165,7 +165,7 @@ class BlockMax:
         self.cuts = np.searchsorted(cell, np.arange(n_terms * max(1, self.blocks) + 1))
         top = np.zeros(n_terms * max(1, self.blocks))
         np.maximum.at(top, cell, self.weight)
-        self.top = top.reshape(n_terms, -1)
+        self.top = top.reshape(n_terms, max(1, self.blocks))
 
     def nearest(self, terms, weights, k: int, without: int = -1):
         """Entries and cosines of the k nearest with a term in common; ties to the first."""
