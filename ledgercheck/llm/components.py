@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgercheck.llm.common import settled
+from ledgercheck.llm.common import discard, settled
 
 
 def _links(df: DataFrame) -> DataFrame:
@@ -24,15 +24,15 @@ def components(links: DataFrame) -> DataFrame:
         # large star: every larger neighbour of u to the least of u and its neighbours
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"),
-                                                            F.col("m").alias("v"))
-        large = settled(_links(large), "large")
+        large = settled(_links(both.join(least, "u").where("v > u").select(
+            F.col("v").alias("u"), F.col("m").alias("v"))), "large")
         # small star: u and its smaller neighbours to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", F.col("m").alias("v")))
-        now = settled(_links(small), "small")
+        following = settled(_links(small), "small")
+        discard(now, large)
+        now = following
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

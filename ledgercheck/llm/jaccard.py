@@ -21,6 +21,9 @@ ends in one component or is compared, and a list of n near copies costs about n
 Postings travel packed: hashes and set numbers as arrays per bucket of keys, so that a shuffle
 row holds thousands.  A bucket is read as a stream; it keeps one entry per different key.
 
+Pairs are first held against parities of their sets, about a bit per shingle, which rule out most
+pairs that do not link and none that does; only the sets of the others are fetched.
+
 Shingles and sets are told apart by 64-bit hashes.
 
 Defined results: null or empty text has no shingles and no links, its component is itself; fewer
@@ -40,8 +43,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgercheck.llm.common import (bitmap_of, fields, in_bitmap, packed, scan_texts, settled,
-                                    slices, string_buffers, to_batch, unpacked)
+from ledgercheck.llm.common import (bitmap_of, discard, fields, in_bitmap, packed, scan_texts,
+                                    settled, slices, string_buffers, to_batch, unpacked)
 from ledgercheck.llm.components import components
 from ledgercheck.llm.tokens import NOT_SPACE, Hasher, mix, windows, words
 
@@ -50,9 +53,10 @@ SHARE = (3, 4)           # the similarity as a fraction
 CELLS = 1 << 22          # counters of shingles
 MAX_SMALL = 12           # largest boundary considered
 VERIFY = 4               # cost of comparing a posting's set, in postings
-BUCKET_POSTINGS = 2_000_000
+BUCKET_POSTINGS = 1_000_000
 MAX_BUCKETS = 1 << 14
-FLUSH = 2_000_000        # postings a task packs at once
+FLUSH = 1_000_000        # postings a task packs at once
+FIRST_CENTRES = 16       # stars per list in the first further round; then 8 times as many
 
 
 def needed(s: int, t: int) -> int:
@@ -117,9 +121,37 @@ def node_of(own: np.ndarray) -> int | None:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def marks_of(own: np.ndarray) -> bytes | None:
+    """Parities of a set: a bit per shingle on average, each flipped by the shingles it stands for.
+
+    Two sets of s and t shingles that link differ in at most (s + t) / 7 of them, so their
+    parities, folded to one length, differ in no more bits."""
+    if not len(own):
+        return None
+    n = mark_bits(len(own))
+    odd = np.bincount((own >> np.uint64(20) & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def mark_bits(size: int) -> int:
+    return max(64, 1 << (size - 1).bit_length())
+
+
+def may_link(x: bytes, y: bytes, s: int, t: int) -> bool:
+    """False if the parities rule a link out."""
+    one, two = (np.frombuffer(v, np.uint8) for v in (x, y))
+    while len(one) > len(two):  # the high bit of the number goes: the halves meet
+        one = one[:len(one) // 2] ^ one[len(one) // 2:]
+    while len(two) > len(one):
+        two = two[:len(two) // 2] ^ two[len(two) // 2:]
+    a, b = SHARE
+    return int(np.bitwise_count(one ^ two).sum()) * (a + b) <= (b - a) * (s + t)
+
+
 def sizes_and_counts(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, node) of every row, and a level of rarity per counter."""
-    schema = fields("doc_id long, n_shingles long, node long, chunk int, counts binary")
+    """(doc_id, n_shingles, node, marks) of every row, and a level of rarity per counter."""
+    schema = fields("doc_id long, n_shingles long, node long, marks binary, chunk int, "
+                    "counts binary")
     types, chunks = to_arrow_schema(schema), 64
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +166,8 @@ def sizes_and_counts(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 waiting, n = [], 0
             none = [None] * len(sets)
             yield to_batch({"doc_id": part.column("doc_id"), "n_shingles": [len(x) for x in sets],
-                            "node": [node_of(x) for x in sets], "chunk": none, "counts": none},
+                            "node": [node_of(x) for x in sets],
+                            "marks": [marks_of(x) for x in sets], "chunk": none, "counts": none},
                            types)
         if waiting:
             cells += np.bincount(np.concatenate(waiting).astype(np.int64),
@@ -142,7 +175,7 @@ def sizes_and_counts(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         if cells.any():
             small = np.minimum(cells, 65535).astype(np.uint16).reshape(chunks, -1)
             none = [None] * chunks
-            yield to_batch({"doc_id": none, "n_shingles": none, "node": none,
+            yield to_batch({"doc_id": none, "n_shingles": none, "node": none, "marks": none,
                             "chunk": list(range(chunks)), "counts": [x.tobytes() for x in small]},
                            types)
 
@@ -158,17 +191,18 @@ def sizes_and_counts(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 counts = np.frombuffer(blob.as_buffer(), np.uint16)
                 sums[chunk] = sums.get(chunk, 0) + counts.astype(np.int64)
         if sums:
-            yield to_batch({"chunk": list(sums), "counts": [x.tobytes() for x in sums.values()]},
-                           total_types)
+            yield to_batch({"chunk": list(sums), "counts": [
+                np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in sums.values()]},
+                total_types)
 
     counts = found.where(F.col("chunk").isNotNull()).select("chunk", "counts")
     cells = np.zeros(CELLS, np.int64)
-    for row in counts.repartition(chunks, "chunk").mapInArrow(add, total).collect():  # 32 MB
+    for row in counts.repartition("chunk").mapInArrow(add, total).toLocalIterator():  # 16 MB
         at = row["chunk"] * (CELLS // chunks)
-        cells[at:at + CELLS // chunks] = np.frombuffer(row["counts"], np.int64)
+        cells[at:at + CELLS // chunks] = np.frombuffer(row["counts"], np.uint32)
     # counters near the mean say nothing; beyond it, the power of two
     scale = np.log2(np.maximum(cells / (2 * cells.mean() + 8), 1))
-    return (found.where(F.col("chunk").isNull()).select("doc_id", "n_shingles", "node"),
+    return (found.where(F.col("chunk").isNull()).select("doc_id", "n_shingles", "node", "marks"),
             np.ceil(2 * scale).clip(0, 255).astype(np.uint8))
 
 
@@ -322,17 +356,35 @@ def needed_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
         .select("node", "shingles").dropDuplicates(["node"])
 
 
+def hopeful(pairs: DataFrame, places: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those whose parities do not rule a link out."""
+    def work(part: pa.RecordBatch) -> dict:
+        rows = zip(*(part.column(c).to_pylist() for c in ("x", "y", "s", "t")))
+        keep = pa.array([may_link(*r) for r in rows], pa.bool_())
+        return {c: part.column(c).filter(keep) for c in ("a", "b")}
+
+    left = places.select(F.col("node").alias("a"), F.col("marks").alias("x"), F.col("n").alias("s"))
+    right = places.select(F.col("node").alias("b"), F.col("marks").alias("y"),
+                          F.col("n").alias("t"))
+    return scan_texts(pairs.join(left, "a").join(right, "b"), work, fields("a long, b long"), "x")
+
+
 def compare(docs: DataFrame, pairs: DataFrame, places: DataFrame) -> DataFrame:
     """Of pairs (a, b) of different sets, those that link, as (u, v)."""
+    pairs = settled(hopeful(pairs, places), "hopeful")
+    if pairs.isEmpty():
+        return pairs.toDF("u", "v")
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = settled(needed_sets(docs, places.join(used, "node")), "needed")
+    sets = settled(needed_sets(docs, places.join(used, "node").select("node", "doc_id")), "needed")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     a, b = SHARE
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(right, "b").join(left, "a").where(
+    found = settled(pairs.join(right, "b").join(left, "a").where(
         both * (a + b) >= a * (F.size("x") + F.size("y"))).select(
-        F.col("a").alias("u"), F.col("b").alias("v"))
+        F.col("a").alias("u"), F.col("b").alias("v")), "found")
+    discard(pairs, sets)
+    return found
 
 
 def could_link(s: str, t: str):
@@ -349,7 +401,8 @@ def similarity_join(docs: DataFrame) -> DataFrame:
     volume = units.agg(F.sum(F.expr("n_shingles div 4 + 2"))).first()[0] or 0
     buckets = int(min(MAX_BUCKETS, max(8, volume // BUCKET_POSTINGS)))
     places = settled(units.where(F.col("node").isNotNull()).groupBy("node").agg(
-        F.min("doc_id").alias("doc_id")), "places")
+        F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"),
+        F.min("marks").alias("marks")), "places")
     star = settled(stars(docs, level, boundary, buckets), "stars")
 
     # subset keys: whatever shares one with a set of the smaller size links with it
@@ -365,11 +418,10 @@ def similarity_join(docs: DataFrame) -> DataFrame:
     pairs = settled(lists.where(could_link("rep_size", "size")).select(
         F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct(), "pairs")
     tested = [pairs]
-    found = [settled(compare(docs, pairs, places).union(direct).distinct(), "found")]
-    grouped = components(found[0])
+    found = [compare(docs, pairs, places), direct]
+    grouped = components(union_all(found))
     members, turn = lists.select("key", "node", "size").distinct(), 0
     while True:
-        turn += 1
         own = members.join(grouped, "node", "left").select(
             "key", "node", "size", F.coalesce("component", "node").alias("component"))
         unlike = own.groupBy("key").agg(F.min("component").alias("lo"),
@@ -378,7 +430,7 @@ def similarity_join(docs: DataFrame) -> DataFrame:
         if members.isEmpty():
             break
         order = F.struct(F.xxhash64("node", F.lit(turn)), "node")
-        centres = settled(top_per_key(members, order, 4 ** turn), "centres")
+        centres = settled(top_per_key(members, order, FIRST_CENTRES * 8 ** turn), "centres")
         other = centres.select("key", F.col("node").alias("rep"), F.col("size").alias("rep_size"),
                                F.col("component").alias("rep_component"))
         fresh = members.join(other, "key").where(
@@ -386,15 +438,14 @@ def similarity_join(docs: DataFrame) -> DataFrame:
             F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct()
         for old in tested:
             fresh = fresh.join(old, ["a", "b"], "left_anti")
-        fresh = settled(fresh, "pairs")
-        tested.append(fresh)
-        found.append(settled(compare(docs, fresh, places), "found"))
-        links = found[0]
-        for more in found[1:]:
-            links = links.union(more)
-        grouped = components(links)
+        tested.append(settled(fresh, "pairs"))
+        more = compare(docs, tested[-1], places)
+        if not more.isEmpty():
+            found.append(more)
+            grouped = components(union_all(found))
         members = members.join(centres.select("key", "node"), ["key", "node"], "left_anti") \
             .select("key", "node", "size")
+        turn += 1
 
     own = places.join(grouped, "node", "left").select(
         "node", "doc_id", F.coalesce("component", "node").alias("component"))
@@ -404,6 +455,13 @@ def similarity_join(docs: DataFrame) -> DataFrame:
         "doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.union(more)
+    return out
+
+
 def top_per_key(members: DataFrame, order, n: int) -> DataFrame:
     """The first n members of every key; a rank limit is applied before the shuffle."""
     return members.withColumn("_n", F.row_number().over(

@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from ledgercheck.llm.common import (fields, packed, sample_by_hash, scan_texts, sized_broadcast,
                                     string_buffers)
 
-ROWS_PER_LANGUAGE = 600
+ROWS_PER_LANGUAGE = 400
 MAX_LANGUAGES = 256
 DIMENSIONS = 4096
 ORDERS = (1, 2, 3, 4)   # lengths of n-grams, in bytes
 PASSAGES = (24, 80)     # lengths of the short passages fitted on, in bytes
-STEPS = 120
+STEPS = 60
 PIECE = 1 << 20
 AMBIGUOUS = 0.6         # share of the best codeword below which a text is ambiguous
 ROWS_AT_ONCE = 512
@@ -145,12 +145,13 @@ def learn(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> dict:
     label = np.array([names.index(r["lang"]) for r in found])
     code = codewords(len(names))
     mean = x.mean(0)
+    x -= mean
     fit = np.arange(len(x)) % 5 != 0
     y = code[label]
-    tried = _logistic(x[fit] - mean, y[fit])
-    right = (((x[~fit] - mean) @ tried) * y[~fit] > 0).mean(0)
+    tried = _logistic(x[fit], y[fit])
+    right = ((x[~fit] @ tried) * y[~fit] > 0).mean(0)
     weight = np.log((right + 0.01) / (1.01 - right)).clip(0.05)  # odds that a bit is right
-    return {"names": names, "code": code, "mean": mean, "weights": _logistic(x - mean, y),
+    return {"names": names, "code": code, "mean": mean, "weights": _logistic(x, y),
             "bit": (weight / weight.sum()).astype(np.float32)}
 
 

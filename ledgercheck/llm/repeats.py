@@ -42,11 +42,11 @@ from ledgercheck.llm.tokens import NOT_SPACE, Hasher, Words, mix, windows, words
 
 SIZE = 20
 GRAM = 8
-SHARD_SYMBOLS = 1_000_000
+SHARD_SYMBOLS = 400_000
 MAX_SEGMENTS = 4096
-BUCKET_SEGMENTS = 1_000_000
+BUCKET_SEGMENTS = 400_000
 MAX_BUCKETS = 1 << 14
-FLUSH = 1_000_000
+FLUSH = 500_000
 LOWEST = -(1 << 63)  # stands for a null id
 
 
