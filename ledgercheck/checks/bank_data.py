@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgercheck.checks.contract import Model, contract, evidence, params
-from ledgercheck.checks.records import MAX_NESTED, partner_records
+from ledgercheck.checks.records import MEMBER_COLUMNS, value_key
 from ledgercheck.functions import numbers
 from ledgercheck.functions.bank import iban_mask
 
@@ -105,25 +105,32 @@ def shared_iban_clusters(model: Model) -> DataFrame:
     )
 
 
-def shared_iban(model: Model, nested: bool = True) -> DataFrame:
-    """One finding per shared IBAN, at the smallest key.
+def cluster_members(model: Model) -> DataFrame:
+    """Every account of every cluster, one row each."""
+    members = shared_iban_members(model).join(
+        shared_iban_clusters(model).select("iban_norm"), "iban_norm", "left_semi")
+    return members.select(
+        F.lit("AP-CON-001").alias("rule_id"),
+        value_key(F.lit("IBAN"), F.col("iban_norm")).alias("value_key"),
+        iban_mask(F.col("iban_norm")).alias("shown"), F.lit("VENDOR").alias("role"), "bp_key",
+    ).select(*MEMBER_COLUMNS)
 
-    The other accounts go into the finding up to MAX_NESTED accounts; a larger cluster
-    has all of them in `shared_iban_members` only, so that no row grows without bound.
-    """
+
+def cluster_values(model: Model, found: DataFrame) -> DataFrame:
+    """The shared IBAN of each finding; all accounts of it are members."""
+    clusters = shared_iban_clusters(model).select(
+        F.col("anchor"), iban_mask(F.col("iban_norm")).alias("masked"),
+        value_key(F.lit("IBAN"), F.col("iban_norm")).alias("value_key"))
+    return found.filter("rule_id = 'AP-CON-001'").select(
+        "finding_id", F.col("entity.bp_key").alias("anchor"),
+        F.col("current.value").alias("masked")).join(clusters, ["anchor", "masked"]).select(
+        "finding_id", "value_key", F.lit(None).cast("string").alias("own_key"),
+        F.col("masked").alias("iban_masked"))
+
+
+def shared_iban(model: Model) -> DataFrame:
+    """One finding per shared IBAN, at the smallest key; `cluster_members` has all accounts."""
     clusters = shared_iban_clusters(model)
-    if nested:
-        small = clusters.filter(F.col("accounts") <= MAX_NESTED).select("iban_norm")
-        listed = partner_records(
-            model, shared_iban_members(model).join(small, "iban_norm", "left_semi")
-            .select("iban_norm", "bp_key", iban_mask(F.col("iban_norm")).alias("iban_masked")),
-            "iban_norm",
-        )
-        clusters = clusters.join(listed, "iban_norm", "left")
-        keys = F.transform("records", lambda r: r["bp_key"])
-        related, records = F.slice(keys, 2, MAX_NESTED), F.col("records")
-    else:
-        related, records = None, None
     masked, n = iban_mask(F.col("iban_norm")), F.col("accounts").cast("string")
     return contract(
         clusters, bp_key=F.col("anchor"), role="VENDOR", source_table="TIBAN",
@@ -138,7 +145,6 @@ def shared_iban(model: Model, nested: bool = True) -> DataFrame:
                      "kein Regulierer hinterlegt", False,
                      "Kein gemeinsamer Zahlungsempfänger verbindet diese Konten",
                      kind="master_field")),
-        related_bp_keys=related, records=records,
         params=params(konten=F.col("accounts"), iban_masked=masked,
                       bank_key=F.col("bank_key"), partner_bank_type=F.col("partner_bank_type")),
     )

@@ -1,8 +1,8 @@
 """Customers that are vendors as well: the same VAT id or the same IBAN on both sides.
 
-A value one third of all accounts share would pair every customer with every vendor.
-Nothing here does that.  Vendors with exactly the same set of shared values form one
-class, and so do customers; classes meet, not accounts.
+A value one third of all accounts share would pair every customer with every vendor.  Nothing
+here does that.  The vendors of a customer are the sum of the vendors of its values, less those
+that several of its values reach; these come from an equality on pairs of values of one account.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgercheck.checks.contract import Model, contract, evidence, params
-from ledgercheck.checks.records import MAX_NESTED, partner_records
+from ledgercheck.checks.contract import Model, contract, params
+from ledgercheck.checks.records import MEMBER_COLUMNS, value_key
 from ledgercheck.functions.bank import iban_mask
 from ledgercheck.schema import EVIDENCE
 
@@ -42,32 +42,30 @@ def shared_values(values: DataFrame) -> DataFrame:
     )
 
 
-def _value_sets(values: DataFrame, role: str) -> DataFrame:
-    """Per account of a role the set of its shared values (an account has few)."""
-    key = F.struct("criterion", "value")
-    return values.filter(F.col("role") == role).groupBy("bp_key").agg(
-        F.array_sort(F.collect_set(key)).alias("value_set")
-    )
-
-
-def matched_classes(values: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Customers with their value set, vendors with theirs, and which sets meet.
+def vendor_counts(values: DataFrame) -> DataFrame:
+    """Per customer the number of vendors it shares a value with.
 
-    The third table has, per customer value set, each vendor value set that overlaps it
-    and the number of vendors behind that one.
+    `values` has the shared values of all accounts.  Accounts with several of them are put
+    together when they have the same ones; only these meet, and only on two values at once.
     """
-    customers, vendors = _value_sets(values, "CUSTOMER"), _value_sets(values, "VENDOR")
-    vendor_classes = vendors.groupBy(F.col("value_set").alias("vendor_set")).agg(
-        F.count("*").alias("vendors")
-    )
-    customer_classes = customers.select("value_set").distinct()
-    meetings = (
-        customer_classes.select("value_set", F.explode("value_set").alias("shared"))
-        .join(vendor_classes.select("vendor_set", "vendors", F.explode("vendor_set").alias("shared")),
-              "shared")
-        .groupBy("value_set", "vendor_set").agg(F.max("vendors").alias("vendors"))
-    )
-    return customers, vendors, meetings
+    key = F.struct("criterion", "value")
+    accounts = values.select("role", "bp_key", key.alias("v")).distinct()
+    vendors = accounts.filter("role = 'VENDOR'").groupBy("v").agg(F.count("*").alias("vendors"))
+    every = accounts.filter("role = 'CUSTOMER'").join(vendors, "v").groupBy("bp_key").agg(
+        F.sum("vendors").alias("reached"))
+    several = accounts.groupBy("role", "bp_key").agg(
+        F.array_sort(F.collect_set("v")).alias("own")).filter(F.size("own") > 1)
+    classes = several.groupBy("role", "own").agg(F.count("*").alias("n"))
+    pairs = classes.select("role", "own", "n", F.explode(F.expr(
+        "flatten(transform(own, (x, i) -> transform(slice(own, i + 2, size(own)), "
+        "y -> struct(x, y))))")).alias("pair"))
+    customers = pairs.filter("role = 'CUSTOMER'").select("pair", "own")
+    other = pairs.filter("role = 'VENDOR'").select("pair", F.col("own").alias("theirs"), "n")
+    twice = customers.join(other, "pair").select("own", "theirs", "n").distinct().groupBy("own").agg(
+        F.sum(F.col("n") * (F.size(F.array_intersect("own", "theirs")) - 1)).alias("again"))
+    again = several.filter("role = 'CUSTOMER'").join(twice, "own").select("bp_key", "again")
+    return every.join(again, "bp_key", "left").select(
+        "bp_key", (F.col("reached") - F.coalesce("again", F.lit(0))).alias("vendors"))
 
 
 def cross_role_values(model: Model) -> DataFrame:
@@ -87,12 +85,11 @@ def _shown(criterion, value):
     return F.when(criterion == _BANK, iban_mask(value)).otherwise(value)
 
 
-def customer_is_vendor(model: Model, nested: bool = True) -> DataFrame:
-    """One finding per customer that shares a value with at least one vendor."""
+def customer_is_vendor(model: Model) -> DataFrame:
+    """One finding per customer that shares a value with at least one vendor; the accounts of
+    its values are in `cross_role_members`."""
     values = account_values(model)
     values = values.join(shared_values(values), ["criterion", "value"], "left_semi")
-    customers, vendors, meetings = matched_classes(values)
-    counted = meetings.groupBy("value_set").agg(F.sum("vendors").alias("vendors"))
     entry = F.struct(
         F.col("criterion"), _shown(F.col("criterion"), F.col("value")).alias("value"),
         F.col("reference"),
@@ -100,16 +97,7 @@ def customer_is_vendor(model: Model, nested: bool = True) -> DataFrame:
     hits = values.filter("role = 'CUSTOMER'").groupBy("bp_key").agg(
         F.array_sort(F.collect_set(entry)).alias("hits")
     )
-    found = customers.join(counted, "value_set").join(hits, "bp_key")
-    if nested:
-        listed = _nested_records(model, customers, vendors, meetings, found)
-        found = found.join(listed, "bp_key", "left")
-        related = F.filter(
-            F.transform("records", lambda r: r["bp_key"]), lambda k: k != F.col("bp_key")
-        )
-        records = F.col("records")
-    else:
-        related, records = None, None
+    found = vendor_counts(values).join(hits, "bp_key")
 
     def distinct(name: str):
         return F.array_sort(F.array_distinct(F.transform("hits", lambda h: h[name])))
@@ -141,31 +129,10 @@ def customer_is_vendor(model: Model, nested: bool = True) -> DataFrame:
             F.concat(F.lit("dieselbe "), h["criterion"],
                      F.lit(" bei Debitor und Kreditor")).alias("note"),
         ).cast(EVIDENCE)),
-        related_bp_keys=related, records=records,
         params=params(match_label=criteria, match_value=shown, kreditoren=F.col("vendors")),
     )
 
 
-def _nested_records(
-    model: Model, customers: DataFrame, vendors: DataFrame, meetings: DataFrame, found: DataFrame
-) -> DataFrame:
-    """The accounts side by side, for customers with at most MAX_NESTED vendors."""
-    small = found.filter(F.col("vendors") <= MAX_NESTED)
-    heads = small.select(F.col("bp_key").alias("customer"), "value_set",
-                         F.array_max(F.transform(
-                             F.filter("hits", lambda h: h["criterion"] == _BANK),
-                             lambda h: h["value"])).alias("iban_masked"))
-    partners = heads.join(meetings.select("value_set", "vendor_set"), "value_set").join(
-        vendors.select(F.col("bp_key").alias("vendor"), F.col("value_set").alias("vendor_set")),
-        "vendor_set",
-    )
-    members = partners.select("customer", F.col("vendor").alias("bp_key"), "iban_masked")
-    members = members.unionByName(
-        heads.select("customer", F.col("customer").alias("bp_key"), "iban_masked")
-    )
-    return partner_records(model, members, "customer").withColumnRenamed("customer", "bp_key")
-
-
 def cross_role_members(model: Model) -> DataFrame:
     """Every account of every shared value, one row each: the whole of what is matched."""
     values = account_values(model)
@@ -173,3 +140,22 @@ def cross_role_members(model: Model) -> DataFrame:
     return values.join(shared, ["criterion", "value"], "left_semi").select(
         "criterion", _shown(F.col("criterion"), F.col("value")).alias("value"), "role", "bp_key"
     )
+
+
+def matched_members(model: Model) -> DataFrame:
+    """The accounts of every shared value, customers and vendors, one row each."""
+    values = account_values(model)
+    return values.join(shared_values(values), ["criterion", "value"], "left_semi").select(
+        F.lit("CROSS-DUP-001").alias("rule_id"),
+        value_key(F.col("criterion"), F.col("value")).alias("value_key"),
+        _shown(F.col("criterion"), F.col("value")).alias("shown"), "role", "bp_key",
+    ).select(*MEMBER_COLUMNS).distinct()
+
+
+def matched_values(model: Model, found: DataFrame) -> DataFrame:
+    """The shared values of each finding; its customer stands beside the vendors of them."""
+    customers = matched_members(model).filter("role = 'CUSTOMER'")
+    masked = F.when(F.col("shown").contains(" … "), F.col("shown"))
+    return found.filter("rule_id = 'CROSS-DUP-001'").select(
+        "finding_id", F.col("entity.bp_key").alias("bp_key")).join(customers, "bp_key").select(
+        "finding_id", "value_key", F.col("bp_key").alias("own_key"), masked.alias("iban_masked"))

@@ -2,21 +2,18 @@
 
 Two paid invoices of one vendor match when currency and amount are equal, the dates are
 at most 60 days apart and the references differ in at most one character.  A standing fee
-puts very many invoices under one vendor and amount, so candidates come from equalities
-only:
+puts very many invoices under one vendor and amount, so no group is ever paired off: every
+later invoice has one finding, with its nearest earlier match and the number of its matches.
 
-* dates: the earlier invoice keeps its 61-day bin, the later one is looked up in its own
-  and the previous bin;
-* references: two texts within one edit of each other share a text that is either one of
-  them or one of them without one character.
-
-Each pair meets in exactly one bin, and is kept only at the first text it shares, so the
-result needs no distinct.
+Equal keys prove a match: the same reference; the same rest when the character at the same place
+is taken out; or one reference whole and the other without one character.  Per key only days are
+kept, with the first invoice and the number of each; days are bounded by the calendar.  The nearest
+earlier match is the first invoice of the latest day, the own day included.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgercheck.checks.contract import Model, contract, document, evidence, params
@@ -28,16 +25,26 @@ NETTING_DAYS = 180
 _SAME = ["bp_key", "currency", "amount_doc"]
 
 
-def near_texts(text: Column) -> Column:
-    """The text and every text that is left when one of its characters is taken out."""
-    shorter = F.transform(
-        F.sequence(F.lit(1), F.length(text)),
-        lambda i: F.concat(F.substring(text, 1, i - 1), F.substring(text, i + 1, F.length(text))),
-    )
-    none = F.array().cast("array<string>")
-    return F.array_distinct(
-        F.concat(F.array(text), F.when(F.length(text) > 0, shorter).otherwise(none))
-    )
+def match_keys(reference: Column) -> Column:
+    """The keys of a reference: kind (e equal, s one character replaced, w whole, c cut), the place
+    and the text.  A whole text and a cut one meet under one name."""
+    places = F.when(F.length(reference) > 0, F.sequence(F.lit(1), F.length(reference))).otherwise(
+        F.array().cast("array<int>"))
+
+    def without(i: Column) -> Column:
+        return F.concat(F.substring(reference, F.lit(1), i - 1),
+                        F.substring(reference, i + 1, F.length(reference)))
+
+    def key(kind: str, place: Column, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), place.cast("int").alias("place"),
+                        text.alias("text"))
+
+    none = F.lit(0)
+    cuts = F.array_distinct(F.transform(places, without))
+    return F.concat(
+        F.array(key("e", none, reference), key("w", none, reference)),
+        F.transform(places, lambda i: key("s", i, without(i))),
+        F.transform(cuts, lambda t: key("c", none, t)))
 
 
 def paid_invoices(model: Model) -> DataFrame:
@@ -88,49 +95,72 @@ def not_netted(invoices: DataFrame, model: Model) -> DataFrame:
     ).drop("credit_dates")
 
 
+def nearest_matches(invoices: DataFrame) -> DataFrame:
+    """Per invoice with an earlier match: its key, the nearest match's key, and how many others
+    match that are dated up to 60 days before or on its day."""
+    slim = invoices.select(
+        "item_key", F.col("document_date").alias("day"), F.length("reference_norm").alias("letters"),
+        F.explode(match_keys(F.col("reference_norm"))).alias("k"), *_SAME)
+    meeting = F.when(F.col("k.kind").isin("w", "c"), "d").otherwise(F.col("k.kind"))
+    whole = F.col("k.kind") == "w"
+    # 128 bits in place of the texts
+    rows = slim.select(
+        "item_key", "day", "letters", F.col("k.kind").alias("kind"),
+        *[F.xxhash64(F.lit(seed), *_SAME, meeting, "k.place", "k.text").alias(f"g{seed}")
+          for seed in (1, 2)])
+    group = ["g1", "g2"]
+    days = rows.groupBy(*group, "day").agg(*[
+        made for kind, which in (("cut", F.col("kind") == "c"), ("rest", F.col("kind") != "c"))
+        for made in (F.min(F.when(which, F.col("item_key"))).alias(f"{kind}_first"),
+                     F.count(F.when(which, 1)).alias(f"{kind}_n"))])
+    # a row per day: a group is bounded by the calendar
+    number = F.datediff("day", F.lit("1970-01-01"))
+    before = Window.partitionBy(*group).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    lately = Window.partitionBy(*group).orderBy(number).rangeBetween(-MAX_DAYS, 0)
+    for kind in ("cut", "rest"):
+        found = F.when(F.col(f"{kind}_n") > 0, F.struct("day", F.col(f"{kind}_first").alias("item")))
+        days = days.withColumn(f"{kind}_last", F.last(found, ignorenulls=True).over(before)) \
+            .withColumn(f"{kind}_count", F.sum(f"{kind}_n").over(lately))
+    joined = rows.join(days, [*group, "day"])
+    # a whole reference meets cut ones and the other way round; else like meets like
+    cut_side = F.col("kind") == "w"
+
+    def of(name: str) -> Column:
+        return F.when(cut_side, F.col(f"cut_{name}")).otherwise(F.col(f"rest_{name}"))
+
+    last = of("last")
+    today = F.when(of("first") < F.col("item_key"), F.struct(F.lit(0).alias("gap"),
+                                                             of("first").alias("item")))
+    gap = F.datediff("day", last["day"])
+    earlier = F.when(gap <= MAX_DAYS, F.struct(gap.alias("gap"), last["item"].alias("item")))
+    # equal references share every replaced character; they count once, and not themselves
+    weight = F.when(F.col("kind") == "e", 1 - F.col("letters")).otherwise(F.lit(1))
+    return joined.groupBy("item_key").agg(
+        F.min(F.coalesce(today, earlier)).alias("m"),
+        (F.sum(weight * of("count")) - 1).alias("matches"),
+    ).filter("m IS NOT NULL").select("item_key", F.col("m.item").alias("earlier_key"), "matches")
+
+
 def invoice_pairs(invoices: DataFrame) -> DataFrame:
-    """All matching pairs, the later invoice not netted; a has the smaller item key."""
-    bin_of = F.floor(F.datediff("document_date", F.lit("1970-01-01")) / (MAX_DAYS + 1))
-    with_texts = invoices.withColumns({
-        "bin": bin_of, "texts": near_texts(F.col("reference_norm")),
-    })
-    rest = ["item_key", "company_code", "fiscal_year", "document_no", "reference",
-            "reference_norm", "document_date", "texts"]
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        packed = F.struct(*rest).alias(name)
-        return df.select(*_SAME, "bin", F.explode("texts").alias("text"), packed)
-
-    first = side(with_texts, "e")
-    later = side(
-        with_texts.filter(~F.col("netted")).withColumn(
-            "bin", F.explode(F.array(F.col("bin"), F.col("bin") - 1))),
-        "l",
-    )
-    in_order = (F.col("e.document_date") < F.col("l.document_date")) | (
-        (F.col("e.document_date") == F.col("l.document_date"))
-        & (F.col("e.item_key") < F.col("l.item_key"))
-    )
-    near = (
-        in_order
-        & (F.datediff("l.document_date", "e.document_date") <= MAX_DAYS)
-        & (F.levenshtein("e.reference_norm", "l.reference_norm", 1) >= 0)
-        & (F.col("text") == F.array_min(F.array_intersect("e.texts", "l.texts")))
-    )
-    pairs = first.join(later, [*_SAME, "bin", "text"]).filter(near)
+    """Every invoice that is not netted with its nearest earlier match; a has the smaller key."""
+    rest = ["item_key", "company_code", "fiscal_year", "document_no", "reference", "document_date"]
+    near = nearest_matches(invoices)
+    later = invoices.filter(~F.col("netted")).select(
+        "item_key", *_SAME, F.struct(*rest).alias("l")).join(near, "item_key")
+    first = invoices.select(F.col("item_key").alias("earlier_key"), F.struct(*rest).alias("e"))
+    pairs = later.drop("item_key").join(first, "earlier_key")
     swap = F.col("e.item_key") > F.col("l.item_key")
     return pairs.select(
-        *_SAME,
+        *_SAME, "matches",
         F.when(swap, F.col("l")).otherwise(F.col("e")).alias("a"),
         F.when(swap, F.col("e")).otherwise(F.col("l")).alias("b"),
     )
 
 
 def double_payment(model: Model) -> DataFrame:
-    """Pairs of paid invoices that look like one invoice paid twice.
+    """Paid invoices that look like an earlier one paid twice.
 
-    Both invoices of a pair have one partner, so the role is asked of the pairs and not
-    of all invoices.
+    Both invoices have one partner, so the role is asked of the pairs and not of all invoices.
     """
     vendors = model["business_partner"].filter("role = 'VENDOR'").select("bp_key")
     invoices = not_netted(repeated_amounts(paid_invoices(model)), model)
@@ -161,7 +191,10 @@ def double_payment(model: Model) -> DataFrame:
             F.lit(": gleicher Betrag, Referenz "),
             F.when(F.col("a.reference") == F.col("b.reference"), F.lit("identisch"))
             .otherwise(F.lit("nahezu identisch")),
-            F.lit(", "), gap, F.lit(" Tage Abstand, keine Gutschrift in 180 Tagen")),
+            F.lit(", "), gap, F.lit(" Tage Abstand, keine Gutschrift in 180 Tagen"),
+            F.when(F.col("matches") > 1, F.concat(
+                F.lit("; "), F.col("matches").cast("string"), F.lit(" passende Belege")))
+            .otherwise(F.lit(""))),
         evidence=F.array(proof("a", "Rechnung A"), proof("b", "Rechnung B")),
         impact_amount=F.col("amount_doc"), impact_currency=F.col("currency"),
         impact_formula="Betrag der zweiten Zahlung, keine Gutschrift gefunden",

@@ -60,8 +60,7 @@ PLACEHOLDER_TERMS = (
     "testkunde", "testfirma", "testlieferant", "musterfirma", "musterkunde", "mustermann",
     "dummykunde",
 )
-WORD_BOUNDARY = "[^a-z0-9äöüß]"
-WORD_TRIM = "#.,;:/-_ "
+WORD_CHARACTERS = "a-z0-9äöüß"  # of a regular expression; anything else ends a word
 
 # -- IBAN: account part per country (public IBAN registry) -----------------------------
 # n digits, a capital letters, c letters or digits; the number is the exact count.

@@ -55,10 +55,6 @@ def utc_stamp_text(text: Column) -> Column:
     return F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def days_between(later: Column, earlier: Column) -> Column:
-    return F.datediff(later, earlier)
-
-
 def months_back(day: Column, months: int) -> Column:
     """The same day some months earlier, or the last day of a shorter month."""
     return F.add_months(day, -months)

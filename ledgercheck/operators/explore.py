@@ -7,8 +7,11 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgercheck.checks import bank_data, cross_role
+from ledgercheck.checks.contract import Model
+from ledgercheck.checks.records import compare_records
 from ledgercheck.fixed import ACTION_TYPES, SEVERITIES, SIDES, STATUSES, TIERS
-from ledgercheck.schema import MONEY, RECORD_FIELDS
+from ledgercheck.schema import MONEY
 
 NO_COMPANY_CODE = "none"
 TOP_COUNT = 10
@@ -241,26 +244,14 @@ def netting_note(evidence: Column) -> Column:
     return F.get(F.filter(notes, lambda n: n.rlike("(?i)netting")), F.lit(0))
 
 
-def record_comparison(findings: DataFrame) -> DataFrame:
-    """Per finding and field of its records: the values by account, and whether they differ."""
-    records = findings.filter(F.size("entity.records") > 1).select(
-        "finding_id", F.explode("entity.records").alias("r")
-    )
-    values = records.select(
-        "finding_id", "r.bp_key",
-        F.inline(F.array(*[
-            F.struct(F.lit(i).alias("position"), F.lit(f).alias("field"),
-                     F.col(f"r.fields.{f}").alias("value"))
-            for i, f in enumerate(RECORD_FIELDS)
-        ])),
-    )
-    filled = F.coalesce("value", F.lit(""))
-    return values.groupBy("finding_id", "position", "field").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("bp_key", filled.alias("value")))),
-                    lambda v: v["value"]).alias("values"),
-        (F.min(filled) != F.max(filled)).alias("differs"),
-        (F.count("value") == 0).alias("missing"),
-    )
+def record_comparison(model: Model, findings: DataFrame) -> DataFrame:
+    """Per finding about several accounts and field: least and greatest value, whether they
+    differ, and whether no account has one."""
+    members = bank_data.cluster_members(model).unionByName(
+        cross_role.matched_members(model).filter("role = 'VENDOR'"))
+    values = bank_data.cluster_values(model, findings).unionByName(
+        cross_role.matched_values(model, findings))
+    return compare_records(model, members, values)
 
 
 def document_pairs(findings: DataFrame) -> DataFrame:

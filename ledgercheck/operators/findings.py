@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,13 +71,6 @@ def with_rule(results: DataFrame, rule: Rule) -> DataFrame:
     )
 
 
-def union_rules(results: dict[str, DataFrame], rules: list[Rule] = RULES) -> DataFrame:
-    by_id = {rule.id: rule for rule in rules}
-    return reduce(
-        DataFrame.unionByName, [with_rule(df, by_id[rule_id]) for rule_id, df in results.items()]
-    )
-
-
 def enriched(found: DataFrame, model: Model) -> DataFrame:
     """Findings with the partner's name and relevance, joined once for all rules."""
     names = model["business_partner"].select(
@@ -140,12 +132,6 @@ def finding_columns() -> list[str]:
     return [f.name for f in T._parse_datatype_string(FINDING).fields]
 
 
-def build_findings(model: Model, ctx: RunContext, rules: list[Rule] = RULES) -> DataFrame:
-    """Findings of all rules whose tables are there."""
-    results, _ = run_rules(model, rules)
-    return to_documents(enriched(union_rules(results, rules), model), ctx, model.as_of)
-
-
 # -- what makes a finding invalid --------------------------------------------------------
 
 _MASK = r"^(?:[A-Za-z0-9] ?){0,4}(?:…|\.\.\.|\*{2,}) ?(?:[A-Za-z0-9] ?){0,4}\z"

@@ -195,9 +195,9 @@ def file_collisions(spark, sf_dir):
 
 @query
 def file_probe(spark, sf_dir):
-    return files.probe(spark, export_folder(spark, sf_dir)).groupBy("table").agg(
-        F.min("encoding").alias("encoding"), F.min("delimiter").alias("delimiter"),
-        F.min("header").alias("header"))
+    """Encoding, delimiter and lines of data of every export."""
+    return files.judge_exports(files.probe(spark, export_folder(spark, sf_dir))).select(
+        "table", "encoding", "delimiter", "parts_differ", "data_lines")
 
 
 @query
@@ -207,9 +207,9 @@ def file_header_problems(spark, sf_dir):
 
 @query
 def file_hashes(spark, sf_dir):
-    folder = export_folder(spark, sf_dir)
-    return files.file_hashes(spark, folder, files.probe(spark, folder)).select(
-        "table", "name", "sha256")
+    exports, _ = files.read_exports(spark, export_folder(spark, sf_dir), settle_for(spark, "hash"))
+    return spark.createDataFrame([(e.table, e.name, e.sha256) for e in exports],
+                                 "table string, name string, sha256 string")
 
 
 @query
@@ -442,7 +442,7 @@ def flat(results: DataFrame) -> DataFrame:
     names = ["bp_key", "role", "company_code", "source_table", "source_field", "current_value",
              "current_display", "proposed_value", "proposed_display", "source_summary", "tier",
              "impact_amount", "impact_currency", "impact_formula", "finding_key"]
-    return results.select(*names, F.array_join("related_bp_keys", ",").alias("related"))
+    return results.select(*names)
 
 
 def _check(rule_id: str) -> None:
@@ -846,8 +846,23 @@ def match_reasons(spark, sf_dir):
 
 @query
 def record_comparison(spark, sf_dir):
-    return explore.record_comparison(all_findings(spark, sf_dir)).select(
-        "finding_id", "field", F.array_join("values", "|").alias("values"), "differs", "missing")
+    return explore.record_comparison(model(spark, sf_dir), all_findings(spark, sf_dir)).select(
+        "finding_id", "field", "low", "high", "differs", "missing")
+
+
+@query
+def finding_members(spark, sf_dir):
+    """The accounts behind findings about several of them, one row per value and account."""
+    m = model(spark, sf_dir)
+    return bank_data.cluster_members(m).unionByName(cross_role.matched_members(m))
+
+
+@query
+def finding_values(spark, sf_dir):
+    """Which values lead from a finding to its accounts."""
+    m, found = model(spark, sf_dir), all_findings(spark, sf_dir)
+    return bank_data.cluster_values(m, found).unionByName(
+        cross_role.matched_values(m, found)).select("finding_id", "value_key")
 
 
 @query

@@ -182,7 +182,3 @@ def unknown_columns(table: ExportTable, columns: list[str]) -> list[str]:
 
 def missing_columns(table: ExportTable, columns: list[str]) -> list[str]:
     return [c for c in table.fields if c not in columns]
-
-
-def raw_or_null(columns: list[str], name: str) -> Column:
-    return F.col(name) if name in columns else F.lit(None).cast("string")

@@ -141,6 +141,12 @@ raw_counts AS (
 ORACLE["raw_row_numbers"] = with_model("""
 SELECT source AS "table", sum(n)::BIGINT AS n, 1::BIGINT AS first, sum(n)::BIGINT AS last,
        sum(n)::BIGINT AS different FROM raw_counts GROUP BY source""", "items", _RAW_COUNTS)
+ORACLE["file_probe"] = with_model("""
+SELECT source AS "table", CASE source WHEN 'LFB1' THEN 'CP1252' WHEN 'KNBK' THEN 'UTF-16-BE'
+           ELSE 'UTF-8' END AS encoding,
+       CASE WHEN source IN ('T001', 'LFA1') THEN ';' ELSE chr(9) END AS delimiter,
+       FALSE AS parts_differ, CASE WHEN source <> 'KNBK' THEN sum(n)::BIGINT END AS data_lines
+FROM raw_counts GROUP BY source""", "items", _RAW_COUNTS)
 
 # -- staging and canonical tables -------------------------------------------------------------
 ORACLE["stage_counts"] = with_model("""
@@ -533,9 +539,30 @@ record_values AS (
         u(field, value)
 )"""
 ORACLE["record_comparison"] = with_findings("""
-SELECT finding_id, field, string_agg(coalesce(value, ''), '|' ORDER BY bp_key) AS "values",
+SELECT finding_id, field, min(coalesce(value, '')) AS low, max(coalesce(value, '')) AS high,
        count(DISTINCT coalesce(value, '')) > 1 AS differs, count(value) = 0 AS missing
 FROM record_values GROUP BY finding_id, field""", _RECORD_MEMBERS)
+_VALUE_KEY = "left(sha1({} || '|' || {}), 16)"
+ORACLE["finding_members"] = with_model(f"""
+SELECT 'AP-CON-001' AS rule_id, {_VALUE_KEY.format("'IBAN'", "iban_norm")} AS value_key,
+       {mask('iban_norm')} AS shown, 'VENDOR' AS role, bp_key
+FROM vendor_ibans SEMI JOIN clusters USING (iban_norm)
+UNION ALL
+SELECT DISTINCT 'CROSS-DUP-001', {_VALUE_KEY.format('criterion', 'value')}, shown, role, bp_key
+FROM account_values
+WHERE (criterion, value) IN (SELECT (criterion, value) FROM account_values
+                             GROUP BY criterion, value HAVING count(DISTINCT role) = 2)""",
+                                       "partner", CLUSTERS + "," + MATCHES)
+ORACLE["finding_values"] = with_findings(f"""
+SELECT finding_id, {_VALUE_KEY.format("'IBAN'", "iban_norm")} AS value_key
+FROM findings f JOIN clusters c ON c.anchor = f.bp_key AND {mask('c.iban_norm')} = f.current_value
+WHERE f.rule_id = 'AP-CON-001'
+UNION ALL
+SELECT DISTINCT finding_id, {_VALUE_KEY.format('criterion', 'value')}
+FROM findings f JOIN account_values v ON v.bp_key = f.bp_key
+WHERE f.rule_id = 'CROSS-DUP-001'
+  AND (criterion, value) IN (SELECT (criterion, value) FROM account_values
+                             GROUP BY criterion, value HAVING count(DISTINCT role) = 2)""")
 
 # -- sampling ------------------------------------------------------------------------------------
 _SAMPLE = """
@@ -578,20 +605,11 @@ JOIN double_pairs p ON p.bp_key = f.bp_key AND p.doc_a = f.docs[1] AND p.doc_b =
 CROSS JOIN LATERAL (VALUES (0, p.year_a, p.doc_a, p.ref_a, p.day_a),
                            (1, p.year_b, p.doc_b, p.ref_b, p.day_b)) d(position, fy, doc, reference, day)
 """, """
-paid AS (SELECT * FROM fi_item WHERE doc_type IN ('KR', 'RE') AND debit_credit = 'H' AND NOT is_open),
 double_pairs AS (
     SELECT a.bp_key, a.company_code AS cc, a.document_no AS doc_a, b.document_no AS doc_b,
            a.reference AS ref_a, b.reference AS ref_b, a.fiscal_year AS year_a,
            b.fiscal_year AS year_b, a.document_date AS day_a, b.document_date AS day_b
-    FROM paid a JOIN paid b ON a.bp_key = b.bp_key AND a.currency = b.currency
-     AND a.amount_doc = b.amount_doc AND a.item_key < b.item_key
-     AND abs(date_diff('day', a.document_date, b.document_date)) <= 60
-     AND levenshtein(a.reference_norm, b.reference_norm) <= 1
-    WHERE NOT EXISTS (SELECT 1 FROM fi_item g WHERE g.doc_type = 'KG' AND g.debit_credit = 'S'
-        AND g.bp_key = a.bp_key AND g.currency = a.currency AND g.amount_doc = a.amount_doc
-        AND g.document_date BETWEEN greatest(a.document_date, b.document_date)
-        AND greatest(a.document_date, b.document_date) + 180)
-)""")
+    FROM nearest JOIN paid a ON a.item_key = a_key JOIN paid b ON b.item_key = b_key)""")
 
 # -- expectation against run -----------------------------------------------------------------------
 ORACLE["compare_runs"] = with_findings("""

@@ -7,7 +7,7 @@ from oracle.model_sql import with_model
 COLUMNS = (
     "bp_key", "role", "company_code", "source_table", "source_field", "current_value",
     "current_display", "proposed_value", "proposed_display", "source_summary", "tier",
-    "impact_amount", "impact_currency", "impact_formula", "related", "finding_key",
+    "impact_amount", "impact_currency", "impact_formula", "finding_key",
 )
 
 
@@ -205,15 +205,26 @@ _PAID = (
     "AND NOT is_open AND reference_norm IS NOT NULL "
     "AND bp_key IN (SELECT bp_key FROM business_partner WHERE role = 'VENDOR'))"
 )
+# the later invoice of a pair with its nearest earlier match, a before b by item key
+NEAREST = f"""
+paid AS {_PAID},
+near AS (
+    SELECT l.item_key AS l_key, e.item_key AS e_key,
+           date_diff('day', e.document_date, l.document_date) AS gap,
+           count(*) OVER (PARTITION BY l.item_key) AS matches
+    FROM paid l JOIN paid e ON e.bp_key = l.bp_key AND e.currency = l.currency
+     AND e.amount_doc = l.amount_doc AND e.item_key <> l.item_key
+     AND date_diff('day', e.document_date, l.document_date) BETWEEN 0 AND 60
+     AND levenshtein(e.reference_norm, l.reference_norm) <= 1
+    WHERE NOT EXISTS (SELECT 1 FROM fi_item g WHERE g.doc_type = 'KG' AND g.debit_credit = 'S'
+        AND g.bp_key = l.bp_key AND g.currency = l.currency AND g.amount_doc = l.amount_doc
+        AND g.document_date BETWEEN l.document_date AND l.document_date + 180)),
+nearest AS (
+    SELECT least(l_key, e_key) AS a_key, greatest(l_key, e_key) AS b_key, matches
+    FROM near WHERE gap > 0 OR e_key < l_key
+    QUALIFY row_number() OVER (PARTITION BY l_key ORDER BY gap, e_key) = 1)"""
 DOUBLE = rows(
-    f"{_PAID} a JOIN {_PAID} b ON a.bp_key = b.bp_key AND a.currency = b.currency "
-    "AND a.amount_doc = b.amount_doc AND a.item_key < b.item_key "
-    "AND abs(date_diff('day', a.document_date, b.document_date)) <= 60 "
-    "AND levenshtein(a.reference_norm, b.reference_norm) <= 1 "
-    "WHERE NOT EXISTS (SELECT 1 FROM fi_item g WHERE g.doc_type = 'KG' AND g.debit_credit = 'S' "
-    "AND g.bp_key = a.bp_key AND g.currency = a.currency AND g.amount_doc = a.amount_doc "
-    "AND g.document_date BETWEEN greatest(a.document_date, b.document_date) "
-    "AND greatest(a.document_date, b.document_date) + 180)",
+    "nearest JOIN paid a ON a.item_key = a_key JOIN paid b ON b.item_key = b_key",
     bp_key="a.bp_key", role="'VENDOR'", company_code="a.company_code", source_table="'BSAK'",
     source_field="'XBLNR'", current_value="a.reference || ' | ' || b.reference",
     current_display="'Zwei bezahlte Rechnungen über ' || " + money("a.amount_doc", "a.currency"),
@@ -222,7 +233,8 @@ DOUBLE = rows(
     "|| ': gleicher Betrag, Referenz ' || CASE WHEN a.reference = b.reference THEN 'identisch' "
     "ELSE 'nahezu identisch' END || ', ' "
     "|| abs(date_diff('day', a.document_date, b.document_date)) "
-    "|| ' Tage Abstand, keine Gutschrift in 180 Tagen'",
+    "|| ' Tage Abstand, keine Gutschrift in 180 Tagen' "
+    "|| CASE WHEN matches > 1 THEN '; ' || matches || ' passende Belege' ELSE '' END",
     impact_amount="a.amount_doc", impact_currency="a.currency",
     impact_formula="'Betrag der zweiten Zahlung, keine Gutschrift gefunden'",
     finding_key="a.document_no || '|' || b.document_no",
@@ -313,7 +325,6 @@ SHARED_IBAN = rows(
     current_value=mask("iban_norm"),
     current_display="'bei ' || accounts "
     "|| ' Kreditorenkonten hinterlegt, ohne Regulierer-Bezug'",
-    related="substr(members, length(anchor) + 2)",
 )
 
 MATCHES = """
@@ -351,7 +362,6 @@ CROSS = rows(
     source_summary="'Deterministischer Abgleich: ' || criteria || ' identisch bei Debitor und ' "
     "|| CASE WHEN n = 1 THEN 'einem Kreditorenkonto' ELSE n || ' Kreditorenkonten' END "
     "|| '; kein Namens- oder Adressabgleich'",
-    related="vendors",
 )
 
 # rule id -> (SELECT, further WITH entries)
@@ -362,7 +372,7 @@ RULE_SQL: dict[str, tuple[str, str]] = {
     "AR-HYG-001": (unused_account("AR"), ""), "AP-HYG-001": (unused_account("AP"), ""),
     "AR-VAL-005": (PLACEHOLDER, ""), "AR-COM-002": (TERMS_MISSING, ""),
     "AR-CON-002": (BLOCKED, ""), "AP-COM-003": (CHECK_OFF, ""), "AR-LEA-001": (UNAPPLIED, ""),
-    "AP-LEA-001": (DOUBLE, ""), "AP-LEA-002": (LOST_DISCOUNT, DISCOUNT_BUCKETS),
+    "AP-LEA-001": (DOUBLE, NEAREST), "AP-LEA-002": (LOST_DISCOUNT, DISCOUNT_BUCKETS),
     "AP-CON-001": (SHARED_IBAN, CLUSTERS), "CROSS-DUP-001": (CROSS, MATCHES),
 }
 
@@ -402,7 +412,7 @@ def findings_ctes() -> str:
             f"'{tier}' AS default_tier, '{action}' AS action_type, r.* FROM ({select}) r"
         )
     union = "\nUNION ALL\n".join(parts)
-    return ",".join([DISCOUNT_BUCKETS, CLUSTERS, MATCHES]) + f""",
+    return ",".join([DISCOUNT_BUCKETS, CLUSTERS, MATCHES, NEAREST]) + f""",
 all_rows AS ({union}),
 findings AS (
     SELECT 'F-' || substr(sha1(concat_ws('|', rule_id, a.bp_key, coalesce(company_code, ''),

@@ -34,4 +34,4 @@ def test_every_oracle_belongs_to_a_query():
     queries, oracle = entry_points.queries(), entry_points.oracle_sql()
     assert set(oracle) <= set(queries)
     ours = {n for n in queries if n in CATALOG}
-    assert ours - set(oracle) == {"file_probe", "file_hashes", "header_check"}
+    assert ours - set(oracle) == {"file_hashes", "header_check"}

@@ -5,7 +5,7 @@ import random
 from conftest import AS_OF, item, make_model, partner
 
 from ledgercheck.checks import bank_data, cross_role, double_payment, items, master_data
-from ledgercheck.operators import findings
+from ledgercheck.operators import explore, findings
 
 DAY = dt.date(2026, 3, 1)
 
@@ -34,23 +34,43 @@ def test_double_payment_against_brute_force(spark):
         rows.append(item("V:1", doc_type=rng.choice(["KG", "KZ"]), debit_credit="S",
                          amount_doc="50.00", posting_date=DAY + dt.timedelta(days=n * 40)))
     model = make_model(spark, business_partner=[partner(f"V:{i}") for i in range(5)], fi_item=rows)
-    expected = set()
+    expected = {}
     invoices = [r for r in rows if r["doc_type"] == "KR"]
     credits = [r for r in rows if r["doc_type"] == "KG"]
-    for a, b in itertools.combinations(sorted(invoices, key=lambda r: r["item_key"]), 2):
-        same = all(a[c] == b[c] for c in ("bp_key", "currency", "amount_doc"))
-        last = max(a["document_date"], b["document_date"])
-        netted = any(
-            g["bp_key"] == a["bp_key"] and g["amount_doc"] == a["amount_doc"]
-            and last <= g["document_date"] <= last + dt.timedelta(days=180) for g in credits)
-        if (same and not netted and abs((a["document_date"] - b["document_date"]).days) <= 60
-                and distance(a["reference_norm"], b["reference_norm"]) <= 1):
-            expected.add(f"{a['document_no']}|{b['document_no']}")
-    found = [r.finding_key for r in double_payment.double_payment(model).collect()]
-    assert len(found) == len(set(found)) and set(found) == expected and len(expected) > 40
-
-
-def test_cross_role_against_brute_force(spark, monkeypatch):
+    for late in invoices:
+        near, others = [], 0
+        if any(g["bp_key"] == late["bp_key"] and g["amount_doc"] == late["amount_doc"]
+               and 0 <= (g["document_date"] - late["document_date"]).days <= 180 for g in credits):
+            continue
+        for other in invoices:
+            gap = (late["document_date"] - other["document_date"]).days
+            if (other is not late and 0 <= gap <= 60
+                    and all(late[c] == other[c] for c in ("bp_key", "currency", "amount_doc"))
+                    and distance(late["reference_norm"], other["reference_norm"]) <= 1):
+                others += 1
+                if gap or other["item_key"] < late["item_key"]:
+                    near.append((gap, other["item_key"], other))
+        if near:
+            pair = sorted((late, min(near)[2]), key=lambda r: r["item_key"])
+            expected["|".join(r["document_no"] for r in pair), late["document_no"]] = others
+    found = double_payment.double_payment(model).collect()
+    assert sorted(r.finding_key for r in found) == sorted(k for k, _ in expected)
+    assert len(expected) > 10 and max(expected.values()) > 5
+    counts = double_payment.nearest_matches(double_payment.not_netted(
+        double_payment.repeated_amounts(double_payment.paid_invoices(model)), model)).collect()
+    counts = {r.item_key.split("|")[2]: r.matches for r in counts}
+    assert all(counts[late] == n for (_, late), n in expected.items())
+
+
+def test_equal_invoices_are_not_paired_off(spark):
+    rows = [item("V:1", amount_doc="50.00", posting_date=DAY, reference_norm="A1", reference="A1")
+            for _ in range(400)]
+    model = make_model(spark, business_partner=[partner("V:1")], fi_item=rows)
+    found = double_payment.double_payment(model).collect()
+    assert len(found) == 399 and "399 passende Belege" in found[0].source_summary
+
+
+def test_cross_role_against_brute_force(spark):
     """A VAT id most accounts share, and some IBANs on top of it."""
     rng = random.Random(3)
     partners, vat, banks = [], [], []
@@ -74,14 +94,41 @@ def test_cross_role_against_brute_force(spark, monkeypatch):
             if c[0] == "C" and vendors:
                 expected.setdefault(c, set()).update(vendors)
     found = {r.bp_key: r for r in cross_role.customer_is_vendor(model).collect()}
-    assert {k: set(r.related_bp_keys) for k, r in found.items()} == expected
+    members = {}
+    for r in cross_role.matched_members(model).collect():
+        members.setdefault(r.value_key, set()).add(r.bp_key)
+    both_sides = [k for k in values.values() if len({b[0] for b in k}) == 2]
+    assert sorted(map(sorted, members.values())) == sorted(map(sorted, both_sides))
     assert {k: int(r.params["kreditoren"]) for k, r in found.items()} == {
         k: len(v) for k, v in expected.items()}
-    # beyond the limit a finding lists nobody, but still counts all of them
-    monkeypatch.setattr(cross_role, "MAX_NESTED", 1)
-    for key, row in ((r.bp_key, r) for r in cross_role.customer_is_vendor(model).collect()):
-        assert int(row.params["kreditoren"]) == len(expected[key])
-        assert row.related_bp_keys is None or len(expected[key]) == 1
+
+
+def test_hot_value_costs_its_accounts_not_their_pairs(spark):
+    """200 customers and 200 vendors share one VAT id, and each has one more shared value."""
+    partners = [partner(f"{s}:{i}") for s in "CV" for i in range(200)]
+    vat = [dict(bp_key=p["bp_key"], tax_id_type="VAT", value="x", value_norm="HOT") for p in partners]
+    banks = [dict(bp_key=p["bp_key"], bank_key="B", iban_norm=f"DE{int(p['source_id']):04d}X1234")
+             for p in partners]
+    model = make_model(spark, business_partner=partners, bp_tax_id=vat, bp_bank_account=banks)
+    found = cross_role.customer_is_vendor(model).collect()
+    assert len(found) == 200 and {int(r.params["kreditoren"]) for r in found} == {200}
+    assert cross_role.matched_members(model).count() == 800
+
+
+def test_a_large_cluster_is_shown_whole(spark):
+    model = make_model(
+        spark, business_partner=[partner(f"V:{i}", city="Ulm" if i == 7 else "Ort")
+                                 for i in range(1500)],
+        bp_bank_account=[dict(bp_key=f"V:{i}", iban_norm="DE00A1234") for i in range(1500)])
+    finding = bank_data.shared_iban(model).first()
+    assert finding.params["konten"] == "1500" and finding.related_bp_keys is None
+    assert bank_data.cluster_members(model).count() == 1500
+    found = spark.createDataFrame(
+        [("F", "AP-CON-001", (finding.bp_key,), (finding.current_value,))],
+        "finding_id string, rule_id string, entity struct<bp_key:string>, current struct<value:string>")
+    rows = {r.field: r for r in explore.record_comparison(model, found).collect()}
+    assert rows["city"].differs and (rows["city"].low, rows["city"].high) == ("Ort", "Ulm")
+    assert not rows["country"].differs and rows["vat_id"].missing
 
 
 def test_shared_iban_and_payer_links(spark):
@@ -95,7 +142,8 @@ def test_shared_iban_and_payer_links(spark):
         bp_bank_account=[dict(bp_key=k, iban_norm=f"DE00{i}1234") for k, i in account])
     found = bank_data.shared_iban(model).collect()
     # A is left: B and C have a payer, D has one vendor, and V:9 is a one-time account
-    assert [(r.bp_key, r.related_bp_keys) for r in found] == [("V:1", ["V:2"])]
+    assert [r.bp_key for r in found] == ["V:1"]
+    assert {r.bp_key for r in bank_data.cluster_members(model).collect()} == {"V:1", "V:2"}
     assert "DE00A1234" not in str(found)
 
 
