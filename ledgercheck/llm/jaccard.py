@@ -6,17 +6,19 @@ least 3/4.  Equal sets are one node.  Two ways find the links between different
 * Small sets (at most `boundary` shingles) enumerate the subsets of the size a link needs.  Sets
   of s <= t shingles link when they share o(s, t) = ceil(3 (s + t) / 7); each lists its subsets of
   that size under a key of (s, t, subset).  An equal key of a set of s shingles is a link.
-* Large sets, and small ones that could link with them, put their prefix into inverted lists: the
-  s - ceil(3 s / 4) + 1 rarest shingles.  Linked sets share one of them.  Rarity is a count over
-  all documents in a table of CELLS counters; any common order is right, so collisions only
-  cost time.
+* Large sets, and small ones that could link with them, put their rarest shingles into inverted
+  lists: a set of s is entered under s - ceil(6 s / 7) + 1 of them and looked up under
+  s - ceil(3 s / 4) + 1.  Of two linked sets one of the entries of the smaller is among the look-ups
+  of the larger.  Rarity is a count over all documents in a table of CELLS counters; any common
+  order is right, so collisions only cost time.
 
 The boundary is chosen by cost from the number of sets of each size.
 
-A list is never paired off.  All its sets are compared with one of them (a star); links are
-closed to components; lists whose sets are all in one component are done; the others get further
-stars, four times as many each round, whose centres are then done.  So every pair of every list
-ends in one component or is compared, and a list of n near copies costs about n comparisons.
+A list is never paired off.  All its sets are compared with one that is entered (a star); links
+are closed to components; lists whose sets are all in one component are done; the others get
+further stars, sixteen times as many each round, whose centres are then done.  So every candidate of
+every list ends in one component or is compared, and a list of n near copies costs about n
+comparisons.
 
 Postings travel packed: hashes and set numbers as arrays per bucket of keys, so that a shuffle
 row holds thousands.  A bucket is read as a stream; it keeps one entry per different key.
@@ -52,11 +54,13 @@ SIZE = 5                 # words in a shingle
 SHARE = (3, 4)           # the similarity as a fraction
 CELLS = 1 << 22          # counters of shingles
 MAX_SMALL = 12           # largest boundary considered
+LIST_PART = 2048         # members of one list that meet its centres in one task
 VERIFY = 4               # cost of comparing a posting's set, in postings
+LOOK_UP = 255            # kind of a posting that is a look-up and no entry
 BUCKET_POSTINGS = 1_000_000
 MAX_BUCKETS = 1 << 14
 FLUSH = 1_000_000        # postings a task packs at once
-FIRST_CENTRES = 16       # stars per list in the first further round; then 8 times as many
+FIRST_CENTRES = 128      # stars per list in the first further round; then 16 times as many
 
 
 def needed(s: int, t: int) -> int:
@@ -71,8 +75,13 @@ def fits(s: int, t: int) -> bool:
     return min(s, t) * b >= a * max(s, t)
 
 
-def prefix(s):
-    """Length of the prefix of a set of s shingles."""
+def entries(s: int) -> int:
+    """Shingles a set of s is entered under: one is shared with any linked set as large or larger."""
+    return s - needed(s, s) + 1
+
+
+def look_ups(s: int) -> int:
+    """Shingles a set of s is looked up under: one is shared with any linked set, entered or not."""
     a, b = SHARE
     return s - (-(-a * s // b)) + 1
 
@@ -90,7 +99,7 @@ def choose_boundary(sizes: dict[int, int]) -> int:
     def cost(x: int) -> int:
         small = sum(n * sum(comb(t, needed(s, u)) for s, u in pairs_of_sizes(t) if u <= x)
                     for t, n in sizes.items() if t <= x)
-        large = sum(n * prefix(t) * (1 + VERIFY) for t, n in sizes.items()
+        large = sum(n * look_ups(t) * (1 + VERIFY) for t, n in sizes.items()
                     if fits(t, x + 1) or t > x)
         return small + large
 
@@ -197,7 +206,7 @@ def sizes_and_counts(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
     counts = found.where(F.col("chunk").isNotNull()).select("chunk", "counts")
     cells = np.zeros(CELLS, np.int64)
-    for row in counts.repartition("chunk").mapInArrow(add, total).toLocalIterator():  # 16 MB
+    for row in counts.repartition(16, "chunk").mapInArrow(add, total).toLocalIterator():  # 16 MB
         at = row["chunk"] * (CELLS // chunks)
         cells[at:at + CELLS // chunks] = np.frombuffer(row["counts"], np.uint32)
     # counters near the mean say nothing; beyond it, the power of two
@@ -207,13 +216,14 @@ def sizes_and_counts(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def postings_of(own: np.ndarray, level: np.ndarray, boundary: int):
-    """Keys of one set, and whether each is a subset key (then its smaller size, else 0)."""
+    """Keys of one set, and the kind of each: the smaller size for a subset key, 0 for an entry,
+    LOOK_UP for a look-up."""
     t, keys, kinds = len(own), [], []
     if t > boundary or fits(t, boundary + 1):
         order = (level[own & np.uint64(CELLS - 1)].astype(np.uint64) << np.uint64(56)) \
             | (own >> np.uint64(8))
-        keys.append(own[np.argsort(order, kind="stable")[:prefix(t)]])
-        kinds.append(np.zeros(len(keys[0]), np.uint8))
+        keys.append(own[np.argsort(order, kind="stable")[:look_ups(t)]])
+        kinds.append(np.where(np.arange(len(keys[0])) < entries(t), 0, LOOK_UP).astype(np.uint8))
     if t <= boundary:
         for s, u in pairs_of_sizes(t):
             if u <= boundary:
@@ -225,23 +235,25 @@ def postings_of(own: np.ndarray, level: np.ndarray, boundary: int):
 
 
 def stars(docs: DataFrame, level: np.ndarray, boundary: int, buckets: int) -> DataFrame:
-    """(key, kind, rep, rep_size, node, size): each set of a list with the first set of it.
-    Lists of one set give no row."""
+    """(key, kind, rep, rep_size, node, size): each set of a list with the first one entered in it.
+    Lists of one set, or without an entry, give no row."""
     shared = docs.sparkSession.sparkContext.broadcast((level, boundary))  # 4 MB
-    blobs = fields("bucket int, keys binary, kinds binary, at binary, nodes binary, sizes binary")
+    blobs = fields("bucket int, late int, keys binary, kinds binary, at binary, nodes binary, "
+                   "sizes binary")
     blob_types = to_arrow_schema(blobs)
 
     def pack(keys, kinds, at, nodes, sizes) -> pa.RecordBatch:
         keys, kinds, at = np.concatenate(keys), np.concatenate(kinds), np.concatenate(at)
         nodes, sizes = np.array(nodes, np.int64), np.array(sizes, np.int32)
         bucket = (mix(keys) % np.uint64(buckets)).astype(np.int64)
+        bucket = bucket * 2 + (kinds == LOOK_UP)
         order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        cuts = np.searchsorted(bucket[order], np.arange(2 * buckets + 1))
         out = {f.name: [] for f in blob_types}
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             mine = order[cuts[b]:cuts[b + 1]]
             used, place = np.unique(at[mine], return_inverse=True)
-            for name, value in (("bucket", b), ("keys", keys[mine].tobytes()),
+            for name, value in (("bucket", b // 2), ("late", b % 2), ("keys", keys[mine].tobytes()),
                                 ("kinds", kinds[mine].tobytes()),
                                 ("at", place.astype(np.uint32).tobytes()),
                                 ("nodes", nodes[used].tobytes()),
@@ -276,16 +288,23 @@ def stars(docs: DataFrame, level: np.ndarray, boundary: int, buckets: int) -> Da
     list_types = to_arrow_schema(lists)
 
     class Bucket:
-        """The different keys of a bucket so far, each with the first set that had it."""
+        """The different keys entered in a bucket, each with the first set that was.
+
+        Entries come before look-ups, so that look-ups of a key without an entry are let go."""
 
         def __init__(self) -> None:
             self.keys = np.zeros(0, np.uint64)
             self.rep, self.rep_size = np.zeros(0, np.int64), np.zeros(0, np.int32)
             self.waiting, self.n = [], 0
 
-        def take(self, keys, kinds, nodes, sizes) -> None:
-            self.waiting.append((keys, kinds, nodes, sizes))
-            self.n += len(keys)
+        def take(self, late: int, keys, kinds, nodes, sizes) -> None:
+            if late:
+                at = np.searchsorted(self.keys, keys).clip(0, max(0, len(self.keys) - 1))
+                known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+                keys, kinds, nodes, sizes = (x[known] for x in (keys, kinds, nodes, sizes))
+            if len(keys):
+                self.waiting.append((keys, kinds, nodes, sizes))
+                self.n += len(keys)
 
         def flush(self) -> pa.RecordBatch | None:
             if not self.waiting:
@@ -312,41 +331,44 @@ def stars(docs: DataFrame, level: np.ndarray, boundary: int, buckets: int) -> Da
                              "node": nodes[more], "size": sizes[more]}, list_types)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, Bucket()
+        now, state = (None, None), Bucket()
         for batch in batches:
-            for row in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in range(1, 6))):
-                if row[0] != now or state.n > FLUSH:
+            for bucket, late, *row in zip(*(batch.column(i).to_pylist() for i in range(2)),
+                                          *(batch.column(i) for i in range(2, 7))):
+                if (bucket, late) != now or state.n > FLUSH:
                     out = state.flush()
                     if out is not None:
                         yield out
-                    if row[0] != now:
-                        now, state = row[0], Bucket()
+                    if bucket != now[0]:
+                        state = Bucket()
+                    now = (bucket, late)
                 k, kind, at, nodes, sizes = (
                     np.frombuffer(x.as_buffer(), kind) for x, kind in zip(
-                        row[1:], (np.uint64, np.uint8, np.uint32, np.int64, np.int32)))
-                state.take(k, kind, nodes[at], sizes[at])
+                        row, (np.uint64, np.uint8, np.uint32, np.int64, np.int32)))
+                state.take(late, k, kind, nodes[at], sizes[at])
         out = state.flush()
         if out is not None:
             yield out
 
     return docs.select("text").mapInArrow(emit, blobs).repartition("bucket") \
-        .sortWithinPartitions("bucket").mapInArrow(gather, lists)
+        .sortWithinPartitions("bucket", "late").mapInArrow(gather, lists)
 
 
 def needed_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """(node, shingles) of the sets named in `chosen` (node, doc_id: one row per set).
 
     A bitmap of fixed size keeps the others from being shuffled; the join decides."""
-    lookup = bitmap_of(chosen, F.col("node").bitwiseXOR(F.coalesce("doc_id", F.lit(-1))))
+    lookup = bitmap_of(chosen, F.col("doc_id"))
     hasher = Hasher()
 
     def work(part: pa.RecordBatch) -> dict:
-        sets = sets_of(part, hasher)
-        nodes, ids = [node_of(x) for x in sets], part.column("doc_id").to_pylist()
-        spots = np.array([(n or 0) ^ (-1 if d is None else d) for n, d in zip(nodes, ids)])
-        chosen = [i for i in np.flatnonzero(in_bitmap(lookup.value, spots)) if len(sets[i])]
-        return {"node": [nodes[i] for i in chosen], "doc_id": [ids[i] for i in chosen],
-                "shingles": [sets[i].view(np.int64) for i in chosen]}
+        ids = np.array([d or 0 for d in part.column("doc_id").to_pylist()])
+        sub = part.take(pa.array(np.flatnonzero(in_bitmap(lookup.value, ids))))
+        sets = sets_of(sub, hasher)
+        full = [i for i, own in enumerate(sets) if len(own)]
+        return {"node": [node_of(sets[i]) for i in full],
+                "doc_id": sub.column("doc_id").take(pa.array(full, pa.int64())),
+                "shingles": [sets[i].view(np.int64) for i in full]}
 
     kept = scan_texts(docs.select(F.col("doc_id").cast("long"), "text"), work,
                       fields("node long, doc_id long, shingles array<long>"))
@@ -371,7 +393,6 @@ def hopeful(pairs: DataFrame, places: DataFrame) -> DataFrame:
 
 def compare(docs: DataFrame, pairs: DataFrame, places: DataFrame) -> DataFrame:
     """Of pairs (a, b) of different sets, those that link, as (u, v)."""
-    pairs = settled(hopeful(pairs, places), "hopeful")
     if pairs.isEmpty():
         return pairs.toDF("u", "v")
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -383,7 +404,7 @@ def compare(docs: DataFrame, pairs: DataFrame, places: DataFrame) -> DataFrame:
     found = settled(pairs.join(right, "b").join(left, "a").where(
         both * (a + b) >= a * (F.size("x") + F.size("y"))).select(
         F.col("a").alias("u"), F.col("b").alias("v")), "found")
-    discard(pairs, sets)
+    discard(sets)
     return found
 
 
@@ -406,7 +427,7 @@ def similarity_join(docs: DataFrame) -> DataFrame:
     star = settled(stars(docs, level, boundary, buckets), "stars")
 
     # subset keys: whatever shares one with a set of the smaller size links with it
-    subsets = star.where("kind > 0")
+    subsets = star.where(f"kind > 0 and kind < {LOOK_UP}")
     members = subsets.select("key", "kind", "node", "size").union(
         subsets.select("key", "kind", F.col("rep"), F.col("rep_size")))
     centre = members.groupBy("key").agg(F.min(F.struct("size", "node")).alias("c"))
@@ -414,37 +435,39 @@ def similarity_join(docs: DataFrame) -> DataFrame:
         F.col("c.node").alias("u"), F.col("node").alias("v"))
 
     # inverted lists: every set with the first one of its list
-    lists = star.where("kind = 0")
-    pairs = settled(lists.where(could_link("rep_size", "size")).select(
-        F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct(), "pairs")
+    lists = star.where(f"kind = 0 or kind = {LOOK_UP}")
+    meets = could_link("rep_size", "size") & (
+        (F.col("kind") == 0) | (F.col("rep_size") <= F.col("size")))
+    pairs = settled(hopeful(lists.where(meets).select(
+        F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct(), places),
+        "pairs")
     tested = [pairs]
     found = [compare(docs, pairs, places), direct]
     grouped = components(union_all(found))
-    members, turn = lists.select("key", "node", "size").distinct(), 0
+    members, turn = lists.groupBy("key", "node").agg(
+        F.min("kind").alias("kind"), F.min("size").alias("size")), 0
     while True:
         own = members.join(grouped, "node", "left").select(
-            "key", "node", "size", F.coalesce("component", "node").alias("component"))
-        unlike = own.groupBy("key").agg(F.min("component").alias("lo"),
-                                        F.max("component").alias("hi")).where("lo <> hi")
+            "key", "node", "kind", "size", F.coalesce("component", "node").alias("component"))
+        unlike = own.groupBy("key").agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"),
+            F.min("kind").alias("least")).where("lo <> hi and least = 0")
         members = settled(own.join(unlike.select("key"), "key"), "open")
         if members.isEmpty():
             break
         order = F.struct(F.xxhash64("node", F.lit(turn)), "node")
-        centres = settled(top_per_key(members, order, FIRST_CENTRES * 8 ** turn), "centres")
-        other = centres.select("key", F.col("node").alias("rep"), F.col("size").alias("rep_size"),
-                               F.col("component").alias("rep_component"))
-        fresh = members.join(other, "key").where(
-            (F.col("component") != F.col("rep_component")) & could_link("rep_size", "size")).select(
-            F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct()
+        centres = settled(top_per_key(members.where("kind = 0"), order, FIRST_CENTRES * 16 ** turn),
+                          "centres")
+        fresh = star_pairs(members, centres, places)
         for old in tested:
             fresh = fresh.join(old, ["a", "b"], "left_anti")
-        tested.append(settled(fresh, "pairs"))
+        tested.append(settled(fresh.distinct(), "pairs"))
         more = compare(docs, tested[-1], places)
         if not more.isEmpty():
             found.append(more)
             grouped = components(union_all(found))
         members = members.join(centres.select("key", "node"), ["key", "node"], "left_anti") \
-            .select("key", "node", "size")
+            .drop("component")
         turn += 1
 
     own = places.join(grouped, "node", "left").select(
@@ -455,6 +478,89 @@ def similarity_join(docs: DataFrame) -> DataFrame:
         "doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def star_pairs(members: DataFrame, centres: DataFrame, places: DataFrame) -> DataFrame:
+    """(a, b): centres of lists with members of other components that may link.
+
+    A long list goes to several tasks, each with all its centres; pairs are ruled out where they
+    are made, so a row is an open pair and not a meeting."""
+    marks = places.select("node", "marks")
+    parts = members.groupBy("key").agg(
+        F.ceil(F.count("*") / LIST_PART).cast("int").alias("parts"))
+    plain = ["key", "node", "size", "component", "marks"]
+    listed = members.join(parts, "key").select(
+        "key", "node", "size", "component", F.pmod(F.xxhash64("node"), "parts").cast("long").alias("part"),
+        F.when(F.col("kind") == 0, 1).otherwise(2).alias("role"))
+    chosen = centres.join(parts, "key").select(
+        "key", "node", "size", "component",
+        F.explode(F.expr("sequence(0L, parts - 1L)")).alias("part"),
+        F.lit(0).alias("role"))
+    rows = listed.union(chosen).join(marks, "node").select(*plain, "part", "role") \
+        .repartition("key", "part").sortWithinPartitions("key", "part", "role")
+    schema = fields("a long, b long")
+    types = to_arrow_schema(schema)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stars, out = None, None, ([], [])
+        for batch in batches:
+            role = np.asarray(batch.column("role"))
+            columns = {c: np.asarray(batch.column(c)) for c in ("node", "size", "component")}
+            keys = list(zip(batch.column("key").to_pylist(), batch.column("part").to_pylist()))
+            blobs = batch.column("marks").to_pylist()
+            for i, key in enumerate(keys):
+                if key != now:
+                    now, stars = key, Stars()
+                row = (int(columns["node"][i]), int(columns["size"][i]),
+                       int(columns["component"][i]), blobs[i])
+                if role[i] == 0:
+                    stars.add(*row)
+                else:
+                    for other in stars.may_link(*row, entered=role[i] == 1):
+                        out[0].append(min(row[0], other))
+                        out[1].append(max(row[0], other))
+            if out[0]:
+                yield to_batch({"a": out[0], "b": out[1]}, types)
+                out = ([], [])
+
+    return rows.mapInArrow(meet, schema)
+
+
+class Stars:
+    """The centres of a list, their parities stacked by length."""
+
+    def __init__(self) -> None:
+        self.rows: dict[int, list] = {}
+        self.stacked: dict[int, tuple] = {}
+
+    def add(self, node: int, size: int, component: int, marks: bytes) -> None:
+        self.rows.setdefault(len(marks), []).append((node, size, component, marks))
+
+    def may_link(self, node: int, size: int, component: int, marks: bytes, entered: bool) -> list:
+        a, b = SHARE
+        own, out = np.frombuffer(marks, np.uint8), []
+        for n, rows in self.rows.items():
+            if n > 2 * len(own) or len(own) > 2 * n:  # sizes too far apart to link
+                continue
+            if n not in self.stacked:
+                self.stacked[n] = (*(np.array(x) for x in zip(*(r[:3] for r in rows))), np.stack(
+                    [np.frombuffer(r[3], np.uint8) for r in rows]))
+            nodes, sizes, components, bits = self.stacked[n]
+            mine = own
+            if len(mine) > n:  # fold the longer to the shorter
+                mine = mine[:n] ^ mine[n:]
+            elif n > len(mine):
+                bits = bits[:, :len(mine)] ^ bits[:, len(mine):]
+            fit = (components != component) & (nodes != node) & (
+                np.minimum(sizes, size) * b >= a * np.maximum(sizes, size))
+            if not entered:
+                fit &= sizes <= size
+            at = np.flatnonzero(fit)
+            if len(at):
+                apart = np.bitwise_count(bits[at] ^ mine).sum(1)
+                out += nodes[at[apart.astype(np.int64) * (a + b) <= (b - a) * (sizes[at] + size)]] \
+                    .tolist()
+        return out
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for more in frames[1:]:

@@ -81,7 +81,8 @@ def test_any_boundary_gives_the_same_links(make_docs, monkeypatch, boundary):
 def test_boundary_is_the_cheapest():
     assert J.choose_boundary({}) == 1
     assert 3 <= J.choose_boundary({n: 1000 for n in range(1, 25)}) <= 9
-    assert comb(8, J.needed(7, 8)) == 8 and J.needed(8, 8) == 7 and J.prefix(8) == 3
+    assert comb(8, J.needed(7, 8)) == 8 and J.needed(8, 8) == 7
+    assert J.look_ups(8) == 3 and J.entries(8) == 2
 
 
 def test_one_of_each_group_stays(make_docs):
