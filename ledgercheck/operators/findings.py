@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgercheck import PACK_VERSION, __version__, fixed
-from ledgercheck.checks.contract import Model
+from ledgercheck.checks.contract import Model, contract
 from ledgercheck.checks.rules import RULES, Rule
 from ledgercheck.functions import dates, ids, numbers, text
 from ledgercheck.schema import CONTRACT, FINDING
+from ledgercheck.session import at_once
 
 
 @dataclass(frozen=True)
@@ -25,16 +27,46 @@ class RunContext:
     pack_version: str = PACK_VERSION
 
 
-def run_rules(model: Model, rules: list[Rule] = RULES) -> tuple[dict[str, DataFrame], dict]:
-    """Check results per rule, and the missing tables of rules that are skipped."""
-    results, skipped = {}, {}
-    for rule in rules:
+@dataclass
+class Outcomes:
+    """What became of every rule: executed, skipped for missing tables, or failed and why."""
+
+    executed: list[str] = field(default_factory=list)
+    skipped: dict[str, list[str]] = field(default_factory=dict)
+    failed: dict[str, str] = field(default_factory=dict)
+
+
+def run_rules(
+    model: Model, rules: list[Rule], write: Callable[[str, DataFrame], None]
+) -> Outcomes:
+    """Run every rule whose tables are there and `write` its hits.
+
+    A check that fails, be it while it is planned or while it runs, is an outcome of that rule;
+    the others go on.
+    """
+    def one(rule: Rule) -> tuple[str, str, object]:
         absent = model.missing(rule.requires)
         if absent:
-            skipped[rule.id] = absent
+            return rule.id, "skipped", absent
+        try:
+            write(rule.id, with_rule(rule.check(model), rule))
+        except Exception as error:  # the reason goes into the report
+            return rule.id, "failed", str(error).strip().splitlines()[0][:300]
+        return rule.id, "executed", None
+
+    found = Outcomes()
+    for rule_id, status, detail in at_once(one, rules):
+        if status == "executed":
+            found.executed.append(rule_id)
         else:
-            results[rule.id] = rule.check(model)
-    return results, skipped
+            getattr(found, status)[rule_id] = detail
+    return found
+
+
+def no_hits(model: Model) -> DataFrame:
+    """Hits of no rule: the columns `with_rule` gives."""
+    none = contract(model["business_partner"].filter(F.lit(False)), bp_key=F.col("bp_key"))
+    return with_rule(none, RULES[0])
 
 
 def check_contract(columns: list[str]) -> None:

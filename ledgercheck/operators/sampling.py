@@ -83,3 +83,17 @@ def group_reviews(progress: DataFrame, by: str, at: str) -> DataFrame:
         "rule_id", "outcome", F.col("rejected_id").alias("blocked_by_finding_id"),
         F.lit(by.strip()).alias("by"), F.lit(at).alias("at"),
     )
+
+
+def review_ids(
+    reviews: DataFrame, sample: DataFrame, released: DataFrame, findings: DataFrame
+) -> DataFrame:
+    """The findings of every review, one row each: those sampled, and those the release applies
+    to.  A rule may have any number of the latter, so they are no list."""
+    rules = findings.select("finding_id", "rule_id")
+    sampled = reviews.select("rule_id").join(sample, "rule_id").select(
+        "rule_id", F.lit("sampled").alias("part"), "finding_id")
+    applied = released.select("finding_id").join(rules, "finding_id").join(
+        reviews.filter("outcome = 'released'").select("rule_id"), "rule_id").select(
+        "rule_id", F.lit("applied").alias("part"), "finding_id")
+    return sampled.unionByName(applied)

@@ -191,6 +191,14 @@ def stage_counts(staged: Staged) -> DataFrame:
     ).select(F.lit(staged.table).alias("table"), "*")
 
 
+def parse_array(df: DataFrame, key: list[str], column: str, kind: str,
+                notation: str | None = None) -> DataFrame:
+    """Type every element of an array of texts: one row per element, with its place from 1."""
+    rows = df.select(*key, F.posexplode(column).alias("place", "text")).withColumn(
+        "place", F.col("place") + 1)
+    return parse_values(rows, "text", kind, notation).withColumnRenamed("text__typed", "value")
+
+
 def parse_values(df: DataFrame, column: str, kind: str, notation: str | None = None) -> DataFrame:
     """Type one text column of any table by the staging rules, as `<column>__typed`."""
     if kind in numbers.SCALES:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgercheck.checks import bank_data, cross_role, double_payment, items, master_data
+from ledgercheck.checks.contract import Model
 from ledgercheck.checks.rules import RULE_BY_ID, RULES
 from ledgercheck.fixed import SEVERITIES, STATUSES, TIERS, VAT_PATTERNS
 from ledgercheck.functions import bank, dates, numbers, text
@@ -23,10 +25,12 @@ from ledgercheck.operators import (
     sampling,
     staging,
 )
+from ledgercheck.operators.findings import Outcomes
 from ledgercheck.plans import run
 from ledgercheck.plans.bridge import raw_exports
 from ledgercheck.plans.derived import (
     CONTEXT,
+    _once,
     all_findings,
     export_folder,
     model,
@@ -77,6 +81,15 @@ def parse_amount(spark, sf_dir):
     return df
 
 
+@query
+def parse_array(spark, sf_dir):
+    """The prices of an order as one array parameter."""
+    texts = _price_text(_read(spark, sf_dir, "lineitem")).groupBy("l_orderkey").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "text"))),
+                    lambda x: x["text"]).alias("texts"))
+    return staging.parse_array(texts, ["l_orderkey"], "texts", "amount", "de")
+
+
 @query
 def parse_percent(spark, sf_dir):
     df = _read(spark, sf_dir, "lineitem").selectExpr(
@@ -689,8 +702,36 @@ def decision_problems(spark, sf_dir):
 def decision_import(spark, sf_dir):
     found = all_findings(spark, sf_dir)
     some = found.filter("category <> 'leakage'")
-    samples = found.select("rule_id").distinct()
-    return decisions.import_report(_records(found), some, "other-run", samples)
+    path = work_folder(spark, "decision-file")
+    sample, records = sampling.draw_sample(found), _accepting(found)
+    progress = sampling.sample_progress(sample, records)
+    at = "2026-01-02T10:00:00Z"
+    reviews = sampling.group_reviews(progress, "Prüfer", at)
+    documents.write_decision_file(
+        path, documents.run_info(found).withColumn("run_id", F.lit("other-run")), _records(found),
+        reviews, sampling.review_ids(reviews, sample, sampling.group_release(
+            found, progress, records, "Prüfer", at), found), " Prüfer ", at)
+    parts = documents.read_decision_file(spark, path)
+    return decisions.import_report(parts["decisions"], some, parts["header"].first()["run_id"],
+                                   parts["sample_reviewed"])
+
+
+@query
+def decision_file(spark, sf_dir):
+    """Parts and rows of a decisions export as it is read back."""
+    found = all_findings(spark, sf_dir)
+    path = work_folder(spark, "decision-file")
+    none = found.filter(F.lit(False))
+    reviews = sampling.group_reviews(
+        sampling.sample_progress(sampling.draw_sample(none), _accepting(none)), "P", "t")
+    ids = sampling.review_ids(reviews, sampling.draw_sample(none), none, none)
+    documents.write_decision_file(path, documents.run_info(found), _records(found), reviews, ids,
+                                  " P ", "2026-01-02T10:00:00Z")
+    parts = documents.read_decision_file(spark, path)
+    head = parts["header"].select("format", "format_version", "run_id", "data_as_of",
+                                  "exported_at", "exported_by")
+    return head.crossJoin(parts["decisions"].agg(F.count("*").alias("decisions"))).crossJoin(
+        parts["sample_reviewed"].agg(F.count("*").alias("reviews")))
 
 
 @query
@@ -906,6 +947,18 @@ def group_reviews(spark, sf_dir):
     return sampling.group_reviews(progress, "Prüfer", "2026-01-02T10:00:00Z")
 
 
+@query
+def review_ids(spark, sf_dir):
+    """The sampled and applied findings of every review."""
+    found = all_findings(spark, sf_dir)
+    sample, records = sampling.draw_sample(found), _accepting(found)
+    progress = sampling.sample_progress(sample, records)
+    at = "2026-01-02T10:00:00Z"
+    return sampling.review_ids(
+        sampling.group_reviews(progress, "Prüfer", at), sample,
+        sampling.group_release(found, progress, records, "Prüfer", at), found)
+
+
 # -- expectation against run -------------------------------------------------------------------
 
 @query
@@ -946,14 +999,19 @@ def top_reject_reasons(spark, sf_dir):
 
 @query
 def rule_outcomes(spark, sf_dir):
-    """Outcomes of a run without the terms table: two rules are skipped."""
+    """Outcomes of a run without the terms table and with one broken check: two rules are
+    skipped, one fails, the others run."""
     m = model(spark, sf_dir)
     tables = {n: df for n, df in m.tables.items() if n != "payment_terms"}
-    executed = [r.id for r in RULES if "payment_terms" not in r.requires]
-    skipped = {r.id: [t for t in r.requires if t not in tables] for r in RULES
-               if r.id not in executed}
-    found = all_findings(spark, sf_dir).filter(F.col("rule_id").isin(*executed))
-    return report.rule_outcomes(found, executed, skipped).select("rule_id", "status", "findings")
+    without = Model(tables, m.as_of, m.window_from, m.thresholds)
+
+    def broken(part: Model) -> DataFrame:
+        return RULE_BY_ID["AP-VAL-003"].check(part).withColumn(
+            "current_value", F.raise_error(F.lit("broken on purpose")).cast("string"))
+
+    rules = [replace(r, check=broken) if r.id == "AP-VAL-003" else r for r in RULES]
+    found, told = run.check_all(without, CONTEXT, settle_for(spark, "outcomes"), rules)
+    return report.rule_outcomes(found, told).select("rule_id", "status", "findings")
 
 
 @query
@@ -961,10 +1019,39 @@ def run_totals(spark, sf_dir):
     p = prepared(spark, sf_dir)
     counts = run.documents_union([staging.stage_counts(s) for s in p.staged.values()])
     found = all_findings(spark, sf_dir)
-    outcomes = report.rule_outcomes(found, [r.id for r in RULES], {})
+    outcomes = report.rule_outcomes(found, Outcomes([r.id for r in RULES]))
     return report.run_totals(counts, canonical.conservation(p.canonical), found, outcomes)
 
 
+def _whole_run(spark, sf_dir) -> run.RunResult:
+    """A run from export files, with a decision memory one entry of which is an orphan."""
+    def build() -> run.RunResult:
+        found = all_findings(spark, sf_dir)
+        memory = _memory(found)
+        return run.execute(spark, export_folder(spark, sf_dir), work_folder(spark, "runs"),
+                           CONTEXT.created_at, memory=memory)
+
+    return _once(spark, sf_dir, "whole_run", build)
+
+
+@query
+def run_hints(spark, sf_dir):
+    """What a whole run says that is no problem; columns not delivered are those of the derived
+    exports and are left out."""
+    return _whole_run(spark, sf_dir).tables["hints"].filter(
+        "source <> 'mapped column not delivered'").select("source", "key", "n")
+
+
+@query
+def run_summary(spark, sf_dir):
+    """The summary of a whole run as it is read back; it agrees with the findings."""
+    result = _whole_run(spark, sf_dir)
+    problems = report.summary_problems(result.tables["findings"], result.tables["summary"])
+    n = problems.agg(F.count("*").alias("problems"))
+    return result.tables["summary"].select(
+        "findings", "rules_executed", "rules_skipped", "rules_failed", "outcome").crossJoin(n)
+
+
 @query
 def run_info(spark, sf_dir):
     return documents.run_info(all_findings(spark, sf_dir)).withColumn(

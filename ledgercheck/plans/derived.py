@@ -43,8 +43,7 @@ def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings of all checks."""
     def build() -> DataFrame:
         settle, m = settle_for(spark, "findings"), model(spark, sf_dir)
-        results, _ = findings.run_rules(m)
-        return settle(check_all(m, results, CONTEXT, settle), "findings")
+        return settle(check_all(m, CONTEXT, settle)[0], "findings")
 
     return _once(spark, sf_dir, "findings", build)
 

@@ -22,6 +22,7 @@ from ledgercheck.operators.canonical import (
     build_canonical,
     conservation,
     delivered_window,
+    emails,
     tiered_terms,
     unknown_vat_prefixes,
 )
@@ -48,17 +49,6 @@ class Settler:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def by_rule(self, parts: dict[str, DataFrame], name: str) -> DataFrame:
-        """One table of the results of several rules, a folder per rule."""
-        def write(item: tuple[str, DataFrame]) -> None:
-            rule_id, df = item
-            df.drop("rule_id").write.mode("overwrite").parquet(
-                f"{self.folder}/{name}/rule_id={rule_id}")
-
-        at_once(write, parts.items())
-        schema = next(iter(parts.values())).schema
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
-
 
 @dataclass
 class Prepared:
@@ -125,15 +115,22 @@ def run_id(
 
 
 def check_all(
-    model: Model, results: dict[str, DataFrame], ctx: findings.RunContext, settle: Settler,
-    rules: list[Rule] = RULES,
-) -> DataFrame:
-    """Finding documents of all check results, enriched in one join for all rules."""
-    by_id = {rule.id: rule for rule in rules}
-    hits = settle.by_rule(
-        {rule_id: findings.with_rule(df, by_id[rule_id]) for rule_id, df in results.items()},
-        "hits")
-    return findings.to_documents(findings.enriched(hits, model), ctx, model.as_of)
+    model: Model, ctx: findings.RunContext, settle: Settler, rules: list[Rule] = RULES,
+) -> tuple[DataFrame, findings.Outcomes]:
+    """Finding documents of all checks, enriched in one join for all rules, and what became of
+    every rule."""
+    folder = f"{settle.folder}/hits"
+
+    def write(rule_id: str, hits: DataFrame) -> None:
+        hits.drop("rule_id").write.mode("overwrite").parquet(f"{folder}/rule_id={rule_id}")
+
+    outcomes = findings.run_rules(model, rules, write)
+    none = findings.no_hits(model)
+    found = none
+    if outcomes.executed:
+        found = settle.spark.read.schema(none.schema).option("basePath", folder).parquet(
+            *[f"{folder}/rule_id={rule_id}" for rule_id in outcomes.executed])
+    return findings.to_documents(findings.enriched(found, model), ctx, model.as_of), outcomes
 
 
 @dataclass
@@ -173,8 +170,25 @@ def execute(
 ) -> RunResult:
     """Run everything over a folder of exports and write the result tables.
 
-    The time of the run is an argument, so that the same input gives the same output.
+    The time of the run is an argument, so that the same input gives the same output.  A run that
+    breaks off leaves `aborted/run.json` with outcome 2 and the reason.
     """
+    try:
+        return _execute(spark, input_folder, out_folder, created_at, scope, data_as_of, notation,
+                        memory, memory_hash, rules, thresholds)
+    except Exception as error:
+        reason = str(error).strip().splitlines()[0][:1000] if str(error).strip() else repr(error)
+        spark.createDataFrame([(2, reason, created_at)], (
+            "outcome int, reason string, created_at string")).write.mode("overwrite").json(
+            f"{out_folder.rstrip('/')}/aborted/run.json")
+        raise
+
+
+def _execute(
+    spark: SparkSession, input_folder: str, out_folder: str, created_at: str, scope: Scope | None,
+    data_as_of: dt.date | None, notation: str | None, memory: DataFrame | None,
+    memory_hash: str | None, rules: list[Rule], thresholds: dict | None,
+) -> RunResult:
     tune(spark)
     scope = scope or Scope()
     stamp = spark.range(1).select(dates.utc_stamp_text(F.lit(created_at)).alias("t")).first()["t"]
@@ -186,9 +200,10 @@ def execute(
     name = run_id(exports, scope, prepared.as_of, notation, memory_hash)
     ctx = findings.RunContext(name, stamp)
 
-    results, skipped = findings.run_rules(prepared.model, rules)
-    found = check_all(prepared.model, results, ctx, settle, rules)
+    found, told = check_all(prepared.model, ctx, settle, rules)
     if memory is not None:
+        as_text = memory.select(*[F.col(c).cast("string") for c in decisions.MEMORY_FIELDS])
+        _refuse(decisions.memory_problems(as_text), "invalid decision entries", settle.folder)
         applied = decisions.apply_memory(found.drop("finding_key", "problem"), memory)
         keys = found.select("finding_id", "finding_key", "problem")
         found = applied.join(keys, "finding_id")
@@ -200,10 +215,21 @@ def execute(
     rejects = report.with_run_id(prepared.rejects(), name)
     counts = documents_union([stage_counts(s) for s in prepared.staged.values()])
     canonical = conservation(prepared.canonical)
-    outcomes = report.rule_outcomes(found, list(results), skipped)
+    outcomes = report.rule_outcomes(found, told)
     totals = [control_totals(s).select(F.lit(s.table).alias("table"), "*")
               for s in prepared.staged.values() if "amount_signed_local" in s.rows.columns]
+    read_as_cp1252 = [(e.name, 1) for e in exports if e.encoding == "CP1252"]
+    not_delivered = [(f"{name}.{column}", 1) for name, part in prepared.staged.items()
+                     for column in part.missing]
     notes = report.hints({
+        "read as CP1252": spark.createDataFrame(read_as_cp1252, "name string, n bigint"),
+        "mapped column not delivered": spark.createDataFrame(
+            not_delivered, "column string, n bigint"),
+        **({"several e-mails": emails(prepared.staged["ADR6"].rows).filter("ambiguous").agg(
+            F.lit("addresses").alias("key"), F.count("*").alias("n"))}
+           if "ADR6" in prepared.staged else {}),
+        **({"decision without finding": decisions.orphans(found, memory).select(
+            "finding_id", F.lit(1).alias("n"))} if memory is not None else {}),
         "unknown VAT prefix": unknown_vat_prefixes(prepared.model["bp_tax_id"]),
         "tiered payment terms": tiered_terms(prepared.model["payment_terms"]),
         "unclassified document type": relevance.unclassified_doc_types(
@@ -215,12 +241,14 @@ def execute(
         "control_totals": documents_union(totals), "rule_outcomes": outcomes, "hints": notes,
         "run_meta": run_meta(spark, name, exports, scope, prepared, stamp),
         "finding_keys": found.select("finding_id", "finding_key"),
+        **({"memory_summary": decisions.memory_summary(found, memory),
+            "memory_orphans": decisions.orphans(found, memory)} if memory is not None else {}),
         **{f"canonical/{t}": df for t, df in prepared.model.tables.items()},
     }
     at_once(lambda t: tables[t].write.mode("overwrite").parquet(f"{out}/{t}"), tables)
     written = {t: spark.read.parquet(f"{out}/{t}") for t in tables}
     summary = report.run_totals(written["stage_counts"], written["canonical_counts"], found,
-                                written["rule_outcomes"])
+                                written["rule_outcomes"]).withColumn("run_id", F.lit(name))
     summary.write.mode("overwrite").option("ignoreNullFields", False).json(f"{out}/run.json")
     found.select(*documents.finding_fields()).orderBy("finding_id").write.mode("overwrite").json(
         f"{out}/findings.json")
@@ -228,6 +256,8 @@ def execute(
         documents.write_memory(memory, f"{out}/decision_memory")
     written["findings"] = documents.read_findings(spark, f"{out}/findings.json")
     written["summary"] = spark.read.schema(summary.schema).json(f"{out}/run.json")
+    _refuse(report.summary_problems(written["findings"], written["summary"]),
+            "disagreements of summary and findings", settle.folder)
     return RunResult(name, out, written)
 
 

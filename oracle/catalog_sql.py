@@ -43,6 +43,9 @@ SELECT l_orderkey, l_linenumber, text, value AS value_de,
        CASE WHEN form = 6 AND whole >= 1000 THEN NULL ELSE value END AS value_iso,
        CASE WHEN form = 6 AND whole >= 1000 THEN NULL ELSE value END AS value_none
 FROM price_texts"""
+ORACLE["parse_array"] = f"""WITH {_PRICES}
+SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, text)::INTEGER
+       AS place, text, value FROM price_texts"""
 ORACLE["value_notation"] = f"""WITH {_PRICES}
 SELECT form::INTEGER AS form, CASE WHEN form IN (0, 2, 5) THEN 'de' WHEN form IN (1, 3, 4) THEN 'iso' END
        AS notation, count(*) AS n
@@ -430,9 +433,17 @@ ORACLE["decision_import"] = with_findings("""
 SELECT count(*) AS total, count(*) FILTER (category <> 'leakage') AS applied,
        count(*) FILTER (category = 'leakage') AS missing, 'other-run' AS file_run,
        'derived-run' AS loaded_run, TRUE AS run_mismatch,
-       (SELECT count(DISTINCT rule_id) FROM findings) AS samples_total,
-       (SELECT count(DISTINCT rule_id) FROM findings WHERE category <> 'leakage') AS samples_applied
-FROM records JOIN findings USING (finding_id)""", _RECORDS)
+       (SELECT count(*) FROM reviewed) AS samples_total,
+       (SELECT count(*) FROM reviewed WHERE rule_id IN (
+           SELECT rule_id FROM findings WHERE category <> 'leakage')) AS samples_applied
+FROM records JOIN findings USING (finding_id)""", _RECORDS + """,
+reviewed AS (SELECT DISTINCT rule_id FROM findings
+             WHERE damage_class <> 1 AND NOT contains(rule_id, 'LEA'))""")
+ORACLE["decision_file"] = with_findings("""
+SELECT 'decisions' AS format, 1 AS format_version, 'derived-run' AS run_id,
+       (SELECT strftime(as_of, '%Y-%m-%d') FROM run) AS data_as_of,
+       '2026-01-02T10:00:00Z' AS exported_at, 'P' AS exported_by,
+       count(*) AS decisions, 0::BIGINT AS reviews FROM records""", _RECORDS)
 ORACLE["decision_import_missing"] = with_findings("""
 SELECT finding_id FROM records JOIN findings USING (finding_id) WHERE category = 'leakage'""",
                                                   _RECORDS)
@@ -594,6 +605,12 @@ ORACLE["group_reviews"] = with_findings("""
 SELECT DISTINCT rule_id, 'released' AS outcome, NULL::VARCHAR AS blocked_by_finding_id,
        'Prüfer' AS by, '2026-01-02T10:00:00Z' AS at
 FROM sample WHERE NOT contains(rule_id, 'LEA')""", _SAMPLE)
+ORACLE["review_ids"] = with_findings("""
+SELECT rule_id, 'sampled' AS part, finding_id FROM sample WHERE NOT contains(rule_id, 'LEA')
+UNION ALL
+SELECT rule_id, 'applied', finding_id FROM findings
+WHERE damage_class <> 1 AND NOT contains(rule_id, 'LEA')
+  AND finding_id NOT IN (SELECT finding_id FROM sample)""", _SAMPLE)
 ORACLE["document_pairs"] = with_findings("""
 SELECT f.finding_id, position::INTEGER AS position, company_code || '/' || fy || '/' || doc
        AS document_key, reference AS value, strftime(day, '%Y-%m-%d') AS observed_at
@@ -647,8 +664,10 @@ FROM reasons
 QUALIFY place <= 5""", "items", _ALL_REJECTS)
 ORACLE["rule_outcomes"] = with_findings(f"""
 SELECT r.rule_id, CASE WHEN r.rule_id IN ('AR-COM-002', 'AP-LEA-002') THEN 'skipped'
+           WHEN r.rule_id = 'AP-VAL-003' AND count(f.finding_id) > 0 THEN 'failed'
            ELSE 'executed' END AS status,
-       count(f.finding_id) FILTER (r.rule_id NOT IN ('AR-COM-002', 'AP-LEA-002')) AS findings
+       count(f.finding_id) FILTER (r.rule_id NOT IN ('AR-COM-002', 'AP-LEA-002', 'AP-VAL-003'))
+           AS findings
 FROM (SELECT unnest({sorted(RULE_SQL)}) AS rule_id) r LEFT JOIN findings f USING (rule_id)
 GROUP BY r.rule_id""")
 ORACLE["run_totals"] = with_findings("""
@@ -659,8 +678,11 @@ SELECT (SELECT count(*) FROM findings) AS findings, count(DISTINCT source) AS ta
            + 2 * (SELECT count(*) FROM customer) + (SELECT count(*) FROM payment_terms)
            + (SELECT count(*) FROM company_code))::BIGINT AS rows_canonical,
        (SELECT count(*) FROM all_rejects) AS rejects, 17::BIGINT AS rules_executed,
-       0::BIGINT AS rules_skipped, 1 AS outcome
+       0::BIGINT AS rules_skipped, 0::BIGINT AS rules_failed, 1 AS outcome
 FROM raw_counts""", _RAW_COUNTS + "," + _ALL_REJECTS)
+ORACLE["run_summary"] = with_findings("""
+SELECT count(*) AS findings, 17::BIGINT AS rules_executed, 0::BIGINT AS rules_skipped,
+       0::BIGINT AS rules_failed, 1 AS outcome, 0::BIGINT AS problems FROM findings""")
 ORACLE["run_info"] = with_findings("""
 SELECT 'derived-run' AS run_id, (SELECT strftime(as_of, '%Y-%m-%d') FROM run) AS data_as_of,
        '0.1.0' AS engine_version, '0.1' AS pack_version,
@@ -672,3 +694,13 @@ SELECT finding_id, CASE substr(finding_id, 3, 1) WHEN '1' THEN 'missing: title'
 FROM findings WHERE substr(finding_id, 3, 1) IN ('1', '2')
 UNION ALL SELECT NULL, 'several values of run_id' FROM findings
 HAVING count(*) FILTER (substr(finding_id, 3, 1) = '3') > 0""")
+ORACLE["run_hints"] = " UNION ALL ".join(
+    f"SELECT '{source}' AS source, {key}::VARCHAR AS key, {n}::BIGINT AS n FROM ({ORACLE[name]})"
+    for source, name, key, n in (
+        ("unknown VAT prefix", "unknown_vat_prefixes", "prefix", "n"),
+        ("tiered payment terms", "tiered_terms", "terms_key", "n"),
+        ("unclassified document type", "unclassified_doc_types", "doc_type", "n"),
+        ("decision without finding", "memory_orphans", "finding_id", "1"),
+    )) + f""" UNION ALL SELECT 'read as CP1252', 'LFB1_export.txt', 1
+UNION ALL SELECT 'several e-mails', 'addresses', count(*) FROM ({ORACLE["email_choice"]})
+WHERE ambiguous"""

@@ -1,11 +1,16 @@
 import datetime as dt
 import itertools
 import random
+from dataclasses import replace
+
+from pyspark.sql import functions as F
 
 from conftest import AS_OF, item, make_model, partner
 
 from ledgercheck.checks import bank_data, cross_role, double_payment, items, master_data
-from ledgercheck.operators import explore, findings
+from ledgercheck.checks.rules import RULE_BY_ID, RULES
+from ledgercheck.operators import explore, findings, report
+from ledgercheck.plans.run import check_all
 
 DAY = dt.date(2026, 3, 1)
 
@@ -242,8 +247,22 @@ def test_blocked_unused_and_unchecked_accounts(spark):
     assert master_data.invoice_check_off(model).first().source_summary.startswith("0 von 1 ")
 
 
-def test_a_rule_without_its_tables_is_skipped(spark):
-    model = make_model(spark)
+def test_a_rule_without_its_tables_is_skipped_and_one_that_fails_is_told(spark, settle):
+    model = make_model(spark, business_partner=[partner("C:1")])
     del model.tables["payment_terms"]
-    results, skipped = findings.run_rules(model)
-    assert set(skipped) == {"AR-COM-002", "AP-LEA-002"} and len(results) == 15
+
+    def planned(_):
+        raise KeyError("no such column")
+
+    def running(part):
+        return RULE_BY_ID["AR-HYG-001"].check(part).withColumn(
+            "current_value", F.raise_error(F.lit("broken")).cast("string"))
+
+    broken = {"AP-VAL-001": planned, "AR-HYG-001": running}
+    rules = [replace(r, check=broken.get(r.id, r.check)) for r in RULES]
+    found, told = check_all(model, findings.RunContext("r", "t"), settle, rules)
+    assert set(told.skipped) == {"AR-COM-002", "AP-LEA-002"} and set(told.failed) == set(broken)
+    assert len(told.executed) == 13 and found.count() == 0
+    rows = {r.rule_id: r.status for r in report.rule_outcomes(found, told).collect()}
+    assert rows["AR-HYG-001"] == "failed" and rows["AP-LEA-002"] == "skipped"
+    assert findings.no_hits(model).count() == 0
