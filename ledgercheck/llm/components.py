@@ -20,7 +20,7 @@ def _links(df: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of `links` (u, v); the component is its least node."""
     now = settled(_links(links), "links")
-    while not _are_stars(now):
+    while True:
         # large star: every larger neighbour of u to the least of u and its neighbours
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -33,6 +33,8 @@ def components(links: DataFrame) -> DataFrame:
         following = settled(_links(small), "small")
         discard(now, large)
         now = following
+        if _are_stars(now):
+            break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select("v", "v").distinct())
 

@@ -23,7 +23,7 @@ comparisons.
 Postings travel packed: hashes and set numbers as arrays per bucket of keys, so that a shuffle
 row holds thousands.  A bucket is read as a stream; it keeps one entry per different key.
 
-Pairs are first held against parities of their sets, about a bit per shingle, which rule out most
+Pairs are first held against parities of their sets, a few bits per shingle, which rule out most
 pairs that do not link and none that does; only the sets of the others are fetched.
 
 Shingles and sets are told apart by 64-bit hashes.
@@ -60,7 +60,7 @@ LOOK_UP = 255            # kind of a posting that is a look-up and no entry
 BUCKET_POSTINGS = 1_000_000
 MAX_BUCKETS = 1 << 14
 FLUSH = 1_000_000        # postings a task packs at once
-FIRST_CENTRES = 128      # stars per list in the first further round; then 16 times as many
+FIRST_CENTRES = 1000     # stars per list in the first further round; then 16 times as many
 
 
 def needed(s: int, t: int) -> int:
@@ -131,7 +131,7 @@ def node_of(own: np.ndarray) -> int | None:
 
 
 def marks_of(own: np.ndarray) -> bytes | None:
-    """Parities of a set: a bit per shingle on average, each flipped by the shingles it stands for.
+    """Parities of a set: four bits or more per shingle, each flipped by those it stands for.
 
     Two sets of s and t shingles that link differ in at most (s + t) / 7 of them, so their
     parities, folded to one length, differ in no more bits."""
@@ -143,7 +143,7 @@ def marks_of(own: np.ndarray) -> bytes | None:
 
 
 def mark_bits(size: int) -> int:
-    return max(64, 1 << (size - 1).bit_length())
+    return max(256, 4 << (size - 1).bit_length())
 
 
 def may_link(x: bytes, y: bytes, s: int, t: int) -> bool:
@@ -458,10 +458,10 @@ def similarity_join(docs: DataFrame) -> DataFrame:
         order = F.struct(F.xxhash64("node", F.lit(turn)), "node")
         centres = settled(top_per_key(members.where("kind = 0"), order, FIRST_CENTRES * 16 ** turn),
                           "centres")
-        fresh = star_pairs(members, centres, places)
+        fresh = star_pairs(members, centres, places).distinct()
         for old in tested:
             fresh = fresh.join(old, ["a", "b"], "left_anti")
-        tested.append(settled(fresh.distinct(), "pairs"))
+        tested.append(settled(fresh, "pairs"))
         more = compare(docs, tested[-1], places)
         if not more.isEmpty():
             found.append(more)
@@ -500,7 +500,7 @@ def star_pairs(members: DataFrame, centres: DataFrame, places: DataFrame) -> Dat
     types = to_arrow_schema(schema)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, stars, out = None, None, ([], [])
+        now, stars, out, given = None, None, ([], []), set()
         for batch in batches:
             role = np.asarray(batch.column("role"))
             columns = {c: np.asarray(batch.column(c)) for c in ("node", "size", "component")}
@@ -515,11 +515,16 @@ def star_pairs(members: DataFrame, centres: DataFrame, places: DataFrame) -> Dat
                     stars.add(*row)
                 else:
                     for other in stars.may_link(*row, entered=role[i] == 1):
-                        out[0].append(min(row[0], other))
-                        out[1].append(max(row[0], other))
+                        pair = (min(row[0], other), max(row[0], other))
+                        if pair not in given:
+                            given.add(pair)
+                            out[0].append(pair[0])
+                            out[1].append(pair[1])
             if out[0]:
                 yield to_batch({"a": out[0], "b": out[1]}, types)
                 out = ([], [])
+            if len(given) > FLUSH:  # what is given twice is made one later
+                given = set()
 
     return rows.mapInArrow(meet, schema)
 
