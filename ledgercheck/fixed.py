@@ -147,6 +147,23 @@ DATE_INITIALS = ("00000000", "00.00.0000", "0000-00-00")
 # -- letters written out when a name is reduced to its core ------------------------------
 TRANSLITERATION = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"}
 REJECT_EMPTY = "{target}.{column} ist leer"
-REJECT_ORPHAN = ("Stammsatz fehlt: ", " steht nicht in business_partner")
-REJECT_TWICE = " kommt in {source} mehrfach vor – keine der Zeilen wird uebernommen"
-REJECT_TAKEN = " steht bereits aus einer anderen Quelltabelle in {target}"
+REJECT_ORPHAN = "Stammsatz fehlt: {bp_key} steht nicht in business_partner"
+REJECT_TWICE = (
+    "{columns} {key} kommt in {source} mehrfach vor – keine der Zeilen wird uebernommen"
+)
+REJECT_TAKEN = "{columns} {key} steht bereits aus einer anderen Quelltabelle in {target}"
+
+# -- fixed values: forms of the fields of a finding ------------------------------------------
+MASK_PATTERN = r"^(?:[A-Za-z0-9] ?){0,4}(?:…|\.\.\.|\*{2,}) ?(?:[A-Za-z0-9] ?){0,4}\z"
+AMOUNT_PATTERN = r"^-?[0-9]+\.[0-9]{2}\z"
+CURRENCY_PATTERN = r"^[A-Z]{3}\z"
+KEY_PATTERN = r"^[CV]:[A-Za-z0-9]+\z"
+DATE_PATTERN = r"^\d{4}-\d{2}-\d{2}\z"
+FINDING_FORMS = {
+    "finding_id": r"^F-[a-f0-9]{12}\z",
+    "rule_id": r"^(AR|AP|CROSS)-(COM|VAL|CON|HYG|RSK|DUP|LEA)-[0-9]{3}\z",
+    "rule_version": r"^[0-9]+\.[0-9]+\z", "entity.bp_key": KEY_PATTERN, "data_as_of": DATE_PATTERN,
+    "relevance.open_items": AMOUNT_PATTERN, "relevance.volume_12m": AMOUNT_PATTERN,
+    "relevance.currency": CURRENCY_PATTERN, "relevance.last_activity_on": DATE_PATTERN,
+    "impact_eur.amount": AMOUNT_PATTERN, "impact_eur.currency": CURRENCY_PATTERN,
+}

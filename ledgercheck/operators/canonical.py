@@ -291,15 +291,21 @@ def orphan_keys(rows: DataFrame, partners: DataFrame) -> DataFrame:
 
 
 def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys more than one row has, over all sources."""
-    return rows.select(*keys).dropna().groupBy(*keys).count().filter("count > 1").drop("count")
+    """Keys more than one row has, over all sources.
+
+    Hashes are counted first; only keys whose hash repeats are counted as texts.
+    """
+    sound = rows.select(*keys, F.xxhash64(*keys).alias("_h")).dropna()
+    repeated = sound.groupBy("_h").count().filter("count > 1").select("_h")
+    return sound.join(repeated, "_h", "left_semi").groupBy(*keys).count().filter(
+        "count > 1").drop("count")
 
 
 def mark_orphans(rows: DataFrame, orphans: DataFrame) -> DataFrame:
     """Add a reason to rows whose partner is not in the model."""
     orphans = orphans.withColumn("_orphan", F.lit(True))
-    before, after = fixed.REJECT_ORPHAN
-    reason = F.when(F.col("_orphan"), F.concat(F.lit(before), F.col("bp_key"), F.lit(after)))
+    reason = F.when(F.col("_orphan"), text.fill(
+        fixed.REJECT_ORPHAN, F.create_map(F.lit("bp_key"), F.col("bp_key"))))
     return (
         rows.join(orphans, "bp_key", "left")
         .withColumn(REASON, F.coalesce(F.col(REASON), reason))
@@ -334,14 +340,12 @@ def mark_duplicates(
     verdict = settle(
         counts.select(*keys, F.create_map(*verdicts).alias("_verdicts")), f"{target}-verdicts"
     )
-    key_text = F.concat(
-        F.lit("/".join(keys) + " "), F.concat_ws("|", *[F.col(k) for k in keys])
-    )
+    words = F.create_map(
+        F.lit("columns"), F.lit("/".join(keys)), F.lit("source"), F.col(SOURCE),
+        F.lit("key"), F.concat_ws("|", *[F.col(k) for k in keys]), F.lit("target"), F.lit(target))
     found = F.try_element_at(F.col("_verdicts"), F.col(SOURCE))
-    twice_text = F.concat(key_text, F.lit(fixed.REJECT_TWICE.split("{source}")[0]),
-                          F.col(SOURCE), F.lit(fixed.REJECT_TWICE.split("{source}")[1]))
-    taken_text = F.concat(key_text, F.lit(fixed.REJECT_TAKEN.format(target=target)))
-    reason = F.when(found == "twice", twice_text).when(found == "taken", taken_text)
+    reason = F.when(found == "twice", text.fill(fixed.REJECT_TWICE, words)).when(
+        found == "taken", text.fill(fixed.REJECT_TAKEN, words))
     return (
         rows.join(verdict, keys, "left")
         .withColumn(REASON, F.coalesce(F.col(REASON), reason))

@@ -166,11 +166,6 @@ def finding_columns() -> list[str]:
 
 # -- what makes a finding invalid --------------------------------------------------------
 
-_MASK = r"^(?:[A-Za-z0-9] ?){0,4}(?:…|\.\.\.|\*{2,}) ?(?:[A-Za-z0-9] ?){0,4}\z"
-_AMOUNT = r"^-?[0-9]+\.[0-9]{2}\z"
-_CURRENCY = r"^[A-Z]{3}\z"
-_KEY = r"^[CV]:[A-Za-z0-9]+\z"
-_DATE = r"^\d{4}-\d{2}-\d{2}\z"
 _REQUIRED = (
     "finding_id", "run_id", "rule_id", "rule_version", "engine_version", "pack_version", "side",
     "category", "severity", "damage_class", "tier", "action_type", "title", "entity.bp_key",
@@ -178,14 +173,6 @@ _REQUIRED = (
     "remediation.sap_transaction", "remediation.mass_change_eligible", "status", "data_as_of",
     "created_at",
 )
-_FORMS = {
-    "finding_id": r"^F-[a-f0-9]{12}\z",
-    "rule_id": r"^(AR|AP|CROSS)-(COM|VAL|CON|HYG|RSK|DUP|LEA)-[0-9]{3}\z",
-    "rule_version": r"^[0-9]+\.[0-9]+\z", "entity.bp_key": _KEY, "data_as_of": _DATE,
-    "relevance.open_items": _AMOUNT, "relevance.volume_12m": _AMOUNT,
-    "relevance.currency": _CURRENCY, "relevance.last_activity_on": _DATE,
-    "impact_eur.amount": _AMOUNT, "impact_eur.currency": _CURRENCY,
-}
 _ENUMS = {
     "side": fixed.SIDES, "category": fixed.CATEGORIES, "severity": fixed.SEVERITIES,
     "damage_class": (1, 2, 3), "tier": fixed.TIERS, "action_type": fixed.ACTION_TYPES,
@@ -201,7 +188,7 @@ def _constraints() -> list[tuple[str, Column]]:
     """(name, condition that must not be false) for every rule a finding has to keep."""
     c = F.col
     found = [(f"required: {name}", c(name).isNotNull()) for name in _REQUIRED]
-    found += [(f"form: {name}", c(name).rlike(form)) for name, form in _FORMS.items()]
+    found += [(f"form: {name}", c(name).rlike(form)) for name, form in fixed.FINDING_FORMS.items()]
     found += [(f"enum: {name}", c(name).isin(*values)) for name, values in _ENUMS.items()]
     found += [
         ("length: title", F.length("title").between(1, 120)),
@@ -226,21 +213,21 @@ def _constraints() -> list[tuple[str, Column]]:
         ("enum: evidence.reference_kind", F.forall(
             "evidence", lambda e: e["reference_kind"].isNull()
             | e["reference_kind"].isin(*fixed.REFERENCE_KINDS))),
-        ("form: evidence.observed_at", _all_match("evidence", "observed_at", _DATE)),
+        ("form: evidence.observed_at", _all_match("evidence", "observed_at", fixed.DATE_PATTERN)),
         ("required: documents", F.forall("entity.documents", lambda d: (
             d["company_code"].isNotNull() & d["fiscal_year"].isNotNull()
             & d["document_no"].isNotNull()))),
-        ("form: documents.amount", _all_match("entity.documents", "amount", _AMOUNT)),
-        ("form: documents.currency", _all_match("entity.documents", "currency", _CURRENCY)),
-        ("form: documents.document_date", _all_match("entity.documents", "document_date", _DATE)),
-        ("form: documents.cleared_on", _all_match("entity.documents", "cleared_on", _DATE)),
-        ("form: records.bp_key", _all_match("entity.records", "bp_key", _KEY)),
+        ("form: documents.amount", _all_match("entity.documents", "amount", fixed.AMOUNT_PATTERN)),
+        ("form: documents.currency", _all_match("entity.documents", "currency", fixed.CURRENCY_PATTERN)),
+        ("form: documents.document_date", _all_match("entity.documents", "document_date", fixed.DATE_PATTERN)),
+        ("form: documents.cleared_on", _all_match("entity.documents", "cleared_on", fixed.DATE_PATTERN)),
+        ("form: records.bp_key", _all_match("entity.records", "bp_key", fixed.KEY_PATTERN)),
         ("form: records.iban_masked", F.forall("entity.records", lambda r: (
-            r["fields"]["iban_masked"].isNull() | r["fields"]["iban_masked"].rlike(_MASK)))),
+            r["fields"]["iban_masked"].isNull() | r["fields"]["iban_masked"].rlike(fixed.MASK_PATTERN)))),
         ("form: records.country", F.forall("entity.records", lambda r: (
             r["fields"]["country"].isNull() | r["fields"]["country"].rlike(r"^[A-Z]{2}\z")))),
         ("form: records.open_items", F.forall("entity.records", lambda r: (
-            r["fields"]["open_items"].isNull() | r["fields"]["open_items"].rlike(_AMOUNT)))),
+            r["fields"]["open_items"].isNull() | r["fields"]["open_items"].rlike(fixed.AMOUNT_PATTERN)))),
         ("required: options", F.forall("proposed.options", lambda o: (
             o["label"].isNotNull() & o["consequence"].isNotNull()))),
         # three rules across fields

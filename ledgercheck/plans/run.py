@@ -16,6 +16,7 @@ from ledgercheck.checks.rules import RULES, Rule
 from ledgercheck.functions import dates
 from ledgercheck.operators import decisions, findings, relevance, report
 from ledgercheck.operators.canonical import (
+    SOURCE,
     Canonical,
     Scope,
     Settle,
@@ -33,6 +34,10 @@ from ledgercheck.sources.files import Export, read_exports
 from ledgercheck.sources.mapping import EXPORT_TABLES
 
 
+# Folders of a settled table: checks of open items read these alone.
+LAYOUT = {"fi_item": ("is_open", SOURCE)}
+
+
 @dataclass(frozen=True)
 class Settler:
     """Write an intermediate table and read it back.
@@ -46,8 +51,9 @@ class Settler:
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        layout = [c for c in LAYOUT.get(name, ()) if c in df.columns]
+        df.write.mode("overwrite").partitionBy(*layout).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 @dataclass
