@@ -7,21 +7,16 @@ from pyspark.sql import functions as F
 
 from ledgercheck.checks.contract import Model, contract, evidence, params
 from ledgercheck.checks.records import MEMBER_COLUMNS, value_key
+from ledgercheck import fixed
 from ledgercheck.functions import numbers
 from ledgercheck.functions.bank import iban_mask
-
-_PURPOSE = {
-    "CUSTOMER": ", die über diese IBAN per Lastschrift eingezogen würden",
-    "VENDOR": ", die an diese IBAN gezahlt würden",
-}
+from ledgercheck.functions.text import said
 
 
 def _bank_reference() -> Column:
     dash = F.lit("–")
-    return F.concat(
-        F.lit("TIBAN BANKL "), F.coalesce("bank_key", dash),
-        F.lit(" / BVTYP "), F.coalesce("partner_bank_type", dash),
-    )
+    return said(fixed.IBAN_REFERENCE, bank_key=F.coalesce("bank_key", dash),
+                bank_type=F.coalesce("partner_bank_type", dash))
 
 
 def invalid_iban(model: Model, role: str) -> DataFrame:
@@ -38,16 +33,15 @@ def invalid_iban(model: Model, role: str) -> DataFrame:
     return contract(
         found, bp_key=F.col("bp_key"), role=F.col("role"), source_table="TIBAN",
         source_field="IBAN", current_value=F.col("masked"),
-        current_display="Prüfziffer ungültig (Mod-97)",
+        current_display=fixed.IBAN_WRONG,
         evidence=F.array(evidence(
             "iban_checksum", _bank_reference(), F.col("masked"), False,
-            "Mod-97-Prüfung fehlgeschlagen")),
+            fixed.IBAN_WRONG_NOTE)),
         impact_amount=F.when(at_stake, F.col("open_items_local")),
         impact_currency=F.when(at_stake, F.col("currency")),
-        impact_formula=F.when(at_stake, F.concat(
-            F.lit("Offene Posten "),
-            numbers.money(F.col("open_items_local"), F.col("currency")),
-            F.lit(_PURPOSE[role]))),
+        impact_formula=F.when(at_stake, said(
+            fixed.OPEN_ITEMS_AT_STAKE[role],
+            money=numbers.money(F.col("open_items_local"), F.col("currency")))),
         params=params(iban_masked=F.col("masked"), bank_key=F.col("bank_key"),
                       partner_bank_type=F.col("partner_bank_type")),
     )
@@ -135,16 +129,12 @@ def shared_iban(model: Model) -> DataFrame:
     return contract(
         clusters, bp_key=F.col("anchor"), role="VENDOR", source_table="TIBAN",
         source_field="IBAN", current_value=masked,
-        current_display=F.concat(
-            F.lit("bei "), n, F.lit(" Kreditorenkonten hinterlegt, ohne Regulierer-Bezug")),
+        current_display=said(fixed.IBAN_SHARED, n=n),
         evidence=F.array(
             evidence("deterministic", _bank_reference(), masked, False,
-                     F.concat(F.lit("dieselbe IBAN bei "), n, F.lit(" Konten")),
-                     kind="master_field"),
-            evidence("deterministic", "LFA1-LNRZA / LFB1-LNRZB / Partnerrollen",
-                     "kein Regulierer hinterlegt", False,
-                     "Kein gemeinsamer Zahlungsempfänger verbindet diese Konten",
-                     kind="master_field")),
+                     said(fixed.IBAN_SHARED_NOTE, n=n), kind="master_field"),
+            evidence("deterministic", fixed.PAYER_REFERENCE, fixed.PAYER_NONE, False,
+                     fixed.PAYER_NOTE, kind="master_field")),
         params=params(konten=F.col("accounts"), iban_masked=masked,
                       bank_key=F.col("bank_key"), partner_bank_type=F.col("partner_bank_type")),
     )

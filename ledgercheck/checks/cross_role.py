@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ledgercheck.checks.contract import Model, contract, params
 from ledgercheck.checks.records import MEMBER_COLUMNS, value_key
+from ledgercheck import fixed
 from ledgercheck.functions.bank import iban_mask
+from ledgercheck.functions.text import said
 from ledgercheck.schema import EVIDENCE
 
 _VAT, _BANK = "USt-IdNr.", "Bankverbindung"
@@ -107,27 +109,20 @@ def customer_is_vendor(model: Model) -> DataFrame:
     fields = F.array_sort(F.transform(
         distinct("criterion"), lambda c: F.when(c == _BANK, F.lit(_FIELD[_BANK]))
         .otherwise(F.lit(_FIELD[_VAT]))))
-    n = F.col("vendors").cast("string")
     return contract(
         found, bp_key=F.col("bp_key"), role="CUSTOMER", source_table="KNA1 + LFA1",
         source_field=F.array_join(fields, " + "), current_value=shown,
-        current_display=F.concat(
-            F.lit("derselbe Geschäftspartner ist als Debitor und als Kreditor geführt "
-                  "(Übereinstimmung: "), criteria, F.lit(")")),
-        proposed_display=(
-            "Verrechnung prüfen und beide Konten gegenseitig eintragen – nicht zusammenführen"),
-        source_summary=F.concat(
-            F.lit("Deterministischer Abgleich: "), criteria,
-            F.lit(" identisch bei Debitor und "),
-            F.when(F.col("vendors") == 1, F.lit("einem Kreditorenkonto"))
-            .otherwise(F.concat(n, F.lit(" Kreditorenkonten"))),
-            F.lit("; kein Namens- oder Adressabgleich")),
+        current_display=said(fixed.CROSS_ROLE, criteria=criteria),
+        proposed_display=fixed.CROSS_ROLE_PROPOSAL,
+        source_summary=said(
+            fixed.CROSS_ROLE_SUMMARY, criteria=criteria,
+            vendors=F.when(F.col("vendors") == 1, F.lit(fixed.ONE_VENDOR))
+            .otherwise(said(fixed.SOME_VENDORS, n=F.col("vendors")))),
         evidence=F.transform("hits", lambda h: F.struct(
             F.lit("deterministic").alias("source_type"), h["reference"].alias("reference"),
             F.lit("master_field").alias("reference_kind"), h["value"].alias("value"),
             F.lit(None).cast("string").alias("observed_at"), F.lit(True).alias("agrees"),
-            F.concat(F.lit("dieselbe "), h["criterion"],
-                     F.lit(" bei Debitor und Kreditor")).alias("note"),
+            said(fixed.CROSS_ROLE_NOTE, criterion=h["criterion"]).alias("note"),
         ).cast(EVIDENCE)),
         params=params(match_label=criteria, match_value=shown, kreditoren=F.col("vendors")),
     )

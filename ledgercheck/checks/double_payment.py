@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgercheck.checks.contract import Model, contract, document, evidence, params
+from ledgercheck import fixed
 from ledgercheck.functions import dates, numbers
+from ledgercheck.functions.text import said
 from ledgercheck.operators.relevance import doc_types
 
 MAX_DAYS = 60
@@ -184,20 +186,17 @@ def double_payment(model: Model) -> DataFrame:
         pairs, bp_key=F.col("bp_key"), role="VENDOR", company_code=F.col("a.company_code"),
         source_table="BSAK", source_field="XBLNR",
         current_value=F.concat("a.reference", F.lit(" | "), "b.reference"),
-        current_display=F.concat(F.lit("Zwei bezahlte Rechnungen über "), money),
-        proposed_display="Rückforderung oder Verrechnung",
-        source_summary=F.concat(
-            F.lit("Belegpaar "), "a.document_no", F.lit(" / "), "b.document_no",
-            F.lit(": gleicher Betrag, Referenz "),
-            F.when(F.col("a.reference") == F.col("b.reference"), F.lit("identisch"))
+        current_display=said(fixed.PAID_TWICE, money=money),
+        proposed_display=fixed.PAID_TWICE_PROPOSAL,
+        source_summary=said(
+            fixed.PAID_TWICE_SUMMARY, a=F.col("a.document_no"), b=F.col("b.document_no"), days=gap,
+            likeness=F.when(F.col("a.reference") == F.col("b.reference"), F.lit("identisch"))
             .otherwise(F.lit("nahezu identisch")),
-            F.lit(", "), gap, F.lit(" Tage Abstand, keine Gutschrift in 180 Tagen"),
-            F.when(F.col("matches") > 1, F.concat(
-                F.lit("; "), F.col("matches").cast("string"), F.lit(" passende Belege")))
+            more=F.when(F.col("matches") > 1, said(fixed.PAID_TWICE_MORE, n=F.col("matches")))
             .otherwise(F.lit(""))),
         evidence=F.array(proof("a", "Rechnung A"), proof("b", "Rechnung B")),
         impact_amount=F.col("amount_doc"), impact_currency=F.col("currency"),
-        impact_formula="Betrag der zweiten Zahlung, keine Gutschrift gefunden",
+        impact_formula=fixed.PAID_TWICE_FORMULA,
         documents=F.array(invoice("a"), invoice("b")),
         params=params(amount=money, currency=F.col("currency"), ref_a=F.col("a.reference"),
                       ref_b=F.col("b.reference")),

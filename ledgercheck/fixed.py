@@ -167,3 +167,42 @@ FINDING_FORMS = {
     "relevance.currency": CURRENCY_PATTERN, "relevance.last_activity_on": DATE_PATTERN,
     "impact_eur.amount": AMOUNT_PATTERN, "impact_eur.currency": CURRENCY_PATTERN,
 }
+
+# -- fixed values: sentences of the checks ------------------------------------------------
+IBAN_WRONG = "Prüfziffer ungültig (Mod-97)"
+IBAN_WRONG_NOTE = "Mod-97-Prüfung fehlgeschlagen"
+IBAN_REFERENCE = "TIBAN BANKL {bank_key} / BVTYP {bank_type}"
+IBAN_SHARED = "bei {n} Kreditorenkonten hinterlegt, ohne Regulierer-Bezug"
+IBAN_SHARED_NOTE = "dieselbe IBAN bei {n} Konten"
+PAYER_REFERENCE = "LFA1-LNRZA / LFB1-LNRZB / Partnerrollen"
+PAYER_NONE = "kein Regulierer hinterlegt"
+PAYER_NOTE = (
+    "Ein Zentralregulierer traegt die Bankverbindung seiner Mitglieder zu Recht; "
+    "hier verbindet die Konten keiner"
+)
+OPEN_ITEMS_AT_STAKE = {
+    "CUSTOMER": "Offene Posten {money}, die über diese IBAN per Lastschrift eingezogen würden",
+    "VENDOR": "Offene Posten {money}, die an diese IBAN gezahlt würden",
+}
+CROSS_ROLE = (
+    "derselbe Geschäftspartner ist als Debitor und als Kreditor geführt "
+    "(Übereinstimmung: {criteria})"
+)
+CROSS_ROLE_PROPOSAL = (
+    "Verrechnung prüfen und beide Konten gegenseitig eintragen – nicht zusammenführen"
+)
+CROSS_ROLE_SUMMARY = (
+    "Deterministischer Abgleich: {criteria} identisch bei Debitor und {vendors}; "
+    "kein Namens- oder Adressabgleich"
+)
+ONE_VENDOR = "einem Kreditorenkonto"
+SOME_VENDORS = "{n} Kreditorenkonten"
+CROSS_ROLE_NOTE = "dieselbe {criterion} bei Debitor und Kreditor"
+PAID_TWICE = "Zwei bezahlte Rechnungen über {money}"
+PAID_TWICE_PROPOSAL = "Rückforderung oder Verrechnung"
+PAID_TWICE_SUMMARY = (
+    "Belegpaar {a} / {b}: gleicher Betrag, Referenz {likeness}, {days} Tage Abstand, "
+    "keine Gutschrift in 180 Tagen{more}"
+)
+PAID_TWICE_MORE = "; {n} passende Belege"
+PAID_TWICE_FORMULA = "Betrag der zweiten Zahlung, keine Gutschrift gefunden"

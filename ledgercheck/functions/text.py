@@ -167,3 +167,11 @@ def fill(template: str, params: Column) -> Column:
         elif piece:
             parts.append(F.lit(piece))
     return F.concat(*parts) if parts else F.lit("")
+
+
+def said(template: str, **values: Column) -> Column:
+    """A sentence with columns in the {names} of its template; a NULL gives NULL."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[
+        values[piece].cast("string") if i % 2 else F.lit(piece)
+        for i, piece in enumerate(pieces) if i % 2 or piece])
