@@ -19,12 +19,25 @@ from ledgercheck.session import work_folder
 # Tasks get the code of this package with the job, so that executors need no installation.
 cloudpickle.register_pickle_by_value(sys.modules["ledgercheck"])
 
-SLICE_BYTES = 2 << 20  # text handled at once in a task, or one row if that is longer
+SLICE_BYTES = 1 << 19  # text handled at once in a task, or one row if that is longer
+
+
+# Rows of text go to tasks in small batches, so that two tasks fit beside an executor's heap.
+ARROW_SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for key, value in ARROW_SETTINGS.items():
+        spark.conf.set(key, value)
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = work_folder(spark, f"llm-{name}")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -101,6 +114,7 @@ def scan_texts(df: DataFrame, work: Callable[[pa.RecordBatch], dict | None],
                schema: T.StructType, text: str = "text") -> DataFrame:
     """Run `work` over slices of rows; it returns the output columns (name: values)."""
     types = to_arrow_schema(schema)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):

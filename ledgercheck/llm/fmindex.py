@@ -63,7 +63,7 @@ class FMIndex:
             rank = _rank(_pair(rank, reach))
             reach *= 2
         key = _pair(rank, depth - reach)  # two overlapping runs of `reach` symbols
-        suffixes = np.argsort(key, kind="stable")
+        suffixes = np.argsort(key)  # ties share their first `depth` symbols; any order does
         self.wavelet = Wavelet(text[suffixes - 1], n_symbols)
         self.count = np.zeros(n_symbols + 1, np.int64)
         np.cumsum(np.bincount(text, minlength=n_symbols), out=self.count[1:])
@@ -125,7 +125,7 @@ def _pair(rank: np.ndarray, step: int) -> np.ndarray:
 
 
 def _rank(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     out = np.empty(len(key), np.int64)
     out[order] = _Groups(key[order]).of
     return out + 1  # 0 is past the end

@@ -57,9 +57,9 @@ MAX_SMALL = 12           # largest boundary considered
 LIST_PART = 2048         # members of one list that meet its centres in one task
 VERIFY = 4               # cost of comparing a posting's set, in postings
 LOOK_UP = 255            # kind of a posting that is a look-up and no entry
-BUCKET_POSTINGS = 1_000_000
+BUCKET_POSTINGS = 500_000
 MAX_BUCKETS = 1 << 14
-FLUSH = 1_000_000        # postings a task packs at once
+FLUSH = 500_000        # postings a task packs at once
 FIRST_CENTRES = 1000     # stars per list in the first further round; then 16 times as many
 
 

@@ -33,9 +33,9 @@ DIMENSIONS = 4096
 ORDERS = (1, 2, 3, 4)   # lengths of n-grams, in bytes
 PASSAGES = (24, 80)     # lengths of the short passages fitted on, in bytes
 STEPS = 60
-PIECE = 1 << 20
+PIECE = 1 << 18
 AMBIGUOUS = 0.6         # share of the best codeword below which a text is ambiguous
-ROWS_AT_ONCE = 512
+ROWS_AT_ONCE = 128
 MODEL_BYTES = 32 << 20
 
 LETTER = re.compile(r"[^\W\d_]")

@@ -38,15 +38,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ledgercheck.llm.common import (bitmap_of, fields, in_bitmap, scan_texts, settled, slices,
                                     string_buffers, to_batch)
 from ledgercheck.llm.fmindex import FMIndex
-from ledgercheck.llm.tokens import NOT_SPACE, Hasher, Words, mix, windows, words
+from ledgercheck.llm.tokens import NOT_SPACE, Hasher, Words, mix, window_starts, words
 
 SIZE = 20
 GRAM = 8
-SHARD_SYMBOLS = 400_000
+SHARD_SYMBOLS = 300_000
 MAX_SEGMENTS = 4096
-BUCKET_SEGMENTS = 400_000
+BUCKET_SEGMENTS = 300_000
 MAX_BUCKETS = 1 << 14
-FLUSH = 500_000
+FLUSH = 300_000
 LOWEST = -(1 << 63)  # stands for a null id
 
 
@@ -63,7 +63,7 @@ def prints(w: Words) -> np.ndarray:
 
 def segments(w: Words, hasher: Hasher):
     """(first word, number of windows, anchor) of every segment."""
-    at, _ = windows(w, SIZE, hasher)
+    at = window_starts(w, SIZE)
     none = np.zeros(0, np.int64)
     if not len(at):
         return none, none, np.zeros(0, np.uint64)
@@ -205,7 +205,7 @@ def with_texts(docs: DataFrame, wanted: DataFrame, by_window: bool) -> DataFrame
     def cut(part: pa.RecordBatch) -> dict:
         out = {f.name: [] for f in schema}
         data, offsets = string_buffers(part.column("text"))
-        w = words(data, offsets, NOT_SPACE, False, hasher)
+        w = words(data, offsets, NOT_SPACE, False, hasher if by_window else None)
         for row, (doc, mark, own) in enumerate(zip(
                 *(part.column(c).to_pylist() for c in ("doc_id", "print", "own")))):
             base = int(w.first[row])
@@ -332,16 +332,20 @@ def remove_repeats(docs: DataFrame, max_segments: int = MAX_SEGMENTS) -> DataFra
     lookup = bitmap_of(cuts, F.col("doc_id"))
 
     def every(part: pa.RecordBatch) -> dict:
-        data, offsets = string_buffers(part.column("text"))
-        w = words(data, offsets, NOT_SPACE, False, hasher)
-        texts = part.column("text").to_pylist()
-        maybe = in_bitmap(lookup.value, ids_of(part))
-        return {"id": part.column("doc_id"), "doc_id": ids_of(part), "print": prints(w),
-                "n_words": w.counts(),
-                "kept_sha256": [None if m else hashlib.sha256(b" ".join((t or "").encode().split())
-                                                              ).hexdigest()
-                                for t, m in zip(texts, maybe)],
-                "text": [t if m else None for t, m in zip(texts, maybe)]}
+        ids = ids_of(part)
+        maybe = in_bitmap(lookup.value, ids)
+        # only rows that may lose words need their print
+        data, offsets = string_buffers(part.column("text").filter(pa.array(maybe)))
+        marks = np.zeros(len(ids), np.int64)
+        marks[maybe] = prints(words(data, offsets, NOT_SPACE, False, hasher))
+        counts, sums, texts = [], [], []
+        for text, m in zip(part.column("text").to_pylist(), maybe.tolist()):
+            all_words = (text or "").encode().split()
+            counts.append(len(all_words))
+            sums.append(None if m else hashlib.sha256(b" ".join(all_words)).hexdigest())
+            texts.append(text if m else None)
+        return {"id": part.column("doc_id"), "doc_id": ids, "print": marks, "n_words": counts,
+                "kept_sha256": sums, "text": texts}
 
     def cut(part: pa.RecordBatch) -> dict:
         n_removed, kept, sums = [], [], []

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-PIECE = 4 << 20  # bytes hashed at once; pieces end between words
+PIECE = 1 << 20  # bytes hashed at once; pieces end between words
 
 _rng = np.random.default_rng(20240229)
 BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,8 +83,8 @@ class Words:
 
 
 def words(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, lower: bool,
-          hasher: Hasher) -> Words:
-    """Words of all rows.  Rows are given by their offsets in data."""
+          hasher: Hasher | None) -> Words:
+    """Words of all rows, with hashes if a hasher is given.  Rows are given by their offsets."""
     if lower:
         data = LOWER[data]
     n = len(data)
@@ -105,7 +105,7 @@ def words(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, lower:
     after[cuts - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
     hashes = np.empty(len(starts), np.uint64)
-    lo = 0
+    lo = 0 if hasher else len(starts)
     while lo < len(starts):  # pieces bound the memory for one very long row
         base = starts[lo]
         hi = max(lo + 1, int(np.searchsorted(ends, base + PIECE, side="right")))
@@ -116,11 +116,14 @@ def words(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, lower:
                  offsets)
 
 
+def window_starts(w: Words, size: int) -> np.ndarray:
+    """First word of every run of `size` consecutive words of one row."""
+    total = len(w.starts)
+    left = np.repeat(w.first[1:], w.counts()) - np.arange(total)  # words from here to the row's end
+    return np.flatnonzero(left >= size)
+
+
 def windows(w: Words, size: int, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
     """First word and hash of every run of `size` consecutive words of one row."""
-    total = len(w.hashes)
-    if total < size:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    left = np.repeat(w.first[1:], w.counts()) - np.arange(total)  # words from here to the row's end
-    at = np.flatnonzero(left >= size)
+    at = window_starts(w, size)
     return at, hasher.runs(w.hashes, at, at + size)
