@@ -28,7 +28,7 @@ from ledgercheck.operators.canonical import (
     unknown_vat_prefixes,
 )
 from ledgercheck.operators.staging import Staged, control_totals, stage, stage_counts
-from ledgercheck.session import at_once, tune, work_folder
+from ledgercheck.session import at_once, remove_folder, tune, work_folder
 from ledgercheck.sources import documents
 from ledgercheck.sources.files import Export, read_exports
 from ledgercheck.sources.mapping import EXPORT_TABLES
@@ -264,6 +264,7 @@ def _execute(
     written["summary"] = spark.read.schema(summary.schema).json(f"{out}/run.json")
     _refuse(report.summary_problems(written["findings"], written["summary"]),
             "disagreements of summary and findings", settle.folder)
+    remove_folder(spark, settle.folder)
     return RunResult(name, out, written)
 
 

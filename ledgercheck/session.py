@@ -51,6 +51,12 @@ def local_session(cores: str = "8", app: str = "ledgercheck") -> SparkSession:
     return builder.getOrCreate()
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a working folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder the cluster names in spark.checkpoint.dir.
 
