@@ -23,11 +23,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgercheck.llm.common import (fields, packed, sample_by_hash, scan_texts, settled,
-                                    sized_broadcast, string_buffers)
+from ledgercheck.llm.common import (fields, packed, scan_texts, settled, sized_broadcast,
+                                    string_buffers)
 from ledgercheck.llm.tokens import ALNUM, BYTE_CODE, Hasher, words
 
 TERMS = 2048
@@ -82,11 +82,15 @@ def term_filter(terms: np.ndarray) -> np.ndarray:
 def examples(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame, dict]:
     """(text, toxic) of the examples, and the number of labelled documents per label."""
     own = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    total = {int(r[0]): r[1] for r in own.join(docs.select("doc_id"), "doc_id")
-             .groupBy("toxic").count().collect()}
-    # only hashes are ranked; at most 2 * ROWS_PER_LABEL rows bring their text
-    marked = docs.select("doc_id", "text").join(own, "doc_id").select("text", "toxic")
-    return sample_by_hash(marked, "text", rows, ("toxic",)), total
+    # only hashes are joined and ranked; at most 2 * ROWS_PER_LABEL texts are fetched by theirs
+    h = F.xxhash64("text").alias("_h")
+    marked = docs.select("doc_id", h).join(own, "doc_id").select("toxic", "_h")
+    total = {int(r[0]): r[1] for r in marked.groupBy("toxic").count().collect()}
+    order = Window.partitionBy("toxic").orderBy("_h")
+    chosen = marked.distinct().withColumn("_n", F.row_number().over(order)).where(
+        F.col("_n") <= rows).drop("_n")
+    return docs.select("text", h).join(F.broadcast(chosen), "_h").dropDuplicates(
+        ["toxic", "_h"]).select("text", "toxic"), total
 
 
 def choose_terms(sample: DataFrame, n: tuple[int, int]) -> np.ndarray:
