@@ -37,7 +37,7 @@ ITERATIONS = 12
 CALIBRATION = 128
 RECALL = 0.95
 QUERY_BLOCK = 1 << 14
-SUB_ROWS = 4096   # vectors of one cell that go to a task together
+SUB_ROWS = 512   # vectors of one cell that go to a task together
 
 
 def usable(frame: DataFrame) -> DataFrame:
