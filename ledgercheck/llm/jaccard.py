@@ -414,7 +414,9 @@ def could_link(s: str, t: str):
 
 
 def similarity_join(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, component_id) of every row of `docs` (doc_id, text)."""
+    """(doc_id, n_shingles, node, component, component_id) of every row of `docs` (doc_id, text).
+
+    `component` tells components apart; different ones may have one component_id."""
     units, level = sizes_and_counts(docs)
     sizes = {r[0]: r[1] for r in units.where(F.col("n_shingles").between(1, 2 * MAX_SMALL))
              .groupBy("n_shingles").count().collect()}
@@ -473,9 +475,10 @@ def similarity_join(docs: DataFrame) -> DataFrame:
     own = places.join(grouped, "node", "left").select(
         "node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    ids = own.join(least, "component").select("node", "component_id")
+    ids = own.join(least, "component").select("node", "component", "component_id")
     return units.join(ids, "node", "left").select(
-        "doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", "n_shingles", "node", "component",
+        F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def star_pairs(members: DataFrame, centres: DataFrame, places: DataFrame) -> DataFrame:
@@ -589,7 +592,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
                 "node": [node_of(x) for x in sets_of(part, hasher)]}
 
     joined = settled(similarity_join(docs.select("doc_id", "text")), "joined")
-    first = joined.where(F.col("node").isNotNull()).groupBy("component_id").agg(
+    first = joined.where(F.col("node").isNotNull()).groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("f")) \
         .select(F.col("f.doc_id").alias("_doc"), F.col("f.node").alias("_node"))
     rows = packed(docs)

@@ -95,6 +95,13 @@ def test_one_of_each_group_stays(make_docs):
     assert kept == sorted({c for _, n, c in brute(rows) if n} | {50, 51, 52})
 
 
+def test_groups_with_one_id_or_none_all_stay(make_docs):
+    a, b, c, d = near_copies(8, 4, 1, 40, 0)
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (6, c)]
+    kept = sorted(((r["doc_id"], r["text"]) for r in J.keep_one(make_docs(rows)).collect()), key=repr)
+    assert kept == sorted([(None, a), (None, b), (5, c), (5, d)], key=repr)
+
+
 def test_empty_table(make_docs):
     assert result(make_docs([])) == []
     assert J.keep_one(make_docs([])).count() == 0
