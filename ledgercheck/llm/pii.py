@@ -8,8 +8,13 @@ of each document.  Tokens of base spans are observed; other tokens whose belief
 reaches MIN_BELIEF, and that a skip or chain edge connects to that kind, become added spans.
 Base spans always stay.
 
-Groups of equal tokens are linked in order of occurrence, each to the next, so a token that
-occurs n times has n - 1 links.
+Groups of equal tokens are linked in order of occurrence, each to the next; an unobserved one is
+also linked to the nearest observed ones of its group before and after it, so that evidence does
+not fade with the number of repeats.  A token that occurs n times has fewer than 3n links.  What
+base patterns tell is fixed: no message changes it.  Messages run in each connected part of a
+document until none changes by SETTLED, whatever its length; loopy messages need not settle, so a
+part of n tokens that still swings ends after SWINGS + 4n rounds, twice what damped evidence takes
+over its longest path.
 
 Node weights (multinomial logistic regression) and edge potentials (pointwise mutual information
 of the labels at both ends) are fitted on at most SAMPLE_ROWS texts of at most SAMPLE_CHARS
@@ -42,7 +47,8 @@ SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 20000
 DIMENSIONS = 4096
 MIN_BELIEF = 0.9
-ROUNDS = 8
+SETTLED = 1e-4
+SWINGS = 100
 OBSERVED = 30.0
 MODEL_BYTES = 4 << 20
 
@@ -137,16 +143,17 @@ def barred(token: str) -> int:
 
 
 class Graph:
-    """Candidate tokens of a few texts: nodes, chain edges, skip edges."""
+    """Candidate tokens of a few texts: nodes, chain edges, skip edges to the next equal token and
+    far ones to the nearest observed."""
 
     def __init__(self) -> None:
         self.row, self.start, self.end, self.label = [], [], [], []
-        self.barred, self.features, self.chain, self.skip = [], [], [], []
+        self.barred, self.features, self.chain, self.skip, self.far = [], [], [], [], []
 
     def add(self, row: int, text: str, cuts: list[tuple[int, int]], spans) -> None:
         """`cuts`: whitespace-separated candidates as code points, in order."""
         bounds = sorted((a, b, k) for k, a, b in spans)
-        last, at, previous_end = {}, 0, -2
+        last, anchor, waiting, at, previous_end = {}, {}, {}, 0, -2
         for lo, hi in cuts:
             before = text[max(0, lo - 24):lo].rsplit(None, 1)[-1:] or [""]
             after = text[hi:hi + 24].split(None, 1)[:1] or [""]
@@ -175,8 +182,16 @@ class Graph:
                 self.chain.append((node - 1, node))
             previous_end = hi
             for key in keys_of(text[lo:hi]):
-                if key in last and last[key] != node:
-                    self.skip.append((last[key], node))
+                before = last.get(key)
+                if before is not None:
+                    self.skip.append((before, node))
+                if label:
+                    self.far += [(i, node) for i in waiting.pop(key, []) if i != before]
+                    anchor[key] = node
+                else:
+                    waiting.setdefault(key, []).append(node)
+                    if key in anchor and anchor[key] != before:
+                        self.far.append((anchor[key], node))
                 last[key] = node
 
 
@@ -241,7 +256,20 @@ def _potential(edges: list, label: np.ndarray) -> np.ndarray:
     return np.clip(np.log(joint / np.outer(alone, alone)), -4, 4)
 
 
-def beliefs(graph: Graph, model: dict, rounds: int = ROUNDS) -> np.ndarray:
+def parts_of(n: int, edges: np.ndarray) -> np.ndarray:
+    """The least node of the connected part of every node."""
+    part = np.arange(n)
+    while True:
+        least = part.copy()
+        np.minimum.at(least, edges[:, 0], part[edges[:, 1]])
+        np.minimum.at(least, edges[:, 1], part[edges[:, 0]])
+        least = least[least]
+        if (least == part).all():
+            return part
+        part = least
+
+
+def beliefs(graph: Graph, model: dict) -> np.ndarray:
     """Label probabilities of every node after loopy sum-product messages."""
     n = len(graph.row)
     node = model["node"][np.array(graph.features)].sum(1)
@@ -252,24 +280,36 @@ def beliefs(graph: Graph, model: dict, rounds: int = ROUNDS) -> np.ndarray:
     out = np.flatnonzero(graph.barred)
     node[out, np.array(graph.barred)[out]] -= OBSERVED
     total = node
-    edges = [(u, v, model["chain"]) for u, v in graph.chain] \
-        + [(u, v, model["skip"]) for u, v in graph.skip]
-    if edges:
-        u = np.array([e[0] for e in edges])
-        v = np.array([e[1] for e in edges])
-        table = np.stack([model["chain"]] * len(graph.chain) + [model["skip"]] * len(graph.skip))
+    edges = np.array(graph.chain + graph.skip + graph.far, int).reshape(-1, 2)
+    if len(edges):
+        u, v = edges.T
+        table = np.stack([model["chain"]] * len(graph.chain)
+                         + [model["skip"]] * (len(graph.skip) + len(graph.far)))
         source, target = np.concatenate([u, v]), np.concatenate([v, u])
         table = np.concatenate([table, table])
         back = np.concatenate([np.arange(len(u)) + len(u), np.arange(len(u))])
         message = np.zeros((len(source), LABELS))
-        for _ in range(rounds):
-            gathered = np.stack([np.bincount(target, message[:, k], n) for k in range(LABELS)], 1)
-            total = node + gathered
-            leaving = (total[source] - message[back])[:, :, None] + table
+        # parts that only observed tokens connect have nothing to tell each other
+        part = parts_of(n, edges[(label[u] == 0) & (label[v] == 0)])
+        limit = 4 * np.bincount(part, minlength=n) + SWINGS
+        live, turn, known = np.flatnonzero(label[target] == 0), 0, -1
+        while len(live):
+            if len(live) != known:  # edges of settled parts are gone
+                known, own, at, of = len(live), part[target[live]], source[live], table[live]
+                ends, into = np.unique(target[live], return_inverse=True)
+                place = np.full(n, len(ends))  # nothing reaches observed ones
+                place[ends] = np.arange(len(ends))
+            now, turn = message[live], turn + 1
+            gathered = np.stack([np.bincount(into, now[:, k], len(ends) + 1)
+                                 for k in range(LABELS)], 1)
+            leaving = (node[at] + gathered[place[at]] - message[back[live]])[:, :, None] + of
             top = leaving.max(1, keepdims=True)
             new = top[:, 0] + np.log(np.exp(leaving - top).sum(1))
             new -= new.max(1, keepdims=True)
-            message = 0.5 * message + 0.5 * new
+            message[live] = 0.5 * now + 0.5 * new
+            moving = np.zeros(n, bool)
+            moving[own[np.abs(new - now).max(1) > SETTLED]] = True
+            live = live[moving[own] & (turn < limit[own])]
         total = node + np.stack([np.bincount(target, message[:, k], n) for k in range(LABELS)], 1)
     total = np.exp(total - total.max(1, keepdims=True))
     return total / total.sum(1, keepdims=True)
@@ -285,14 +325,9 @@ def added_spans(texts: list, spans: list, model: dict) -> list[list]:
     best = p.argmax(1)
     label = np.array(graph.label)
     # a label needs support: an observed token of that kind reached over edges of that label
-    supported = label > 0
-    edges = np.array(graph.chain + graph.skip, int).reshape(-1, 2)
-    agree = edges[best[edges[:, 0]] == best[edges[:, 1]]]
-    while len(agree):
-        more = supported[agree[:, 0]] != supported[agree[:, 1]]
-        if not more.any():
-            break
-        supported[agree[more].ravel()] = True
+    edges = np.array(graph.chain + graph.skip + graph.far, int).reshape(-1, 2)
+    part = parts_of(len(best), edges[best[edges[:, 0]] == best[edges[:, 1]]])
+    supported = np.bincount(part, label > 0, len(best))[part] > 0
     chosen = np.flatnonzero((label == 0) & (best > 0) & supported & (p.max(1) >= MIN_BELIEF))
     for i in chosen.tolist():
         own, kind = out[graph.row[i]], int(best[i]) - 1

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from ledgercheck.llm import pii
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -70,6 +72,38 @@ def test_repeated_tokens_share_their_label(make_docs):
         assert kind == 3 and "555-0029" in text[a:b] and a > 300
 
 
+def test_every_repeat_has_the_label_of_the_observed():
+    # alone, a token is no personal data (e^3 to one)
+    field = {"node": np.zeros((pii.DIMENSIONS, pii.LABELS)), "chain": np.zeros((pii.LABELS,) * 2),
+             "skip": np.eye(pii.LABELS) * 7 - 3}
+    field["node"][:, 0] = 0.5
+    field["skip"][0, 0] = 0.2
+    gap, sign = "word " * 10, "call +1 (976) 555-0029. "
+    other = "part 555-0029 " + gap
+    for text in (sign + gap + other * 100, other * 100 + sign, other * 50 + sign + gap + other * 50):
+        spans = [pii.base_spans(text)]
+        assert len(spans[0]) == 1
+        added = pii.added_spans([text], spans, field)[0]
+        assert len(added) == 100
+        assert all(k == 3 and text[a:b] == "555-0029" for k, a, b in added)
+    assert pii.added_spans([other * 100], [[]], field) == [[]]
+
+
+def test_messages_settle_over_long_chains():
+    """Evidence at one end of a run of 300 tokens reaches the other."""
+    field = {"node": np.zeros((pii.DIMENSIONS, pii.LABELS)),
+             "chain": np.eye(pii.LABELS) * 12, "skip": np.zeros((pii.LABELS,) * 2)}
+    text = "a@b.cd " + "7 " * 300
+    graph = pii.graph_of([text], [pii.base_spans(text)])
+    p = pii.beliefs(graph, field)
+    # exact on a chain: the power of its transition
+    step = np.exp(field["chain"]) / np.exp(field["chain"]).sum(1, keepdims=True)
+    free = [i for i, x in enumerate(graph.label) if x == 0]
+    assert len(free) == 300
+    for k in (0, 9, 150, 299):
+        assert np.allclose(p[free[k]], np.linalg.matrix_power(step, k + 1)[1], atol=1e-3)
+
+
 def test_redaction(make_docs):
     docs = make_docs([(1, "mail a@b.cd or +1 976 555 0029 é"), (2, "nothing"), (3, None), (4, "")])
     out = pii.redact(docs, model(make_docs))
