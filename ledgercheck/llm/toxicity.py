@@ -1,4 +1,4 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by the nearest labelled examples under TF-IDF cosine, exact on the kept terms.
 
 Terms are words and their first 4 and 5 bytes, lower-cased.  Those kept (at most TERMS) tell the
 labels apart on the examples; their document frequencies are counted over all documents.  A text
