@@ -8,15 +8,18 @@ slot is a source a whole block ahead of or behind its target.
 
 The schedule repeats after one period, so only one period is computed (PERIOD slots and at most
 one per source more); every block finds its slot by its number in the period.  The work per
-document is one shuffle by (source, bucket) and broadcast joins with tables of MAX_SOURCES rows
-and of one period.
+document is one shuffle by (source, bucket) and joins with tables of one row per source and of one
+period, which are broadcast up to FEW_SOURCES sources.
+
+Targets are whole shares of the period, at least one each: the bound holds against these.  Weights
+are rounded to them, so weights finer than a thousandth need a longer `period`, and with many
+hundred sources most shares are one or two.
 
 When a source runs out its slots stay empty and the order of the rest goes on; `in_mix` marks the
 rows before the first missing block, up to which the bound holds.  No row is dropped.
 
 Defined results: a null source is a source of its own; rows with equal ids keep together; an
-empty table gives no rows; more than MAX_SOURCES sources are refused; other columns are passed
-through.
+empty table gives no rows; other columns are passed through.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 64
 PERIOD = 1000
 BUCKET_ROWS = 8192   # rows numbered together; a large source has many buckets
-MAX_SOURCES = 1024
+FEW_SOURCES = 1024   # up to here tables of sources are broadcast
+RUN = 256            # slots of a period decided at once
 
 
 def shares_by_size(counts: DataFrame, period: int = PERIOD) -> DataFrame:
@@ -40,27 +44,44 @@ def shares_by_size(counts: DataFrame, period: int = PERIOD) -> DataFrame:
 
 
 def schedule(shares: DataFrame) -> DataFrame:
-    """One period: key, share, period, k (number of the block in the period) and slot."""
+    """One period: key, share, period, k (number of the block in the period) and slot.
+
+    Sources of one share have the same windows, so they take turns in order of their keys; a slot
+    is decided between shares, of which a period has few, however many sources it has."""
     row = shares.agg(F.array_sort(F.collect_list(F.struct("key", "share"))).alias("s")) \
         .where(F.size("s") > 0) \
-        .withColumn("q", F.aggregate("s", F.lit(0).cast("long"), lambda x, y: x + y["share"]))
-    # given[i]: blocks of source i placed so far
-    step = """
-        aggregate(sequence(0L, q - 1),
-          named_struct('given', transform(s, x -> 0L),
-                       'out', cast(array() as array<struct<i:int,k:bigint,slot:bigint>>)),
-          (done, t) -> aggregate(
-            array(array_min(transform(s, (x, i) ->
-              if(done.given[i] * q < (t + 1) * x.share,
-                 struct(((done.given[i] + 1) * q + x.share - 1) div x.share as due, i as i), null)))),
-            done,
-            (old, p) -> named_struct(
-              'given', transform(old.given, (g, i) -> if(i = p.i, g + 1, g)),
-              'out', concat(old.out, array(named_struct(
-                'i', p.i, 'k', old.given[p.i], 'slot', t)))))).out"""
-    return row.select("s", "q", F.explode(F.expr(step)).alias("o")).select(
-        F.expr("s[o.i].key").alias("key"), F.expr("s[o.i].share").alias("share"),
-        F.col("q").alias("period"), F.col("o.k").alias("k"), F.col("o.slot").alias("slot"))
+        .withColumn("q", F.aggregate("s", F.lit(0).cast("long"), lambda x, y: x + y["share"])) \
+        .withColumn("c", F.expr("""
+            transform(array_sort(array_distinct(s.share)), a -> named_struct('share', a, 'members',
+              transform(filter(transform(s, (x, i) -> struct(x.share as share, i as i)),
+                               y -> y.share = a), y -> y.i)))"""))
+    kind = shares.select(F.struct("key", "share").alias("x")).schema["x"].dataType.simpleString()
+    kind = f"{kind[:-1]},k:bigint>"
+    # given[n]: blocks of the n-th share placed so far; its sources have had equally many, or one
+    # more.  Slots go to runs of RUN, so that no long array is copied slot by slot;
+    # z holds values that are not worked out again in every slot
+    step = f"""
+        transform(array(named_struct('s', s, 'c', c, 'q', q)), z -> aggregate(sequence(0L, (z.q - 1) div {RUN}),
+          named_struct('given', transform(z.c, x -> 0L),
+                       'out', cast(array() as array<array<{kind}>>)),
+          (all, r) -> transform(array(aggregate(sequence(r * {RUN}, least(z.q, (r + 1) * {RUN}) - 1),
+            named_struct('given', all.given, 'out', cast(array() as array<{kind}>)),
+            (done, t) -> transform(array(array_min(transform(z.c, (x, n) ->
+                if((done.given[n] div size(x.members)) * z.q < (t + 1) * x.share,
+                   struct(((done.given[n] div size(x.members) + 1) * z.q + x.share - 1) div x.share
+                            as due,
+                          x.members[cast(done.given[n] % size(x.members) as int)] as i, n as n,
+                          done.given[n] div size(x.members) as k), null)))),
+              p -> named_struct(
+                'given', transform(done.given, (g, n) -> if(n = p.n, g + 1, g)),
+                'out', concat(done.out, array(named_struct(
+                  'key', z.s[p.i].key, 'share', z.s[p.i].share, 'k', p.k)))))[0])),
+            run -> named_struct('given', run.given, 'out', concat(all.out, array(run.out))))[0]).out)[0]"""
+    runs = row.select("q", F.expr(step).alias("runs")).select(
+        "q", F.posexplode("runs").alias("r", "run"))
+    return runs.select("q", "r", F.posexplode("run").alias("t", "o")).select(
+        "o.key", "o.share", F.col("q").alias("period"), "o.k",
+        F.expr(f"cast(r as bigint) * {RUN} + t").alias("slot"))
 
 
 def order_hash(doc_id: str) -> Column:
@@ -84,20 +105,19 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_rows: int = BLO
                        key.alias("key"), order_hash("doc_id").alias("h"),
                        F.col("doc_id").alias("id"))
     counts = docs.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
-    if (found := counts.count()) > MAX_SOURCES:
-        raise ValueError(f"{found} sources; at most {MAX_SOURCES} are mixed")
+    # tables of more sources are joined by size
+    hinted = F.broadcast if counts.count() <= FEW_SOURCES else lambda df: df
     if weights is None:
         shares = shares_by_size(counts, period)
     else:
         given = weights.select(F.concat(F.lit("+"), F.col("source")).alias("key"), "weight")
         total = given.agg(F.sum("weight").alias("_total"))
-        shares = counts.join(F.broadcast(given), "key", "left").join(F.broadcast(total)).select(
+        shares = counts.join(hinted(given), "key", "left").join(F.broadcast(total)).select(
             "key", "n", F.greatest(F.lit(1), F.round(
                 F.coalesce("weight", F.lit(0.0)) * period / F.col("_total"))).cast("long")
             .alias("share"))
-    # at most MAX_SOURCES rows, and at most PERIOD + MAX_SOURCES
-    plan = F.broadcast(schedule(shares))
-    small = F.broadcast(shares.select("key", "n", "share"))
+    plan = hinted(schedule(shares))
+    small = hinted(shares.select("key", "n", "share"))
 
     buckets = F.expr(f"(n + {BUCKET_ROWS - 1}) div {BUCKET_ROWS}")
     dealt = rows.join(small, "key").withColumn("bucket", F.pmod("h", buckets))

@@ -60,6 +60,13 @@ def test_given_weights(spark, make_docs):
     assert Counter(first) == {"a": 300, "b": 100}
 
 
+def test_any_number_of_sources(make_docs):
+    counts = {f"s{i:04d}": 1 for i in range(1500)} | {"big": 300}
+    got, slots = blocks_in_order(make_docs(rows(counts)), block_rows=1)
+    assert len(got) == 1800 == len(slots) and {r["source"] for r in got} == set(counts)
+    check_bound(slots)
+
+
 def test_buckets_of_a_large_source(make_docs, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
     got, slots = blocks_in_order(make_docs(rows({"a": 1000, "b": 10})), block_rows=4)
