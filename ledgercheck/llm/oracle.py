@@ -124,3 +124,151 @@ SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words,
 FROM docs LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
 LEFT JOIN kept USING (doc_id)
 """
+
+# crc32 of ASCII text, byte by byte and bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(
+  list_concat([4294967295::BIGINT], list_transform(string_split({}, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, byte: list_reduce(
+    list_concat([xor(crc, byte)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+_CONV_KEY = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+
+# One row of every conversation at a time; per state (nothing, s, ..u, ..a) the cheapest way there,
+# the least audit of those, and its lines.
+ORACLE["op11_conversations"] = f"""
+WITH RECURSIVE coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_CRC32.format(_CONV_KEY)} % 20 AS code FROM conversations),
+changed AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, n
+  FROM coded, unnest(CASE code WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS t(n)),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role,
+                               left(text, 64), md5(role || chr(0) || text)) AS i,
+         regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare FROM changed),
+told AS (
+  SELECT conv_id, i, turn, role, text, left(role, 1) AS r,
+         CASE WHEN bare = '' THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1
+                THEN 'duplicate'
+              WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM ordered),
+pairs AS (
+  SELECT conv_id, r || lead(r) OVER (PARTITION BY conv_id ORDER BY i) AS two FROM told),
+faults AS (
+  SELECT conv_id, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps
+  FROM told GROUP BY conv_id),
+wrong AS (
+  SELECT conv_id, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM pairs GROUP BY conv_id),
+ways(conv_id, i, state, cost, audit, lines) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), '', CAST([] AS VARCHAR[])
+  FROM conversations
+  UNION ALL
+  SELECT conv_id, i, state, cost, audit, lines FROM (
+    WITH inserted AS (
+      SELECT conv_id, i, state, cost, audit, lines FROM ways
+      UNION ALL
+      SELECT conv_id, i, CASE state WHEN 2 THEN 3 ELSE 2 END, cost + 5, audit || 'I',
+             list_append(lines, CASE state WHEN 2 THEN 'assistant:' ELSE 'user:' END) FROM ways
+      UNION ALL
+      SELECT conv_id, i, CASE state WHEN 2 THEN 2 ELSE 3 END, cost + 10, audit || 'II',
+             lines || (CASE state WHEN 2 THEN ['assistant:', 'user:']
+                       ELSE ['user:', 'assistant:'] END) FROM ways
+      UNION ALL
+      SELECT conv_id, i, CASE state WHEN 2 THEN 3 ELSE 2 END, cost + 15, audit || 'III',
+             lines || (CASE state WHEN 2 THEN ['assistant:', 'user:', 'assistant:']
+                       ELSE ['user:', 'assistant:', 'user:'] END) FROM ways),
+    steps AS (
+      SELECT w.conv_id, t.i, state, cost + 2 AS cost, audit || 'D' AS audit, lines
+      FROM inserted w JOIN told t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1
+      UNION ALL
+      SELECT w.conv_id, t.i, CASE r WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END,
+             cost + CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, audit || 'K',
+             list_append(lines, role || ':' || text)
+      FROM inserted w JOIN told t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1
+      WHERE fault IN ('', 'truncated')
+        AND (r = 's' AND state = 0 OR r = 'u' AND state <> 2 OR r = 'a' AND state = 2)
+      UNION ALL
+      SELECT w.conv_id, t.i, CASE state WHEN 2 THEN 3 ELSE 2 END,
+             cost + 1 + CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, audit || 'R',
+             list_append(lines, CASE state WHEN 2 THEN 'assistant:' ELSE 'user:' END || text)
+      FROM inserted w JOIN told t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1
+      WHERE fault IN ('', 'truncated'))
+    SELECT *, row_number() OVER (PARTITION BY conv_id, i, state ORDER BY cost, audit) AS k
+    FROM steps) WHERE k = 1),
+ends AS (
+  SELECT conv_id, i, CASE state WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END + cost AS cost,
+         audit || CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS audit,
+         lines || (CASE state WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:']
+                   ELSE CAST([] AS VARCHAR[]) END) AS lines FROM ways),
+best AS (
+  SELECT * FROM ends QUALIFY row_number() OVER (
+    PARTITION BY conv_id ORDER BY i DESC, cost, audit) = 1)
+SELECT best.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank,
+       coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit,
+       sha256(array_to_string(lines, chr(10))) AS repaired_sha256
+FROM best LEFT JOIN faults ON faults.conv_id IS NOT DISTINCT FROM best.conv_id
+LEFT JOIN wrong ON wrong.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
+ORACLE["op12_archive"] = """
+WITH held AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+ranked AS (
+  SELECT page_id, html, strlen(html) AS n,
+         first_value(page_id) OVER w AS best, row_number() OVER w AS k
+  FROM held WINDOW w AS (PARTITION BY html ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST))
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN n >= 1000 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND k > 1 THEN best END AS refers_to
+FROM ranked
+"""
+
+ORACLE["op13_divergence"] = """
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+words AS (SELECT d, lang, source, unnest(w) AS term FROM docs),
+kept AS (
+  SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+found AS (
+  SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term)
+  GROUP BY lang, source, term),
+totals AS (SELECT lang, source, sum(n) AS total FROM found GROUP BY lang, source),
+sides AS (
+  SELECT DISTINCT docs.lang, docs.source, coalesce(v, 0) AS v, coalesce(t.total, 0) AS total,
+         coalesce(langs.total, 0) AS lang_total
+  FROM docs LEFT JOIN langs USING (lang)
+  LEFT JOIN totals t ON t.lang = docs.lang AND t.source = docs.source),
+p AS (
+  SELECT s.lang, s.source, k.term, coalesce(f.n, 0) AS n,
+         1 + CAST(1000000000 * (coalesce(f.n, 0) + 5) // (s.total + 5 * s.v) AS BIGINT) AS p,
+         1 + CAST(1000000000 * (k.n + 5) // (s.lang_total + 5 * s.v) AS BIGINT) AS q
+  FROM sides s JOIN kept k ON k.lang = s.lang
+  LEFT JOIN found f ON f.lang = s.lang AND f.source = s.source AND f.term = k.term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+         CAST(coalesce(sums.value, 0) AS BIGINT) AS value
+  FROM sides a JOIN sides b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part
+                                    ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgercheck.llm import (jaccard, langid, mixing, neighbours, pii, repeats, toxicity,
-                             unigram, urls)
+from ledgercheck.llm import (archive, conversations, divergence, jaccard, langid, mixing,
+                             neighbours, pii, repeats, toxicity, unigram, urls)
 from ledgercheck.llm.common import learned, table
 from ledgercheck.llm.decontaminate import decontaminate
 from ledgercheck.session import tune
@@ -78,6 +78,22 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_join(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(table(tune(spark), sf_dir, "conversations"))
+    return conversations.digests(rows, conversations.audits(rows))
+
+
+def op12_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(tune(spark), sf_dir, "pages").select("page_id", "url", "html")
+    return archive.read(archive.store(pages)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(tune(spark), sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_neighbours, op3_pii, op4_toxicity, op5_language, op6_urls,
-    op7_mixing, op8_tokens, op9_repeats, op10_jaccard)}
+    op7_mixing, op8_tokens, op9_repeats, op10_jaccard, op11_conversations, op12_archive,
+    op13_divergence)}
