@@ -160,7 +160,6 @@ def distances(sparse: DataFrame, groups: DataFrame) -> DataFrame:
         "lang", F.pmod(F.xxhash64("term"), F.col("buckets")).cast("int").alias("bucket"),
         each_tile.alias("tile"), "source", "term", "n")
     a, b = SCALE
-    none = pd.DataFrame({"lang": [], "source": [], "item": [], "value": np.zeros(0, np.int64)})
 
     def rows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("source", kind="stable").reset_index(drop=True)
@@ -173,10 +172,14 @@ def distances(sparse: DataFrame, groups: DataFrame) -> DataFrame:
         if len(counts):
             top = (counts + SMOOTHING) * a
             counts = top // bottom * b + top % bottom * b // bottom + 1
-        return pd.concat([pd.DataFrame({
-            "lang": right["lang"], "source": s, "item": sources,
-            "value": np.abs(counts - counts[:, i:i + 1]).sum(axis=0)})[sources != s]
-            for i, s in enumerate(sources) if own[i]] or [none], ignore_index=True)
+        parts = [
+            (np.full(len(sources), i), np.arange(len(sources)),
+             np.abs(counts - counts[:, i:i + 1]).sum(axis=0)) for i in np.flatnonzero(own)]
+        one, other, value = (np.concatenate(x) for x in zip(*parts or [[np.zeros(0, int)] * 3]))
+        lang = np.full(len(sources), right["lang"].iloc[0], object)
+        apart = one != other
+        return pd.DataFrame({"lang": lang[one], "source": sources[one], "item": sources[other],
+                             "value": value})[apart]
 
     by = ("lang", "bucket", "tile")
     parts = dealt.groupBy(*by).cogroup(spread.groupBy(*by)).applyInPandas(
