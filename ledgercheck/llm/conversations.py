@@ -93,6 +93,7 @@ class Solver:
     def __init__(self) -> None:
         self.powers: dict[int, list[np.ndarray]] = {}
         self.memo: dict[tuple, tuple[str, int]] = {}
+        self.before: dict[tuple, tuple[tuple, int]] = {}
 
     def power(self, symbol: int, k: int) -> np.ndarray:
         """The matrix of 2^k rows of one symbol."""
@@ -101,20 +102,32 @@ class Solver:
             known.append(times(known[-1], known[-1]))
         return known[k]
 
+    def back(self, symbol: int, k: int, rest: tuple) -> tuple[tuple, int]:
+        """Costs ahead of 2^k rows from those after them, less their least, and that."""
+        known = self.before.get((symbol, k, rest))
+        if known is None:
+            cost = (self.power(symbol, k) + np.array(rest)).min(axis=1)
+            known = tuple((cost - cost.min()).tolist()), int(cost.min())
+            if len(self.before) >= STEP_MEMO:
+                self.before.clear()
+            self.before[symbol, k, rest] = known
+        return known
+
     def solve(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[int, str]:
-        end = np.array([0, 10, 5, 0], np.int64)   # inserts up to an end that is allowed
-        blocks = [(int(s), k) for s, n in zip(symbols, lengths)
-                  for k in range(int(n).bit_length() - 1, -1, -1) if int(n) >> k & 1]
-        ahead = [end]
+        blocks = [(s, k) for s, n in zip(map(int, symbols), map(int, lengths))
+                  for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
+        ahead, total = [(0, 10, 5, 0)], 0   # inserts up to an end that is allowed
         for symbol, k in reversed(blocks):
-            ahead.append((self.power(symbol, k) + ahead[-1]).min(axis=1))
+            costs, least = self.back(symbol, k, ahead[-1])
+            ahead.append(costs)
+            total += least
         ahead.reverse()
         audit, state = [], 0
         for (symbol, k), rest in zip(blocks, ahead[1:]):
-            letters, state = self.unroll(symbol, k, state, tuple((rest - rest.min()).tolist()))
+            letters, state = self.unroll(symbol, k, state, rest)
             audit.append(letters)
         audit.append("I" * (0, 2, 1, 0)[state])
-        return int(ahead[0][0]), "".join(audit)
+        return total + ahead[0][0], "".join(audit)
 
     def unroll(self, symbol: int, k: int, state: int, rest: tuple) -> tuple[str, int]:
         """Edits of 2^k rows from a state, and the state after; `rest` is the cost from there."""
@@ -124,9 +137,8 @@ class Solver:
             if k == 0:
                 known = self.choose(symbol, state, np.array(rest))
             else:
-                half = (self.power(symbol, k - 1) + np.array(rest)).min(axis=1)
-                first, middle = self.unroll(symbol, k - 1, state,
-                                            tuple((half - half.min()).tolist()))
+                half, _ = self.back(symbol, k - 1, rest)
+                first, middle = self.unroll(symbol, k - 1, state, half)
                 second, last = self.unroll(symbol, k - 1, middle, rest)
                 known = first + second, last
             if k <= 10:
@@ -268,7 +280,9 @@ def solved(pieces: DataFrame) -> DataFrame:
 
     parts = F.array_sort(F.collect_list(F.struct("piece", "part", "symbols", "lengths")))
     small_batches(pieces.sparkSession)
-    return pieces.groupBy("conv_id").agg(parts.alias("parts")).mapInArrow(work, schema)
+    # few bytes, much work: as many tasks as a shuffle has, not as its bytes would fill
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pieces.repartition(tasks, "conv_id").groupBy("conv_id").agg(parts.alias("parts")).mapInArrow(work, schema)
 
 
 def audits(rows: DataFrame) -> DataFrame:
