@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Callable, Iterable, Iterator
 
@@ -65,10 +66,18 @@ def learned(doc_id="doc_id"):
 def sample_by_hash(df: DataFrame, column: str, rows: int, by: tuple[str, ...] = ()) -> DataFrame:
     """The rows with the `rows` lowest hashes of a column (per group of `by`), one per hash.
 
-    Only hashes are ranked; they are at most `rows` per group and tell which rows are fetched."""
+    Only hashes are ranked; they are at most `rows` per group and tell which rows are fetched.
+    Hashes are even, so of a group with many, those beyond four times the share that is wanted
+    can't be among the lowest: they go before the rank, and no task ranks a whole group."""
     h = F.xxhash64(column).alias("_h")
     keys = df.select(*by, h).distinct()
     if by:
+        sizes = keys.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(
+            F.count("*").alias("_size"))
+        same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+        spot = F.col("_h") / float(1 << 64) + 0.5
+        keys = keys.join(sizes, same).where(
+            spot * F.col("_size") <= 4.0 * rows + 64).select(*by, "_h")
         order = Window.partitionBy(*by).orderBy("_h")
         keys = keys.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows)
     else:
@@ -77,6 +86,20 @@ def sample_by_hash(df: DataFrame, column: str, rows: int, by: tuple[str, ...] =
         F.broadcast(keys.select(*by, "_h")), [*by, "_h"]).dropDuplicates([*by, "_h"]).drop("_h")
 
 
+def fit_in_task(sample: DataFrame, fit: Callable[[list[dict]], dict]) -> dict:
+    """What `fit` makes of the rows of a bounded sample, worked out in one task, so that the
+    driver holds the model only."""
+    small_batches(sample.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(rows))]},
+                                         pa.schema([("model", pa.binary())]))
+
+    found = sample.repartition(1).mapInArrow(work, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([])  # no task runs without rows
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows and the offsets of each row; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -6,11 +6,14 @@ the least loss, each bit weighted by how well its classifier does on rows held b
 Texts whose best two codewords are close are flagged ambiguous.
 
 The classifiers are fitted on at most ROWS_PER_LANGUAGE labelled rows of each language, and on
-short passages of them; the rows are the first by the hash of their text.  Everything else covers
-all rows.
+short passages of them; the rows are the first by the hash of their text.  All languages share
+SAMPLE_TEXTS rows, but each has one.  One task fits them and holds the rows by their non-zero
+features.  Everything else covers all rows.
 
 Defined results: text that is null or has no letter is `und` with score 0 and not ambiguous; with
 no labelled row at all every text is `und`; with one language every text with a letter gets it.
+Any number of label values is learned (the codewords are broadcast: about 190 000 fill their bound).
+Very long texts are taken whole, in pieces of PIECE bytes.  Equal texts are fitted on once.
 Labels that are null are not learned from.  Ties go to the first language by name.  Ids, sources
 and labels never enter a prediction; other columns are passed through.
 """
@@ -24,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgercheck.llm.common import (fields, packed, sample_by_hash, scan_texts, sized_broadcast,
-                                    string_buffers)
+from ledgercheck.llm.common import (fields, fit_in_task, packed, sample_by_hash, scan_texts,
+                                    sized_broadcast, string_buffers)
 
 ROWS_PER_LANGUAGE = 400
-MAX_LANGUAGES = 256
+SAMPLE_TEXTS = 25_600    # of all languages; with more languages than that, one text of each
+COMPARED = 512           # up to so many languages the best of some drawn codes is taken
 DIMENSIONS = 4096
 ORDERS = (1, 2, 3, 4)   # lengths of n-grams, in bytes
 PASSAGES = (24, 80)     # lengths of the short passages fitted on, in bytes
@@ -81,14 +85,17 @@ def blocks(part: pa.RecordBatch):
 def codewords(n: int) -> np.ndarray:
     """Rows of +1 and -1, one per language, well apart.
 
-    Up to 5 languages every split of them is a bit; beyond, the best of 64 drawn codes."""
+    Up to 5 languages every split of them is a bit; beyond, the best of 64 drawn codes, and of
+    very many the first one: their rows are too many to be compared, and far apart anyway."""
     if n <= 5:
         bits = [[1 if (split >> i) & 1 else -1 for i in range(n)]
                 for split in range(1, 1 << (n - 1))] or [[1] * n]
         return np.array(bits, np.float32).T
     length, best = 10 * int(np.ceil(np.log2(n))), None
-    for seed in range(64):
+    for seed in range(64 if n <= COMPARED else 1):
         code = np.random.default_rng(seed).choice([-1, 1], (n, length)).astype(np.float32)
+        if n > COMPARED:
+            return code
         apart = (length - code @ code.T) / 2
         worst = (apart + length * np.eye(n)).min()
         if best is None or worst > best[0]:
@@ -96,13 +103,34 @@ def codewords(n: int) -> np.ndarray:
     return best[1]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> np.ndarray:
+class Rows:
+    """Feature rows kept by their non-zero entries; a few at a time become a dense matrix."""
+
+    def __init__(self, entries: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.entries = entries
+        self.mean = np.zeros(DIMENSIONS, np.float32)
+        for at, value in entries:
+            self.mean[at] += value / np.float32(max(1, len(entries)))
+
+    def dense(self, chosen: np.ndarray):
+        """(rows, matrix less the mean) for ROWS_AT_ONCE of the chosen rows at a time."""
+        for lo in range(0, len(chosen), ROWS_AT_ONCE):
+            some = chosen[lo:lo + ROWS_AT_ONCE]
+            x = np.zeros((len(some), DIMENSIONS), np.float32)
+            for i, r in enumerate(some):
+                x[i, self.entries[r][0]] = self.entries[r][1]
+            yield some, x - self.mean
+
+
+def _logistic(rows: Rows, chosen: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> np.ndarray:
     """Weights of one logistic regression per column of y (+1 or -1), by accelerated descent."""
-    w = np.zeros((x.shape[1], y.shape[1]), np.float32)
+    w = np.zeros((DIMENSIONS, y.shape[1]), np.float32)
     look, momentum = w.copy(), 1.0
     for _ in range(STEPS):
-        margin = np.clip((x @ look) * y, -30, 30)
-        gradient = x.T @ (-y / (1 + np.exp(margin))) / len(x) + ridge * look
+        gradient = ridge * look
+        for some, x in rows.dense(chosen):
+            margin = np.clip((x @ look) * y[some], -30, 30)
+            gradient += x.T @ (-y[some] / (1 + np.exp(margin))) / np.float32(len(chosen))
         new = look - 4.0 * gradient.astype(np.float32)
         following = (1 + np.sqrt(1 + 4 * momentum ** 2)) / 2
         look = new + np.float32((momentum - 1) / following) * (new - w)
@@ -110,6 +138,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> np.ndarray:
     return w
 
 
+def _fit(found: list[dict]) -> dict:
+    """The model, from rows of lang and features (at, value)."""
+    names = sorted({r["lang"] for r in found})
+    if len(names) < 2:
+        return {"names": names}
+    found.sort(key=lambda r: (r["lang"], r["at"], r["value"]))
+    rows = Rows([(np.frombuffer(r["at"], np.int16), np.frombuffer(r["value"], np.float32))
+                 for r in found])
+    number = {name: i for i, name in enumerate(names)}
+    code = codewords(len(names))
+    y = code[np.array([number[r["lang"]] for r in found])]
+    every = np.arange(len(found))
+    held = every % 5 == 0
+    tried = _logistic(rows, every[~held], y)
+    right = sum((((x @ tried) * y[some]) > 0).sum(0) for some, x in rows.dense(every[held]))
+    right = right / held.sum()
+    weight = np.log((right + 0.01) / (1.01 - right)).clip(0.05)  # odds that a bit is right
+    return {"names": names, "code": code.astype(np.int8), "mean": rows.mean,
+            "weights": _logistic(rows, every, y), "bit": (weight / weight.sum()).astype(np.float32)}
+
+
 def learn(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> dict:
     """The model, from `text` and `lang` of the rows given (null languages are left out)."""
     def work(part: pa.RecordBatch) -> dict:
@@ -129,30 +178,12 @@ def learn(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> dict:
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
         "text", "lang")
-    sample = sample_by_hash(rows, "text", rows_per_language, ("lang",))
-    found = scan_texts(sample.select("text", "lang"), work,
-                       fields("text string, lang string, at binary, value binary")) \
-        .select("lang", "at", "value").collect()
-    names = sorted({r["lang"] for r in found})
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; at most {MAX_LANGUAGES} are learned")
-    if len(names) < 2:
-        return {"names": names}
-    found.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["value"])))
-    x = np.zeros((len(found), DIMENSIONS), np.float32)
-    for i, r in enumerate(found):
-        x[i, np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["value"], np.float32)
-    label = np.array([names.index(r["lang"]) for r in found])
-    code = codewords(len(names))
-    mean = x.mean(0)
-    x -= mean
-    fit = np.arange(len(x)) % 5 != 0
-    y = code[label]
-    tried = _logistic(x[fit], y[fit])
-    right = ((x[~fit] @ tried) * y[~fit] > 0).mean(0)
-    weight = np.log((right + 0.01) / (1.01 - right)).clip(0.05)  # odds that a bit is right
-    return {"names": names, "code": code, "mean": mean, "weights": _logistic(x, y),
-            "bit": (weight / weight.sum()).astype(np.float32)}
+    n = rows.select("lang").distinct().count()
+    sample = sample_by_hash(rows, "text", max(1, min(rows_per_language, SAMPLE_TEXTS // max(1, n))),
+                            ("lang",))
+    return fit_in_task(scan_texts(sample.select("text", "lang"), work,
+                                  fields("text string, lang string, at binary, value binary"))
+                       .select("lang", "at", "value"), _fit)
 
 
 def predict(x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:

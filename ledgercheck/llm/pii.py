@@ -37,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgercheck.llm.common import (fields, packed, sample_by_hash, scan_texts, sized_broadcast,
-                                    string_buffers, unpacked)
+from ledgercheck.llm.common import (fields, fit_in_task, packed, sample_by_hash, scan_texts,
+                                    sized_broadcast, string_buffers, unpacked)
 from ledgercheck.llm.tokens import NOT_SPACE, Hasher, words
 
 KINDS = ("email", "ip", "card", "phone")
@@ -220,7 +220,11 @@ def graph_of(texts: list, spans: list) -> Graph:
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
     """Node weights and edge potentials from the base labels of a bounded sample."""
     short = docs.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS))
-    texts = sorted(r[0] for r in sample_by_hash(short.select("text"), "text", rows).collect())
+    return fit_in_task(sample_by_hash(short.select("text"), "text", rows), _fit)
+
+
+def _fit(rows: list[dict]) -> dict:
+    texts = sorted(r["text"] for r in rows)
     graph = graph_of(texts, [base_spans(t) for t in texts])
     label = np.array(graph.label, int)
     weights = np.zeros((DIMENSIONS, LABELS))

@@ -51,3 +51,31 @@ def test_long_rows_are_summed_in_pieces(monkeypatch):
     whole = langid.features(raw, cuts)
     monkeypatch.setattr(langid, "PIECE", 97)
     assert np.allclose(langid.features(raw, cuts), whole)
+
+
+def test_hundreds_of_languages(make_docs, monkeypatch):
+    """More label values than the sample has rows for, and more than codes are compared for."""
+    monkeypatch.setattr(langid, "SAMPLE_TEXTS", 300)
+    monkeypatch.setattr(langid, "COMPARED", 100)
+    rows = [(4 * i + k, f"{own} {own} {own} {own}", f"l{i:03d}", "s")
+            for i in range(400) for k in range(4)
+            for own in [f"{chr(97 + i % 26)}{chr(97 + i // 26)}q{chr(97 + i * 7 % 26)}"]]
+    model = langid.learn(make_docs(rows))
+    assert len(model["names"]) == 400 and model["code"].shape[0] == 400
+    got = langid.identify(make_docs(rows[::4]), model).collect()
+    assert np.mean([r["lang_pred"] == r["row"]["lang"] for r in got]) > 0.9
+
+
+def test_sample_of_a_large_language_is_the_lowest_hashes(spark, make_docs):
+    from pyspark.sql import functions as F
+
+    from ledgercheck.llm.common import sample_by_hash
+
+    docs = make_docs([(i, f"text {i % 5000}", "en" if i % 50 else "de", "s")
+                      for i in range(6000)])
+    got = {(r["lang"], r["text"]) for r in sample_by_hash(docs, "text", 20, ("lang",)).collect()}
+    rows = sorted({(r["lang"], r["h"], r["text"]) for r in docs.select(
+        "lang", "text", F.xxhash64("text").alias("h")).collect()})
+    for lang in ("en", "de"):
+        lowest = [r for r in rows if r[0] == lang][:20]
+        assert {t for x, t in got if x == lang} == {t for _, _, t in lowest}
