@@ -43,7 +43,7 @@ def test_empty_documents(spark, make_docs):
 
 
 def test_every_query_runs(spark):
-    assert len(QUERIES) == 10
+    assert len(QUERIES) == 13
     for name, query in QUERIES.items():
         assert query(spark, FOLDER).count() > 0, name
 
