@@ -206,3 +206,99 @@ PAID_TWICE_SUMMARY = (
 )
 PAID_TWICE_MORE = "; {n} passende Belege"
 PAID_TWICE_FORMULA = "Betrag der zweiten Zahlung, keine Gutschrift gefunden"
+
+# -- names, streets and cities for comparison: fixed values ----------------------------
+NOISE_WORDS = (
+    "fa", "fa.", "firma", "i.l.", "i.g.", "i.a.", "werk", "niederlassung",
+    "zweigniederlassung", "zentrale", "hauptverwaltung", "c/o", "z.hd.", "zhd", "the", "&",
+    "und", "+",
+)
+LEGAL_FORMS = {
+    "gmbh": ("g.m.b.h.", "g.m.b.h", "ges.m.b.h.", "gesmbh",
+             "gesellschaft mit beschraenkter haftung", "gesellschaft mit beschränkter haftung",
+             "gmbh."),
+    "gmbh_co_kg": ("gmbh & co. kg", "gmbh & co kg", "gmbh und co. kg", "gmbh+co.kg",
+                   "gmbh & co.kg", "g.m.b.h. & co. kg"),
+    "ag": ("aktiengesellschaft", "a.g."),
+    "ag_co_kg": ("ag & co. kg", "ag & co kg"),
+    "kg": ("kommanditgesellschaft", "k.g."),
+    "ohg": ("offene handelsgesellschaft", "o.h.g."),
+    "ek": ("e.k.", "e. k.", "eingetragener kaufmann", "eingetragene kauffrau", "e.kfm.",
+           "e.kfr."),
+    "ug": ("ug (haftungsbeschraenkt)", "ug (haftungsbeschränkt)", "ug haftungsbeschraenkt",
+           "unternehmergesellschaft"),
+    "se": ("societas europaea",),
+    "eg": ("e.g.", "eingetragene genossenschaft"),
+    "ev": ("e.v.", "eingetragener verein"),
+    "stiftung": (),
+    "kgaa": ("kgaa", "kommanditgesellschaft auf aktien"),
+    "ltd": ("limited", "ltd.", "co. ltd", "co., ltd."),
+    "plc": ("p.l.c.", "public limited company"),
+    "inc": ("inc.", "incorporated"),
+    "llc": ("l.l.c.",),
+    "corp": ("corp.", "corporation"),
+    "sa": ("s.a.", "société anonyme", "sociedad anonima", "sociedad anónima"),
+    "sas": ("s.a.s.",),
+    "sarl": ("s.a.r.l.", "s.à r.l.", "sàrl"),
+    "srl": ("s.r.l.", "s.r.l"),
+    "spa": ("s.p.a.",),
+    "bv": ("b.v.",),
+    "nv": ("n.v.",),
+    "sp_z_oo": ("sp. z o.o.", "sp.z o.o.", "spolka z ograniczona odpowiedzialnoscia"),
+    "sro": ("s.r.o.", "spol. s r.o."),
+    "as": ("a.s.",),
+    "ab": ("aktiebolag",),
+    "oy": ("oyj",),
+}
+STREET_WORDS = {
+    "strasse": ("str.", "str", "straße", "strasse"),
+    "platz": ("pl.", "platz"),
+    "weg": ("weg",),
+    "allee": ("allee",),
+    "ring": ("ring",),
+    "chaussee": ("chaussee", "ch."),
+    "gasse": ("gasse", "g."),
+    "ufer": ("ufer",),
+    "damm": ("damm",),
+    "postfach": ("postfach", "pf", "pf.", "p.f.", "pob", "p.o. box", "po box", "boîte postale",
+                 "bp", "casella postale"),
+    "avenue": ("ave.", "ave", "av.", "avenue"),
+    "road": ("rd.", "rd", "road"),
+    "street": ("st.", "st", "street"),
+    "boulevard": ("blvd.", "blvd", "bd", "boulevard"),
+    "rue": ("rue", "r."),
+    "via": ("via", "v."),
+    "calle": ("calle", "c/", "c."),
+    "laan": ("laan", "ln."),
+    "straat": ("straat",),
+    "ulica": ("ul.", "ul", "ulica"),
+}
+STREET_ENDINGS = ("strasse", "str")
+CITY_SUFFIXES = (
+    " am main", " a. main", " a.m.", " an der donau", " a.d. donau", " an der saale",
+    " im breisgau", " i. br.", " i.br.",
+)
+CITY_DISTRICT_MARKS = (" ot ", " - ")
+CITY_ALIASES = {
+    "muenchen": ("munich", "monaco di baviera", "münchen"),
+    "koeln": ("cologne", "köln"),
+    "nuernberg": ("nuremberg", "nürnberg"),
+    "wien": ("vienna", "vienne"),
+    "zuerich": ("zurich", "zürich"),
+    "frankfurt": ("frankfurt am main", "frankfurt/main", "frankfurt a. m.", "ffm"),
+}
+
+# -- what accounts of one partner have in common: own texts -----------------------------
+SAME_KEY = {"VAT": "USt-ID gleich", "IBAN": "IBAN gleich"}
+NAME_ALIKE = ("Name nach Normalisierung exakt", "Name ähnlich")
+STREET_ALIKE = ("Straße gleich", "Straße ähnlich")
+SAME_PLACE = {"postal_code": "PLZ gleich", "city_norm": "Ort gleich"}
+FUZZY_HINT = "Weniger als die Hälfte der Partner hat einen starken Schlüssel"
+DUPLICATE_SEEN = "{n} Konten für {name}"
+DUPLICATE_LEAD = "Führendes Konto {account} prüfen, die übrigen {rest} sperren"
+DUPLICATE_OPTIONS = (
+    ("Zusammenführen prüfen", "Posten werden auf das führende Konto umgebucht"),
+    ("Konto sperren", "Auf das Konto wird nicht mehr gebucht"),
+    ("Löschvormerkung", "Das Konto wird archiviert, sobald es leer ist"),
+)
+GOLDEN_SOURCE = "{field} aus {account}"
