@@ -302,3 +302,17 @@ DUPLICATE_OPTIONS = (
     ("Löschvormerkung", "Das Konto wird archiviert, sobald es leer ist"),
 )
 GOLDEN_SOURCE = "{field} aus {account}"
+
+# -- change documents, clearings, rebookings, offsets: own texts ------------------------
+BANK_TABLES = ("LFBK", "KNBK", "TIBAN")
+CHANGE_SEEN = "Bankdaten {days} Tage vor einer Zahlung geändert, {n} Zahlungen"
+CHANGE_NOTE = "Letzte Änderung der Bankdaten vor der Zahlung"
+CHANGE_FORMULA = "Summe der Zahlungen nach der Änderung"
+OVERPAID = "{paid} gezahlt auf {owed}"
+OVERPAID_NOTE = "Ausgleich ohne Gutschrift, Zahlung über dem Rechnungsbetrag"
+OVERPAID_FORMULA = "{paid} abzüglich {owed}"
+REBOOKED = "{n} Posten zwischen zwei Debitoren umgebucht"
+REBOOKED_NOTE = "Gegenläufige Posten eines Belegs mit gleichem Betrag"
+OFFSET_SEEN = "Forderung {a} und Verbindlichkeit {b} beim selben Partner"
+OFFSET_NOTE = "Verbunden über USt-ID oder IBAN"
+OFFSET_FORMULA = "Kleinerer Betrag von Forderung und Verbindlichkeit"
