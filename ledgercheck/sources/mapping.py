@@ -151,6 +151,30 @@ _ALL = [
 ]
 EXPORT_TABLES = {table.name: table for table in _ALL}
 
+# -- fixed values: columns by which a table is told ----------------------------------------
+TELLING = {
+    "KNA1": ("KUNNR", "LAND1", "NAME1", "ORT01"),
+    "KNB1": ("KUNNR", "BUKRS", "AKONT"),
+    "KNBK": ("KUNNR", "BANKS", "BANKL", "BANKN"),
+    "TIBAN": ("BANKS", "BANKL", "BANKN", "IBAN"),
+    "KNVP": ("KUNNR", "PARVW", "KUNN2"),
+    "KNVV": ("KUNNR", "VKORG", "VTWEG", "SPART"),
+    "KNB5": ("KUNNR", "BUKRS", "MABER"),
+    "LFA1": ("LIFNR", "LAND1", "NAME1", "ORT01"),
+    "LFB1": ("LIFNR", "BUKRS", "AKONT"),
+    "LFBK": ("LIFNR", "BANKS", "BANKL", "BANKN"),
+    "BSID": ("KUNNR", "BELNR", "BUZEI", "DMBTR", "AUGDT"),
+    "BSAD": ("KUNNR", "BELNR", "BUZEI", "DMBTR", "AUGBL"),
+    "BSIK": ("LIFNR", "BELNR", "BUZEI", "DMBTR", "AUGDT"),
+    "BSAK": ("LIFNR", "BELNR", "BUZEI", "DMBTR", "AUGBL"),
+    "T001": ("BUKRS", "BUTXT", "WAERS"),
+    "T052": ("ZTERM", "ZTAG1", "ZPRZ1"),
+    "T052U": ("ZTERM", "TEXT1"),
+    "ADR6": ("ADDRNUMBER", "SMTP_ADDR"),
+    "CDHDR": ("OBJECTCLAS", "OBJECTID", "CHANGENR"),
+    "CDPOS": ("OBJECTCLAS", "CHANGENR", "TABNAME", "FNAME"),
+}
+
 # the order in which two sources of one target are taken; the earlier one wins a key
 SOURCE_ORDER = sorted(EXPORT_TABLES)
 
@@ -176,6 +200,47 @@ def check_header(delivered: DataFrame) -> DataFrame:
     )
 
 
+def filled_columns(rows: DataFrame, file: str) -> DataFrame:
+    """file, column: the columns of an export that have a value, by one pass over all its rows.
+
+    A blank, and a date of zeros, is no value."""
+    blank = r"^(\s*|0{8})$"
+    counts = rows.agg(*[F.count(F.when(~F.col(f"`{c}`").rlike(blank), 1)).alias(c)
+                        for c in rows.columns])
+    listed = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("n"))
+                                 for c in rows.columns])).alias("x")
+    return counts.select(listed).filter("x.n > 0").select(
+        F.lit(file).alias("file"), F.col("x.column").alias("column"))
+
+
+def tell_tables(delivered: DataFrame) -> DataFrame:
+    """Which table a file is, by its columns (file, column): file, table, outcome, fits.
+
+    A table fits when the file has all its telling columns.  Of several fits the table is the one
+    that knows most of the file's columns, then the one with most telling columns.  Two such fits
+    are `ambiguous`, no fit is `unknown`, and neither names a table."""
+    spark = delivered.sparkSession
+    rows = []
+    for table, columns in TELLING.items():
+        known = EXPORT_TABLES.get(table)
+        names = {*columns, *(known.fields if known else ()), *(known.ignored if known else ())}
+        rows += [(table, c, c in columns, len(columns)) for c in sorted(names)]
+    known = spark.createDataFrame(rows, "table string, column string, telling boolean, needed int")
+    fits = delivered.distinct().join(known, "column").groupBy("file", "table", "needed").agg(
+        F.count_if("telling").alias("n"), F.count("*").alias("known")).filter("n = needed")
+    best = fits.groupBy("file", "known", "needed").agg(
+        F.count("*").alias("ties"), F.min("table").alias("table")).groupBy("file").agg(
+        F.max(F.struct("known", "needed", "ties", "table")).alias("best"),
+        F.sum("ties").alias("fits"))
+    told = delivered.select("file").distinct().join(best, "file", "left")
+    unique = F.col("best.ties") == 1
+    return told.select(
+        "file", F.when(unique, F.col("best.table")).alias("table"),
+        F.when(unique, F.lit("told")).when(F.col("best").isNotNull(), F.lit("ambiguous"))
+        .otherwise(F.lit("unknown")).alias("outcome"),
+        F.coalesce("fits", F.lit(0)).cast("int").alias("fits"))
+
+
 def unknown_columns(table: ExportTable, columns: list[str]) -> list[str]:
     return [c for c in columns if c not in table.fields and c not in table.ignored]
 
