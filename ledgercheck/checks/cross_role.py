@@ -1,8 +1,10 @@
 """Customers that are vendors as well: the same VAT id or the same IBAN on both sides.
 
 A value one third of all accounts share would pair every customer with every vendor.  Nothing
-here does that.  The vendors of a customer are the sum of the vendors of its values, less those
-that several of its values reach; these come from an equality on pairs of values of one account.
+here does that.  The vendors a customer reaches are counted by inclusion and exclusion over the
+sets of its values: how many vendors have all values of a set is one count per set, whatever the
+number of accounts, so the work grows with the accounts.  Accounts of more than FEW_VALUES shared
+values are paired with the other side one by one and counted.
 """
 
 from __future__ import annotations
@@ -44,30 +46,42 @@ def shared_values(values: DataFrame) -> DataFrame:
     )
 
 
+FEW_VALUES = 6   # an account of so many values has 63 sets of them
+
+
+def _sets(accounts: DataFrame, *keep: str) -> DataFrame:
+    """Every set (but the empty one) of an account's own values, in one row each."""
+    return accounts.select(*keep, F.explode(F.expr(
+        "transform(sequence(1, shiftleft(1, size(own)) - 1), "
+        "m -> filter(own, (x, i) -> (shiftright(m, i) & 1) = 1))")).alias("part"))
+
+
 def vendor_counts(values: DataFrame) -> DataFrame:
     """Per customer the number of vendors it shares a value with.
 
-    `values` has the shared values of all accounts.  Accounts with several of them are put
-    together when they have the same ones; only these meet, and only on two values at once.
-    """
+    `values` has the shared values of all accounts."""
     key = F.struct("criterion", "value")
     accounts = values.select("role", "bp_key", key.alias("v")).distinct()
-    vendors = accounts.filter("role = 'VENDOR'").groupBy("v").agg(F.count("*").alias("vendors"))
-    every = accounts.filter("role = 'CUSTOMER'").join(vendors, "v").groupBy("bp_key").agg(
-        F.sum("vendors").alias("reached"))
-    several = accounts.groupBy("role", "bp_key").agg(
-        F.array_sort(F.collect_set("v")).alias("own")).filter(F.size("own") > 1)
-    classes = several.groupBy("role", "own").agg(F.count("*").alias("n"))
-    pairs = classes.select("role", "own", "n", F.explode(F.expr(
-        "flatten(transform(own, (x, i) -> transform(slice(own, i + 2, size(own)), "
-        "y -> struct(x, y))))")).alias("pair"))
-    customers = pairs.filter("role = 'CUSTOMER'").select("pair", "own")
-    other = pairs.filter("role = 'VENDOR'").select("pair", F.col("own").alias("theirs"), "n")
-    twice = customers.join(other, "pair").select("own", "theirs", "n").distinct().groupBy("own").agg(
-        F.sum(F.col("n") * (F.size(F.array_intersect("own", "theirs")) - 1)).alias("again"))
-    again = several.filter("role = 'CUSTOMER'").join(twice, "own").select("bp_key", "again")
-    return every.join(again, "bp_key", "left").select(
-        "bp_key", (F.col("reached") - F.coalesce("again", F.lit(0))).alias("vendors"))
+    sizes = accounts.groupBy("role", "bp_key").agg(F.count("*").alias("n"))
+    few = accounts.join(sizes.filter(F.col("n") <= FEW_VALUES), ["role", "bp_key"], "left_semi") \
+        .groupBy("role", "bp_key").agg(F.array_sort(F.collect_set("v")).alias("own"))
+    many = accounts.join(sizes.filter(F.col("n") > FEW_VALUES), ["role", "bp_key"], "left_semi")
+
+    customers = few.filter("role = 'CUSTOMER'").select("bp_key", "own")
+    holders = _sets(few.filter("role = 'VENDOR'")).groupBy("part").agg(F.count("*").alias("n"))
+    # accounts with the same values are counted once
+    kinds = _sets(customers.select("own").distinct(), "own").join(holders, "part").groupBy("own").agg(
+        F.sum(F.when(F.size("part") % 2 == 1, F.col("n")).otherwise(-F.col("n"))).alias("n"))
+    counted = customers.join(kinds, "own").select("bp_key", "n")
+
+    def paired(one: DataFrame, other: DataFrame) -> DataFrame:
+        return one.filter("role = 'CUSTOMER'").select("bp_key", "v").join(
+            other.filter("role = 'VENDOR'").select(F.col("bp_key").alias("vendor"), "v"), "v") \
+            .select("bp_key", "vendor").distinct().groupBy("bp_key").agg(F.count("*").alias("n"))
+
+    rest = accounts.join(many.select("role", "bp_key").distinct(), ["role", "bp_key"], "left_anti")
+    return counted.union(paired(rest, many)).union(paired(many, accounts)).groupBy("bp_key").agg(
+        F.sum("n").alias("vendors"))
 
 
 def cross_role_values(model: Model) -> DataFrame:

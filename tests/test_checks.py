@@ -120,6 +120,23 @@ def test_hot_value_costs_its_accounts_not_their_pairs(spark):
     assert cross_role.matched_members(model).count() == 800
 
 
+def test_two_hot_values_pair_no_classes(spark):
+    """200 customers and 200 vendors share a VAT id and an IBAN, each has one more shared value;
+    some accounts have more shared values than sets are made of."""
+    partners = [partner(f"{s}:{i}") for s in "CV" for i in range(200)]
+    vat = [dict(bp_key=p["bp_key"], tax_id_type="VAT", value="x", value_norm="HOT") for p in partners]
+    banks = [dict(bp_key=p["bp_key"], bank_key="B", iban_norm=iban) for p in partners
+             for iban in ["DEHOT", f"DE{int(p['source_id']):04d}X1234",
+                          *([f"DEW{n}" for n in range(9)] if p["source_id"] in ("7", "8") else [])]]
+    lone = [partner("C:900"), partner("V:900")]
+    vat += [dict(bp_key=p["bp_key"], tax_id_type="VAT", value="y", value_norm="LONE") for p in lone]
+    model = make_model(spark, business_partner=partners + lone, bp_tax_id=vat, bp_bank_account=banks)
+    values = cross_role.account_values(model)
+    counted = cross_role.vendor_counts(values)
+    assert {r.bp_key: r.vendors for r in counted.collect()} == {
+        **{f"C:{i}": 200 for i in range(200)}, "C:900": 1}
+
+
 def test_a_large_cluster_is_shown_whole(spark):
     model = make_model(
         spark, business_partner=[partner(f"V:{i}", city="Ulm" if i == 7 else "Ort")
