@@ -316,3 +316,4 @@ REBOOKED_NOTE = "Gegenläufige Posten eines Belegs mit gleichem Betrag"
 OFFSET_SEEN = "Forderung {a} und Verbindlichkeit {b} beim selben Partner"
 OFFSET_NOTE = "Verbunden über USt-ID oder IBAN"
 OFFSET_FORMULA = "Kleinerer Betrag von Forderung und Verbindlichkeit"
+PAID_ON_TWO = "Beleg auf einem Konto der Dublette"

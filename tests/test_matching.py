@@ -3,7 +3,7 @@ import random
 
 import duckdb
 import pytest
-from conftest import make_model, partner
+from conftest import item, make_model, partner
 from pyspark.sql import functions as F
 
 from ledgercheck.checks import duplicates
@@ -223,3 +223,22 @@ def test_empty_tables(spark, settle):
     assert match.members.count() == match.clusters.count() == 0
     assert matching.profile(match.vectors, match.keys).count() == 0
 
+
+
+def test_paid_on_two_accounts_of_one_vendor(spark):
+    import datetime as dt
+
+    def paid(key, number, day, reference="RE-77"):
+        return item(key, doc_type="KR", document_no=number, reference=reference,
+                    reference_norm=reference.replace("-", ""), is_open=False,
+                    document_date=dt.date(2026, 1, day), amount_doc="500.00")
+
+    model = make_model(spark, business_partner=[partner(f"V:{i}") for i in range(1, 5)], fi_item=[
+        paid("V:2", "20", 9), paid("V:1", "30", 20), paid("V:3", "40", 20),   # 3 is no duplicate
+        paid("V:1", "50", 25), paid("V:4", "60", 28, "XX-99")])
+    members = spark.createDataFrame([("V:1", "V:1"), ("V:1", "V:2"), ("V:1", "V:4")],
+                                    "cluster_id string, bp_key string")
+    found = duplicates.paid_on_two_accounts(model, members).collect()
+    assert [(r["bp_key"], r["related_bp_keys"], r["finding_key"]) for r in found] == [
+        ("V:2", ["V:1"], "20|30")]
+    assert [d["document_no"] for d in found[0]["documents"]] == ["20", "30"]
