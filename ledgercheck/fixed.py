@@ -317,3 +317,9 @@ OFFSET_SEEN = "Forderung {a} und Verbindlichkeit {b} beim selben Partner"
 OFFSET_NOTE = "Verbunden über USt-ID oder IBAN"
 OFFSET_FORMULA = "Kleinerer Betrag von Forderung und Verbindlichkeit"
 PAID_ON_TWO = "Beleg auf einem Konto der Dublette"
+
+# -- kind of impact by check: money that is gone, money at stake; fixed values ----------
+IMPACT_KIND = {
+    "AP-LEA-001": "loss", "AP-LEA-002": "loss", "AR-CON-002": "exposure",
+    "AR-VAL-003": "exposure", "AP-VAL-003": "exposure",
+}

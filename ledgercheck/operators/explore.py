@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgercheck.checks import bank_data, cross_role
 from ledgercheck.checks.contract import Model
 from ledgercheck.checks.records import compare_records
-from ledgercheck.fixed import ACTION_TYPES, SEVERITIES, SIDES, STATUSES, TIERS
+from ledgercheck.fixed import ACTION_TYPES, IMPACT_KIND, SEVERITIES, SIDES, STATUSES, TIERS
+from ledgercheck.operators.ranking import numbered_in_group
 from ledgercheck.schema import MONEY
 
 NO_COMPANY_CODE = "none"
@@ -164,6 +166,36 @@ def totals_by_currency(findings: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def impact_kind() -> Column:
+    """Whether the money of a finding is gone (loss) or at stake while it stands (exposure)."""
+    table = F.create_map(*[F.lit(x) for pair in IMPACT_KIND.items() for x in pair])
+    return F.when(F.col("impact_eur").isNotNull(), F.try_element_at(table, F.col("rule_id")))
+
+
+def totals_by_kind(findings: DataFrame) -> DataFrame:
+    """Sums per kind of impact and currency; a loss and an exposure are never added."""
+    return totals_by_currency(findings.withColumn("kind", impact_kind()), "kind")
+
+
+def top_by_kind(findings: DataFrame, n: int = TOP_COUNT) -> DataFrame:
+    """The findings with the highest impact of each kind, with their place."""
+    by = Window.partitionBy("kind").orderBy(*sort_keys())
+    return findings.withColumn("kind", impact_kind()).filter("impact_eur IS NOT NULL").withColumn(
+        "place", F.row_number().over(by)).filter(F.col("place") <= n)
+
+
+def placed(findings: DataFrame, settle: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Every finding with its place in the list of its tab: by impact, severity and id.
+
+    The list is one sort by range over all tabs, so that a tab of any size is spread."""
+    ordered = findings.select(
+        "finding_id", "action_type", impact().isNull().alias("no_impact"),
+        (-impact()).alias("falling"), (-rank(F.col("severity"), SEVERITIES)).alias("worst"))
+    return numbered_in_group(ordered, ["action_type"], [
+        "no_impact", "falling", "worst", "finding_id"], settle, "placed-findings").select(
+        "finding_id", "action_type", "position")
+
+
 def overview(findings: DataFrame) -> DataFrame:
     """One row: findings, open, decided, and those without an amount."""
     return findings.agg(

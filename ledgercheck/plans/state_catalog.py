@@ -1,14 +1,14 @@
-"""Queries of what lasts from run to run, and of tables told by their columns."""
+"""Queries of what lasts from run to run, of kinds of impact, and of tables told by columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgercheck.operators import automation
+from ledgercheck.operators import automation, explore
 from ledgercheck.plans.bridge import raw_exports
 from ledgercheck.plans.catalog import _digit, query
-from ledgercheck.plans.derived import all_findings, model
+from ledgercheck.plans.derived import all_findings, model, settle_for
 from ledgercheck.plans.run import documents_union
 from ledgercheck.session import tune, work_folder
 from ledgercheck.sources.mapping import filled_columns, tell_tables
@@ -81,3 +81,19 @@ def told_tables(spark, sf_dir):
     parts = [filled_columns(df.drop("_row_no"), f"file-{i:02d}") for i, (_, df) in enumerate(
         sorted(raw_exports(tune(spark), sf_dir).items()))]
     return tell_tables(documents_union(parts))
+
+
+@query
+def totals_by_kind(spark, sf_dir):
+    return explore.totals_by_kind(all_findings(spark, sf_dir))
+
+
+@query
+def top_by_kind(spark, sf_dir):
+    return explore.top_by_kind(all_findings(spark, sf_dir)).select(
+        "finding_id", "rule_id", "kind", "place")
+
+
+@query
+def placed_findings(spark, sf_dir):
+    return explore.placed(all_findings(spark, sf_dir), settle_for(spark, "placed"))

@@ -26,7 +26,26 @@ every AS (
 weight AS (
   SELECT bp_key, abs(open_items_local) + abs(volume_12m_local) + 1 AS w FROM bp_relevance)"""
 
+_KIND = """
+kinds AS (
+  SELECT *, CASE WHEN rule_id IN ('AP-LEA-001', 'AP-LEA-002') THEN 'loss'
+                 WHEN rule_id IN ('AR-CON-002', 'AR-VAL-003', 'AP-VAL-003') THEN 'exposure' END AS kind,
+         CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2
+                       WHEN 'low' THEN 3 END AS worst
+  FROM findings)"""
+
 STATE_ORACLE = {
+    "totals_by_kind": with_findings("""
+SELECT kind, impact_currency AS currency, sum(impact_amount)::DECIMAL(25,2) AS amount
+FROM kinds WHERE impact_amount IS NOT NULL GROUP BY ALL""", _KIND),
+    "top_by_kind": with_findings("""
+SELECT finding_id, rule_id, kind, place::INTEGER AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY kind ORDER BY impact_amount DESC, worst, finding_id)
+    AS place FROM kinds WHERE impact_amount IS NOT NULL) WHERE place <= 10""", _KIND),
+    "placed_findings": with_findings("""
+SELECT finding_id, action_type, row_number() OVER (
+  PARTITION BY action_type ORDER BY impact_amount DESC NULLS LAST, worst, finding_id) AS position
+FROM kinds""", _KIND),
     "rule_automation": with_findings("SELECT * FROM record", _RECORD),
     "earned_tiers": with_findings("""
 SELECT finding_id, f.rule_id, CASE WHEN damage_class <> 1 AND tier IN ('A', 'B')
