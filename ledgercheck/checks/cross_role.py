@@ -61,11 +61,14 @@ def vendor_counts(values: DataFrame) -> DataFrame:
 
     `values` has the shared values of all accounts."""
     key = F.struct("criterion", "value")
-    accounts = values.select("role", "bp_key", key.alias("v")).distinct()
-    sizes = accounts.groupBy("role", "bp_key").agg(F.count("*").alias("n"))
-    few = accounts.join(sizes.filter(F.col("n") <= FEW_VALUES), ["role", "bp_key"], "left_semi") \
-        .groupBy("role", "bp_key").agg(F.array_sort(F.collect_set("v")).alias("own"))
-    many = accounts.join(sizes.filter(F.col("n") > FEW_VALUES), ["role", "bp_key"], "left_semi")
+    own = values.select("role", "bp_key", key.alias("v")).groupBy("role", "bp_key").agg(
+        F.array_sort(F.collect_set("v")).alias("own"))
+    few = own.filter(F.size("own") <= FEW_VALUES)
+
+    def single(rows: DataFrame) -> DataFrame:
+        return rows.select("role", "bp_key", F.explode("own").alias("v"))
+
+    many, rest, accounts = (single(x) for x in (own.filter(F.size("own") > FEW_VALUES), few, own))
 
     customers = few.filter("role = 'CUSTOMER'").select("bp_key", "own")
     holders = _sets(few.filter("role = 'VENDOR'")).groupBy("part").agg(F.count("*").alias("n"))
@@ -79,7 +82,6 @@ def vendor_counts(values: DataFrame) -> DataFrame:
             other.filter("role = 'VENDOR'").select(F.col("bp_key").alias("vendor"), "v"), "v") \
             .select("bp_key", "vendor").distinct().groupBy("bp_key").agg(F.count("*").alias("n"))
 
-    rest = accounts.join(many.select("role", "bp_key").distinct(), ["role", "bp_key"], "left_anti")
     return counted.union(paired(rest, many)).union(paired(many, accounts)).groupBy("bp_key").agg(
         F.sum("n").alias("vendors"))
 

@@ -62,9 +62,15 @@ def paid_invoices(model: Model) -> DataFrame:
 
 
 def repeated_amounts(invoices: DataFrame) -> DataFrame:
-    """Invoices whose vendor, currency and amount occur more than once; the rest cannot pair."""
-    repeated = invoices.groupBy(*_SAME).count().filter("count > 1").drop("count")
-    return invoices.join(repeated, _SAME, "left_semi")
+    """Invoices that have another of their vendor, currency and amount within MAX_DAYS days; the
+    rest cannot pair.  A row per day is compared, so a group is bounded by the calendar."""
+    days = invoices.groupBy(*_SAME, "document_date").agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*_SAME).orderBy("document_date")
+    gaps = [F.datediff("document_date", F.lag("document_date").over(order)),
+            F.datediff(F.lead("document_date").over(order), "document_date")]
+    close = days.withColumn("gap", F.least(*gaps)).filter(
+        (F.col("n") > 1) | (F.col("gap") <= MAX_DAYS)).select(*_SAME, "document_date")
+    return invoices.join(close, [*_SAME, "document_date"], "left_semi")
 
 
 def credit_dates(model: Model) -> DataFrame:
