@@ -10,9 +10,11 @@ Centroids are fitted on at most SAMPLE vectors, the first by a hash of their com
 vector is indexed.  `reach` is calibrated: for CALIBRATION queries the true neighbours among all
 vectors are found by brute force, and the least share of the vectors is taken at which the walk
 meets RECALL of them.  It is a share, so recall does not fall as tables grow; neither cells nor
-candidates are capped.  Queries go against the index in blocks of QUERY_BLOCK, which are broadcast.
+candidates are capped.  It is never less than `top` vectors and the query's own, so small tables
+are passed whole.  The walks are made where the queries lie, from the broadcast centroids and cell
+sizes; queries go against the index in blocks of QUERY_BLOCK, broadcast with the cells they visit.
 
-Defined results: null, empty and zero vectors and vectors with a null or non-finite component take
+Defined results: rows with a null vec_id, null, empty and zero vectors and vectors with a null or non-finite component take
 no part; nor do vectors of another length than the most frequent one (of equally frequent ones the
 longer).  A query's own id is no candidate.  Ties go to the smaller id.  Repeated rows are
 candidates each by itself.  Other columns are not read.
@@ -44,7 +46,7 @@ def usable(frame: DataFrame) -> DataFrame:
     """(vec_id, v) of the vectors that take part, in double precision."""
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = frame.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(
-        F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
+        F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n"))
     most = sizes.first()
     return rows.where(F.size("v") == (most["n"] if most else -1))
@@ -136,20 +138,33 @@ class Index:
             .repartition("cell", "part").sortWithinPartitions("cell").select("vec_id", "cell", "v"),
             "index")
 
-    def cells(self, q: np.ndarray, reach: float) -> np.ndarray:
-        """Which cells each query visits."""
-        out = np.zeros((len(q), len(self.sizes)), bool)
-        a, b = halves(q)
-        for i, (x, y) in enumerate(zip(-a @ self.first.T, -b @ self.second.T)):
-            out[i, list(walk(x, y, self.sizes, reach))] = True
-        return out
+    def walked(self, queries: DataFrame, reach: float) -> DataFrame:
+        """Queries (vec_id, v) with the cells they visit, one bit each."""
+        shared = queries.sparkSession.sparkContext.broadcast((self.first, self.second, self.sizes))
+        schema = fields("vec_id long, v array<double>, cells binary")
+        types = to_arrow_schema(schema)
+
+        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            one, two, sizes = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                a, b = halves(matrix(batch.column("v")))
+                out = np.zeros((batch.num_rows, len(sizes)), bool)
+                for i, (x, y) in enumerate(zip(-a @ one.T, -b @ two.T)):
+                    out[i, list(walk(x, y, sizes, reach))] = True
+                yield to_batch({"vec_id": batch.column("vec_id"), "v": batch.column("v"),
+                                "cells": [row.tobytes() for row in np.packbits(out, axis=1)]}, types)
+
+        return queries.select("vec_id", "v").mapInArrow(visit, schema)
 
     def rerank(self, ids: np.ndarray, q: np.ndarray, visits: np.ndarray, top: int) -> DataFrame:
-        """(query_id, vec_id, score, cell): the `top` best of every task for each query."""
+        """(query_id, vec_id, score, cell): the `top` best of every task for each query; `visits`
+        has the visited cells of each, packed in bytes."""
         spark = self.table.sparkSession
-        shared = spark.sparkContext.broadcast((ids, q, np.packbits(visits, axis=1)))
+        shared = spark.sparkContext.broadcast((ids, q, visits))
         schema = fields("query_id long, vec_id long, score double, cell int")
-        types, n_cells = to_arrow_schema(schema), len(self.sizes)
+        types = to_arrow_schema(schema)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q, packed = shared.value
@@ -181,7 +196,6 @@ class Index:
                     yield to_batch({"query_id": ids[at], "vec_id": vec, "score": value,
                                     "cell": cell}, types)
 
-        assert packed_cells(n_cells) == np.packbits(visits[:1], axis=1).shape[1] or not len(q)
         return self.table.mapInArrow(score, schema)
 
     def calibrate(self, recall: float, top: int, queries: int = CALIBRATION) -> float:
@@ -189,7 +203,7 @@ class Index:
         some = sorted(sample_by_hash(self.table, "v", queries).collect())
         ids = np.array([r["vec_id"] for r in some], np.int64)
         q = np.array([r["v"] for r in some])
-        every = np.ones((len(q), len(self.sizes)), bool)
+        every = np.packbits(np.ones((len(q), len(self.sizes)), bool), axis=1)
         true: dict[int, list[int]] = {}
         for r in best_of(self.rerank(ids, q, every, top), top).collect():
             true.setdefault(r["query_id"], []).append(r["cell"])
@@ -202,11 +216,10 @@ class Index:
             passed += before[true.get(i, [])].tolist()
         if not passed:
             return float(self.sizes.sum())
-        return float(np.sort(passed)[min(len(passed) - 1, int(np.ceil(recall * len(passed))))])
-
-
-def packed_cells(n: int) -> int:
-    return -(-n // 8)
+        # rows that share the query's id are no candidates: they count on top of `top`
+        own = self.table.groupBy("vec_id").count().agg(F.max("count")).first()[0]
+        least = np.sort(passed)[min(len(passed) - 1, int(np.ceil(recall * len(passed))))]
+        return float(max(least, top + own))
 
 
 def keep(held: list, top: int):
@@ -233,7 +246,7 @@ def search(vectors: DataFrame, is_query: Column, top: int = 20, recall: float =
     if index.empty:
         return spark.createDataFrame([], schema)
     reach = index.calibrate(recall, top)
-    queries = settled(index.table.where(is_query).select("vec_id", "v"), "queries")
+    queries = settled(index.walked(index.table.where(is_query), reach), "queries")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     out = None
     for block in range(blocks):
@@ -243,7 +256,8 @@ def search(vectors: DataFrame, is_query: Column, top: int = 20, recall: float =
             continue
         ids = np.array([r["vec_id"] for r in rows], np.int64)
         q = np.array([r["v"] for r in rows])
-        found = settled(best_of(index.rerank(ids, q, index.cells(q, reach), top), top), "found")
+        visits = np.stack([np.frombuffer(r["cells"], np.uint8) for r in rows])
+        found = settled(best_of(index.rerank(ids, q, visits, top), top), "found")
         out = found if out is None else out.union(found)
     if out is None:
         return spark.createDataFrame([], schema)

@@ -58,3 +58,21 @@ def test_walk_takes_pairs_by_summed_distance():
     assert sorted(order) == list(range(49)) and total == sorted(total)
     some = list(walk(a, b, sizes, 20))
     assert sizes[some].sum() >= 20 > sizes[some[:-1]].sum()
+
+
+def test_null_ids_take_no_part(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i if i % 3 else None, rng.normal(size=8).tolist()) for i in range(300)]
+    got = found(spark, rows)
+    assert set(got) == {i for i, _ in rows if i is not None and i % 20 == 0}
+    assert all(i is not None for own in got.values() for i, _ in own)
+
+
+def test_small_tables_are_passed_whole(spark):
+    """All candidates where there are no more than asked for, whatever the calibration says."""
+    for seed, n in ((1, 12), (2, 20), (3, 21)):
+        rng = np.random.default_rng(seed)
+        rows = [(20 * i, rng.normal(size=8).tolist()) for i in range(n)]
+        got, true = found(spark, rows), brute(rows)
+        assert {q: [i for i, _ in own] for q, own in got.items()} == {
+            q: [i for i, _ in own] for q, own in true.items()}
