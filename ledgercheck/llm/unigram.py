@@ -6,14 +6,16 @@ pieces.  Distinct pre-tokens of a task are put into a trie, level by level; the
 trie node (the best score of a segmentation of that prefix) is computed once, for all pre-tokens
 that share it, and the number of pieces is kept at the node a pre-token ends at.  Pre-tokens a
 task has met before are looked up; the memory of them is emptied when it reaches KNOWN_WORDS.
+A trie has a level per byte, so a pre-token of more than LONG bytes, which shares little, has its
+forward scores computed by itself: in blocks of BLOCK bytes, whose pieces are found at once, with
+the scores of the last bytes carried over.  The result is the same at any length.
 
 Pieces come from a sentencepiece file, whose path is a parameter; its order gives their scores:
 the piece of rank r has the logarithm of 1 / (r + 2.7), scaled to whole numbers.  Bytes that no
 piece covers count as one token each.  Nothing is trained.
 
-Defined results: null and empty text has no tokens.  Pre-tokens longer than MAX_BYTES are cut
-into runs of that many bytes at character bounds, all of which count.  Rows with equal ids are
-counted each by itself; other columns are not read.
+Defined results: null and empty text has no tokens.  Very long texts and pre-tokens are counted
+whole.  Rows with equal ids are counted each by itself; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from pyspark.sql import DataFrame
 from ledgercheck.llm.common import fields, scan_texts, sized_broadcast, string_buffers
 from ledgercheck.llm.tokens import BASE, BYTE_CODE, NOT_SPACE, Hasher, mix, powers, words
 
-MAX_BYTES = 1024
+LONG = 1024             # bytes from which a pre-token is counted by itself
+BLOCK = 1 << 16         # bytes of it whose pieces are looked for at once
+MANY = 1 << 40          # the count of pieces of a long one, as the low part of its value
 KNOWN_WORDS = 2_000_000
 SCALE = 1000.0
 PENALTY = 10_000        # a byte on its own scores this much below the least piece
@@ -118,21 +122,38 @@ def count_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, v: Voca
     return out
 
 
-def cut_long(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """Pre-tokens in runs of at most MAX_BYTES, cut before the first byte of a character."""
-    if not len(starts) or int((ends - starts).max()) <= MAX_BYTES:
-        return starts, ends, np.arange(len(starts))
-    lo, hi, owner = [], [], []
-    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
-        while b - a > MAX_BYTES:
-            cut = a + MAX_BYTES
-            while cut > a + MAX_BYTES - 4 and data[cut] & 0xC0 == 0x80:
-                cut -= 1
-            lo, hi, owner, a = [*lo, a], [*hi, cut], [*owner, i], cut
-        lo.append(a)
-        hi.append(b)
-        owner.append(i)
-    return np.array(lo), np.array(hi), np.array(owner)
+def count_long(text: np.ndarray, v: Vocabulary) -> int:
+    """Pieces in the best segmentation of one long pre-token with its mark."""
+    top, byte = v.lengths[-1], (v.byte + 1) // FEWER * MANY - 1
+    start, values = 0, [0]   # values[i]: forward value of the first start + i bytes
+    for lo in range(0, len(text), BLOCK):
+        hi = min(len(text), lo + BLOCK)
+        part = BYTE_CODE[text[start:hi]]
+        code, found = np.zeros(len(part), np.uint64), []
+        for length in range(1, min(top, len(part)) + 1):
+            code = code[:len(part) - length + 1] * BASE + part[length - 1:]
+            if length not in v.lengths:
+                continue
+            piece = mix(code)
+            begin = np.flatnonzero(v.seen[piece & np.uint64(FILTER - 1)])
+            begin = begin[begin + length > lo - start]   # pieces that end in this block
+            at = np.searchsorted(v.codes, piece[begin]).clip(0, len(v.codes) - 1)
+            hit = v.codes[at] == piece[begin]
+            found.append((begin[hit] + length, begin[hit], v.values[at[hit]]))
+        ends, begins, scores = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(ends, kind="stable")
+        ends, begins = ends[order].tolist(), begins[order].tolist()
+        scores = ((scores[order] + 1) // FEWER).tolist()
+        at, n = 0, len(ends)
+        for i in range(lo - start + 1, hi - start + 1):
+            best = values[i - 1] + byte
+            while at < n and ends[at] == i:
+                best = max(best, values[begins[at]] + scores[at] * MANY - 1)
+                at += 1
+            values.append(best)
+        following = max(0, hi - top)
+        values, start = values[following - start:], following
+    return -values[-1] % MANY
 
 
 class Counter:
@@ -148,19 +169,22 @@ class Counter:
         new = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
         if new.any():
             rows = first[new]
-            lo, hi, owner = cut_long(data, starts[rows], ends[rows])
-            # the mark: a space before the first run of every pre-token
-            begins = np.ones(len(lo), bool)
-            begins[1:] = owner[1:] != owner[:-1]
-            sizes = hi - lo + begins
-            tops = np.cumsum(sizes)
-            text = np.full(int(tops[-1]), 32, np.uint8)
-            source = np.repeat(lo - (tops - sizes) - begins, sizes) + np.arange(len(text))
+            lo, hi = starts[rows], ends[rows]
+            sizes = hi - lo + 1   # with the mark: a space before every pre-token
+            short = np.flatnonzero(sizes <= LONG)
+            tops = np.cumsum(sizes[short])
+            text = np.full(int(tops[-1]) if len(tops) else 0, 32, np.uint8)
+            source = np.repeat(lo[short] - (tops - sizes[short]) - 1, sizes[short]) + np.arange(
+                len(text))
             inside = np.ones(len(text), bool)
-            inside[(tops - sizes)[begins]] = False
+            inside[tops - sizes[short]] = False
             text[inside] = data[source[inside]]
-            counted = np.bincount(owner, count_pieces(text, tops - sizes, tops, self.vocabulary),
-                                  len(rows)).astype(np.int64)
+            counted = np.zeros(len(rows), np.int64)
+            if len(short):
+                counted[short] = count_pieces(text, tops - sizes[short], tops, self.vocabulary)
+            for i in np.flatnonzero(sizes > LONG).tolist():
+                counted[i] = count_long(np.append(np.uint8(32), data[lo[i]:hi[i]]),
+                                        self.vocabulary)
             if len(self.known) + len(rows) > KNOWN_WORDS:
                 self.known, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
                 return self.counts_of(hashes, data, starts, ends) if len(distinct) > len(rows) \

@@ -24,21 +24,45 @@ def brute(pieces, pre_token):
 
 
 def test_equals_the_plain_recursion(make_docs, awkward, random_texts, pieces):
-    rows = [r for r in awkward if len(r[1] or "") < 1000] + [
+    rows = [r for r in awkward if len(r[1] or "") < 300_000] + [
         (100 + i, t) for i, t in enumerate(random_texts(9, 30))] + [
         (200, "Tokenisation internationalization of der Schönheit été, naïveté!? " * 20)]
     got = U.count_tokens(make_docs(rows), VOCABULARY).collect()
     expected = []
     for doc, text in rows:
         parts = (text or "").encode().split()
-        expected.append((doc, len(parts), sum(brute(pieces, p) for p in parts)))
+        counts = {p: brute(pieces, p) for p in set(parts)}
+        expected.append((doc, len(parts), sum(counts[p] for p in parts)))
     assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
 
 
-def test_long_pre_tokens_and_a_full_memory(make_docs, pieces, monkeypatch):
-    long = "ab" * 3000 + " é" + "é" * 2000
-    got = U.count_tokens(make_docs([(1, long)]), VOCABULARY).first()
-    assert got["n_pretokens"] == 2 and 0 < got["n_tokens"] <= 12_000
+@pytest.mark.parametrize("block", [100, 1 << 16])
+def test_long_pre_tokens_equal_the_plain_recursion(pieces, monkeypatch, block):
+    """Texts without spaces of 10 kB and more; blocks shorter and longer than these."""
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(U, "BLOCK", block)
+    rng, v = random.Random(block), U.Vocabulary(pieces)
+    known = [p.strip() for p in list(pieces)[:4000] if p.strip()]
+    for text in (b"ab" * 5000, "é日本\x00".encode() * 1500, b"x" * 12_000,
+                 b"".join(rng.choice(known) for _ in range(3000)),
+                 bytes(rng.randrange(33, 256) for _ in range(10_000))):
+        assert U.count_long(np.frombuffer(b" " + text, np.uint8), v) == brute(pieces, text)
+
+
+def test_long_and_short_ones_together(make_docs, pieces):
+    long = "Donaudampfschiff" * 200
+    rows = [(1, f"a {long} b"), (2, long[:1022]), (3, long[:1023]), (4, long[:1024]),
+            (5, "x" * 300_000)]
+    got = {r["doc_id"]: r["n_tokens"] for r in U.count_tokens(make_docs(rows), VOCABULARY).collect()}
+    for doc, text in rows[:4]:
+        assert got[doc] == sum(brute(pieces, p) for p in text.encode().split())
+    assert 0 < got[5] < 300_000
+
+
+def test_a_full_memory(pieces, monkeypatch):
     words = [f"w{i}x{i * 7}".encode() for i in range(500)]
     monkeypatch.setattr(U, "KNOWN_WORDS", 120)
     counter = U.Counter(U.Vocabulary(pieces))
