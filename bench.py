@@ -10,7 +10,7 @@ import json
 import os
 import time
 
-from ledgercheck.plans import derived
+from ledgercheck.plans import derived, flow_catalog, match_catalog  # noqa: F401
 from ledgercheck.plans.catalog import QUERIES
 from ledgercheck.session import local_session
 
@@ -35,6 +35,7 @@ def main() -> None:
 
     timed("model", lambda: derived.prepared(spark, folder))
     timed("findings", lambda: derived.all_findings(spark, folder))
+    timed("match", lambda: match_catalog.planted(spark, folder))
     for name in HEADLINE:
         timed(name, lambda n=name: QUERIES[n](spark, folder)
               .write.format("noop").mode("overwrite").save())

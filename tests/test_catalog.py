@@ -11,7 +11,10 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 SOME = ["parse_amount", "control_totals", "canonical_fi_item", "canonical_rejects", "conservation",
         "partner_relevance", "check_ap_lea_001", "check_ap_lea_002", "check_ar_com_002",
         "check_cross_dup_001", "all_checks", "memory_applied", "record_comparison",
-        "finding_sample", "compare_runs"]
+        "finding_sample", "compare_runs", "normalised_partners", "match_pairs", "match_clusters",
+        "golden_records", "check_ar_dup_001", "check_ap_lea_001_duplicates", "payments_after_change",
+        "check_ap_lea_003", "rebookings", "check_cross_lea_001", "rule_automation", "run_delta",
+        "category_scores", "told_tables", "totals_by_kind", "placed_findings"]
 
 
 @pytest.fixture(scope="module")
