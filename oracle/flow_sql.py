@@ -93,7 +93,7 @@ potential AS (
 
 
 def _sql(body: str, ctes: str) -> str:
-    return with_model(body, "relevance", ctes).replace("WITH", "WITH RECURSIVE", 1)
+    return with_model(body, "relevance", ctes, recursive=True)
 
 
 FLOW_ORACLE = {

@@ -6,6 +6,8 @@ agrees has survived rendering, typing, mapping and rejecting.
 
 from __future__ import annotations
 
+import re
+
 _PARTNER = """
 src AS (
     SELECT 'C' AS side, c_custkey AS k, c_name AS name, c_nationkey AS nation,
@@ -257,7 +259,30 @@ _STAGES = {"partner": [_PARTNER], "items": [_PARTNER, _ITEMS],
            "relevance": [_PARTNER, _ITEMS, _RELEVANCE]}
 
 
-def with_model(body: str, stage: str = "relevance", ctes: str = "") -> str:
+# a table of a WITH list starts a line of its own
+_ENTRY = re.compile(r"^(\w+)(\([^)]*\))? AS \(", re.M)
+
+
+def statement(ctes: list[str], body: str, recursive: bool = False) -> str:
+    """WITH the tables that `body` needs, each worked out once however often it is read."""
+    text = ",\n".join(c.strip().rstrip(",") for c in ctes)
+    starts = [m.start() for m in _ENTRY.finditer(text)] + [len(text)]
+    entries = []
+    for a, b in zip(starts, starts[1:]):
+        entry = text[a:b].strip().rstrip(",")
+        name = _ENTRY.match(entry)[1]
+        entries.append((name, set(re.findall(r"\w+", entry)), entry))
+    needed, kept = set(re.findall(r"\w+", body)), []
+    for name, words, entry in reversed(entries):  # an entry reads those before it, or itself
+        if name in needed:
+            needed |= words
+            own = recursive and re.search(rf"\b{name}\b", entry[len(name):])
+            kept.append(entry if own else _ENTRY.sub(r"\1\2 AS MATERIALIZED (", entry, count=1))
+    if not kept:
+        return body
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(reversed(kept)) + "\n" + body
+
+
+def with_model(body: str, stage: str = "relevance", ctes: str = "", recursive: bool = False) -> str:
     """A query over the canonical tables; `ctes` are further WITH entries of its own."""
-    parts = [*_STAGES[stage], *([ctes] if ctes else [])]
-    return "WITH " + ",".join(parts) + "\n" + body
+    return statement([*_STAGES[stage], *([ctes] if ctes else [])], body, recursive)

@@ -38,3 +38,9 @@ def test_every_oracle_belongs_to_a_query():
     assert set(oracle) <= set(queries)
     ours = {n for n in queries if n in CATALOG}
     assert ours - set(oracle) == {"file_hashes", "header_check"}
+
+
+def test_statements_work_out_each_table_once():
+    sql = oracle_sql()["all_checks"]
+    assert sql.count(" AS MATERIALIZED (") == sql.count("\nfindings AS MATERIALIZED (") + 42
+    assert "fi_item" not in oracle_sql()["canonical_business_partner"]
