@@ -47,11 +47,11 @@ def invalid_iban(model: Model, role: str) -> DataFrame:
     )
 
 
-def shared_iban_members(model: Model) -> DataFrame:
-    """Vendors that share an IBAN: one row per IBAN and vendor, of IBANs with several."""
+def shared_iban_members(model: Model, role: str = "VENDOR") -> DataFrame:
+    """Partners that share an IBAN: one row per IBAN and partner, of IBANs with several."""
     accounts = (
         model["bp_bank_account"].filter(F.col("iban_norm").isNotNull())
-        .join(model.partners("VENDOR"), "bp_key", "left_semi")
+        .join(model.partners(role), "bp_key", "left_semi")
         .groupBy("iban_norm", "bp_key")
         .agg(F.min("bank_key").alias("bank_key"),
              F.min("partner_bank_type").alias("partner_bank_type"))
@@ -76,13 +76,13 @@ def payer_links(model: Model) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
 
 
-def shared_iban_clusters(model: Model) -> DataFrame:
-    """One row per IBAN of several vendors none of which pays for another.
+def shared_iban_clusters(model: Model, role: str = "VENDOR") -> DataFrame:
+    """One row per IBAN of several partners none of which pays for another.
 
     A link is looked up from its two ends: first the IBANs of the one partner, then
     whether the other partner has the same.  Members are never paired with each other.
     """
-    members = shared_iban_members(model)
+    members = shared_iban_members(model, role)
     ends = members.select("iban_norm", "bp_key")
     linked = (
         ends.join(payer_links(model), "bp_key")

@@ -323,3 +323,58 @@ IMPACT_KIND = {
     "AP-LEA-001": "loss", "AP-LEA-002": "loss", "AR-CON-002": "exposure",
     "AR-VAL-003": "exposure", "AP-VAL-003": "exposure",
 }
+
+# -- postal codes by country ------------------------------------------------------------
+POSTAL_CODE_PATTERNS = {
+    "DE": r"^\d{5}$",
+    "AT": r"^\d{4}$",
+    "CH": r"^\d{4}$",
+    "LI": r"^\d{4}$",
+    "NL": r"^\d{4}\s?[A-Z]{2}$",
+    "BE": r"^\d{4}$",
+    "LU": r"^L?-?\d{4}$",
+    "FR": r"^\d{5}$",
+    "IT": r"^\d{5}$",
+    "ES": r"^\d{5}$",
+    "PT": r"^\d{4}-\d{3}$",
+    "PL": r"^\d{2}-\d{3}$",
+    "CZ": r"^\d{3}\s?\d{2}$",
+    "SK": r"^\d{3}\s?\d{2}$",
+    "HU": r"^\d{4}$",
+    "DK": r"^\d{4}$",
+    "SE": r"^\d{3}\s?\d{2}$",
+    "NO": r"^\d{4}$",
+    "FI": r"^\d{5}$",
+    "IE": r"^[A-Z]\d{2}\s?[A-Z0-9]{4}$",
+    "GB": r"^[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}$",
+    "US": r"^\d{5}(-\d{4})?$",
+    "CA": r"^[A-Z]\d[A-Z]\s?\d[A-Z]\d$",
+    "RO": r"^\d{6}$",
+    "BG": r"^\d{4}$",
+    "HR": r"^\d{5}$",
+    "SI": r"^\d{4}$",
+    "GR": r"^\d{3}\s?\d{2}$",
+    "TR": r"^\d{5}$",
+    "CN": r"^\d{6}$",
+    "JP": r"^\d{3}-?\d{4}$",
+    "IN": r"^\d{6}$",
+    "AU": r"^\d{4}$",
+}
+
+# -- sentences of the checks of master data and terms beside the client's 17 --------------
+DIRECT_DEBIT_METHODS = ("E", "L")
+TRANSFER_METHODS = ("T", "U")
+VAT_MISSING = "USt-ID nicht gepflegt, Sitzland {country}"
+BANK_MISSING = "Zahlweg {methods} ohne Bankverbindung"
+DUNNING_MISSING = "Mahnverfahren nicht gepflegt"
+DUNNING_PROPOSAL = "Standardverfahren {procedure} eintragen"
+POSTAL_WRONG = "entspricht nicht dem Format für {country}"
+TERMS_DEVIATE = "{n} von {all} Rechnungen mit anderer Zahlungsbedingung"
+TERMS_USED = "{n} von {all} Rechnungen tragen {terms}"
+BANK_ABROAD = "IBAN aus {bank}, Sitz in {country}"
+IBAN_OF_CUSTOMERS = "bei {n} Debitorenkonten hinterlegt, ohne Regulierer-Bezug"
+NEVER_POSTED = "seit Anlage am {day} ohne Posten"
+DISCOUNT_LATE = "Skonto nach Fristablauf auf {n} Rechnungen"
+DISCOUNT_LATE_FORMULA = "Summe der nach Fristablauf gewährten Skonti"
+PAID_BLOCKED = "{n} Zahlungen an ein gesperrtes oder zur Löschung vorgemerktes Konto"
+PAID_BLOCKED_FORMULA = "Summe der Zahlungen der letzten {months} Monate"
