@@ -54,12 +54,69 @@ def test_less_than_a_block_from_target(make_docs, counts):
 def test_given_weights(spark, make_docs):
     weights = spark.createDataFrame([("a", 0.75), ("b", 0.25)], "source string, weight double")
     got, slots = blocks_in_order(make_docs(rows({"a": 900, "b": 300})), weights=weights,
-                                 block_rows=1, period=100)
+                                 block_rows=1)
     check_bound(slots)
     first = [slots[i][0] for i in range(400)]
     assert Counter(first) == {"a": 300, "b": 100}
 
 
+def exact_bound(got, slots, weights, block_rows=1):
+    """At every slot of the mix no source is a block from weight / sum of weights."""
+    from fractions import Fraction
+
+    total = sum(Fraction(w) for w in weights.values())
+    placed, order, length = Counter(), sorted(slots), 0
+    for n, slot in enumerate(order):
+        if not slots[slot][4]:
+            break
+        assert slot == n
+        placed[slots[slot][0]] += 1
+        for s, w in weights.items():
+            assert abs(placed[s] - (n + 1) * Fraction(w) / total) < 1
+        length = n + 1
+    return length
+
+
+@pytest.mark.parametrize("given", [
+    {"a": "0.1234", "b": "0.8766", "c": "0"}, {"a": "0.0004", "b": "0.9996"},
+    {"a": "3", "b": "7", "c": "1"}, {"a": "0.333333333", "b": "0.666666667", "c": "0.000000001"},
+    {"a": "100000", "b": "300000"}])
+def test_given_weights_are_exact(spark, make_docs, given):
+    counts = {"a": 500, "b": 1700, "c": 40}
+    weights = spark.createDataFrame([(s, float(w)) for s, w in given.items()],
+                                    "source string, weight double")
+    got, slots = blocks_in_order(make_docs(rows(counts)), weights=weights, block_rows=1)
+    assert len(got) == sum(counts.values()) == len({r["position"] for r in got})
+    weight = {s: given.get(s, "0") for s in counts}
+    length = exact_bound(got, slots, weight)
+    # the mix goes on until a source with a weight runs out
+    total = sum(map(float, weight.values()))
+    ends = [n * total / float(weight[s]) for s, n in counts.items() if float(weight[s])]
+    assert min([*ends, sum(counts.values())]) - 2 <= length + max(1, total / min(
+        float(w) for w in weight.values() if float(w)))
+    last = [r["source"] for r in sorted(got, key=lambda r: r["position"])]
+    without = {s for s, w in weight.items() if not float(w)}
+    if without:
+        n = sum(counts[s] for s in without)
+        assert set(last[-n:]) == without and not set(last[:-n]) & without
+
+
+def test_weights_of_other_sources_nulls_and_none(spark, make_docs):
+    docs = make_docs(rows({"a": 30, None: 10, "x": 5}))
+    weights = spark.createDataFrame(
+        [("a", 0.5), ("a", 0.25), (None, 0.25), ("gone", 3.0), ("x", None), ("x", float("nan")),
+         ("x", -1.0)], "source string, weight double")
+    got, slots = blocks_in_order(docs, weights=weights, block_rows=1)
+    first = [slots[i][0] for i in range(40)]
+    assert Counter(first) == {"a": 30, None: 10}
+    assert exact_bound(got, slots, {"a": "0.75", None: "0.25"}) == 40
+    nothing = weights.limit(0)
+    got, slots = blocks_in_order(docs, weights=nothing, block_rows=4)
+    assert len(got) == 45 == len({r["position"] for r in got}) and not any(
+        r["in_mix"] for r in got)
+    assert mixing.mix(make_docs([]), weights).count() == 0
+
+
 def test_any_number_of_sources(make_docs):
     counts = {f"s{i:04d}": 1 for i in range(1500)} | {"big": 300}
     got, slots = blocks_in_order(make_docs(rows(counts)), block_rows=1)
