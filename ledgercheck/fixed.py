@@ -378,3 +378,8 @@ DISCOUNT_LATE = "Skonto nach Fristablauf auf {n} Rechnungen"
 DISCOUNT_LATE_FORMULA = "Summe der nach Fristablauf gewährten Skonti"
 PAID_BLOCKED = "{n} Zahlungen an ein gesperrtes oder zur Löschung vorgemerktes Konto"
 PAID_BLOCKED_FORMULA = "Summe der Zahlungen der letzten {months} Monate"
+
+# -- sentences of review ------------------------------------------------------------------
+GROUP_RELEASED = "Über Stichprobe der Regelgruppe freigegeben ({size} von {total} geprüft)"
+ACCEPT_FOUR_EYES = "Bankdaten: Vier-Augen erforderlich – nur Review"
+ACCEPT_CHOOSE = "Erst eine der Optionen wählen"

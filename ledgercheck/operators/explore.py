@@ -8,6 +8,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgercheck import fixed
 from ledgercheck.checks import bank_data, cross_role
 from ledgercheck.checks.contract import Model
 from ledgercheck.checks.records import compare_records
@@ -51,10 +52,10 @@ def rank(column: Column, order: tuple[str, ...]) -> Column:
 def accept_blocked(chosen_option: Column) -> Column:
     """Why a finding cannot be accepted as it is, NULL when it can."""
     return F.when(
-        F.col("damage_class") == 1, F.lit("Bankdaten: Vier-Augen erforderlich – nur Review")
+        F.col("damage_class") == 1, F.lit(fixed.ACCEPT_FOUR_EYES)
     ).when(
         (F.size("proposed.options") > 0) & chosen_option.isNull(),
-        F.lit("Erst eine der Optionen wählen"),
+        F.lit(fixed.ACCEPT_CHOOSE),
     )
 
 

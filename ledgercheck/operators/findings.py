@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JNetworkError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,13 +37,27 @@ class Outcomes:
     failed: dict[str, str] = field(default_factory=dict)
 
 
+# marks of errors that say nothing about a check or its data
+_INFRASTRUCTURE = (
+    "ExecutorLostFailure", "FetchFailed", "java.io.IOException", "java.net.", "OutOfMemoryError",
+    "No space left on device", "SparkContext was shut down", "stopped SparkContext",
+    "MetadataFetchFailed",
+)
+
+
+def of_infrastructure(error: Exception) -> bool:
+    """Lost executors, broken storage or a stopped session, as against a check that fails."""
+    return isinstance(error, (OSError, MemoryError, Py4JNetworkError)) or any(
+        mark in str(error) for mark in _INFRASTRUCTURE)
+
+
 def run_rules(
     model: Model, rules: list[Rule], write: Callable[[str, DataFrame], None]
 ) -> Outcomes:
     """Run every rule whose tables are there and `write` its hits.
 
     A check that fails, be it while it is planned or while it runs, is an outcome of that rule;
-    the others go on.
+    the others go on.  Errors of the infrastructure end the run: the check was not tried.
     """
     def one(rule: Rule) -> tuple[str, str, object]:
         absent = model.missing(rule.requires)
@@ -51,6 +66,8 @@ def run_rules(
         try:
             write(rule.id, with_rule(rule.check(model), rule))
         except Exception as error:  # the reason goes into the report
+            if of_infrastructure(error):
+                raise
             return rule.id, "failed", str(error).strip().splitlines()[0][:300]
         return rule.id, "executed", None
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgercheck import fixed
+from ledgercheck.functions.text import said
 from ledgercheck.operators.explore import is_open, is_releasable
 
 SAMPLE_SIZE = 10
@@ -60,10 +62,7 @@ def group_release(
     released = progress.filter("step = 'release'").select("rule_id", "size")
     totals = findings.groupBy("rule_id").agg(F.count("*").alias("total"))
     rules = released.join(totals, "rule_id")
-    reason = F.concat(
-        F.lit("Über Stichprobe der Regelgruppe freigegeben ("), F.col("size").cast("string"),
-        F.lit(" von "), F.col("total").cast("string"), F.lit(" geprüft)"),
-    )
+    reason = said(fixed.GROUP_RELEASED, size=F.col("size"), total=F.col("total"))
     absent = F.lit(None).cast("string")
     return (
         candidates(findings).select("finding_id", "rule_id").join(rules, "rule_id")

@@ -33,6 +33,7 @@ from ledgercheck.plans.derived import (
     _once,
     all_findings,
     export_folder,
+    flawed_exports,
     model,
     prepared,
     settle_for,
@@ -202,7 +203,8 @@ def file_listing(spark, sf_dir):
 
 @query
 def file_collisions(spark, sf_dir):
-    return files.name_collisions(files.list_files(spark, export_folder(spark, sf_dir))).select(
+    """Tables that several exports claim, in a folder where nations share names."""
+    return files.name_collisions(files.list_files(spark, flawed_exports(spark, sf_dir))).select(
         "table", F.array_join("names", ",").alias("names"))
 
 
@@ -215,7 +217,8 @@ def file_probe(spark, sf_dir):
 
 @query
 def file_header_problems(spark, sf_dir):
-    return files.header_problems(files.probe(spark, export_folder(spark, sf_dir)))
+    """What is wrong with the headers of the same folder."""
+    return files.header_problems(files.probe(spark, flawed_exports(spark, sf_dir)))
 
 
 @query

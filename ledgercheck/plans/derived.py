@@ -63,3 +63,26 @@ def export_folder(spark: SparkSession, sf_dir: str) -> str:
         return folder
 
     return _once(spark, sf_dir, "exports", build)
+
+
+def flawed_exports(spark: SparkSession, sf_dir: str) -> str:
+    """One export per nation with its customers by segment; two nations share a table name, and
+    three of five headers are wrong: a column twice, a blank one, no delimiter."""
+    def build() -> str:
+        folder = work_folder(spark, "flawed")
+        number = F.col("c_nationkey")
+        name = F.concat(F.lit("T"), F.expr("c_nationkey DIV 2"), F.lit("_"), number, F.lit(".txt"))
+        kind = F.expr("c_nationkey % 5")
+        counts = tune(spark).read.parquet(f"{sf_dir}/customer.parquet").groupBy(
+            "c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
+        rows = counts.select(name.alias("name"), F.lit(1).alias("place"), F.concat_ws(
+            "\t", "c_mktsegment", "n", number).alias("value"))
+        header = F.when(kind == 1, "SEG\tN\tSEG").when(kind == 2, "SEG\t\tN").when(
+            kind == 3, "SEG").otherwise("SEG\tN\tLAND")
+        headers = counts.select("c_nationkey").distinct().select(
+            name.alias("name"), F.lit(0).alias("place"), header.alias("value"))
+        rows.union(headers).repartition("name").sortWithinPartitions("name", "place", "value") \
+            .select("name", "value").write.partitionBy("name").text(folder)
+        return folder
+
+    return _once(spark, sf_dir, "flawed", build)

@@ -113,12 +113,16 @@ _NAMES = ", ".join(f"('{t}', '{t}_export.txt')" for t in _TABLES)
 ORACLE["file_listing"] = f"""
 SELECT name, "table" FROM (VALUES {_NAMES}) t("table", name)
 WHERE (SELECT count(*) FROM customer) > 0"""
-ORACLE["file_collisions"] = """
-SELECT c_name AS "table", c_name AS names FROM customer
-GROUP BY c_custkey, c_name HAVING count(*) > 1"""
-ORACLE["file_header_problems"] = """
-SELECT c_name AS name, c_name AS problem, c_name AS "column" FROM customer
-GROUP BY c_custkey, c_name HAVING count(*) > 1"""
+_NATIONS = """(SELECT DISTINCT c_nationkey AS n,
+  'name=T' || c_nationkey // 2 || '_' || c_nationkey || '.txt' AS name FROM customer)"""
+ORACLE["file_collisions"] = f"""
+SELECT 'NAME=T' || n // 2 AS "table", string_agg(name, ',' ORDER BY name) AS names
+FROM {_NATIONS} GROUP BY n // 2 HAVING count(*) > 1"""
+ORACLE["file_header_problems"] = f"""
+SELECT name, CASE n % 5 WHEN 1 THEN 'column twice' WHEN 2 THEN 'blank column name'
+                        ELSE 'no delimiter' END AS problem,
+       CASE n % 5 WHEN 1 THEN 'SEG' WHEN 2 THEN '1' END AS "column"
+FROM {_NATIONS} WHERE n % 5 BETWEEN 1 AND 3"""
 ORACLE["raw_rows"] = with_model("""
 SELECT 'LFB1' AS "table", id AS key, 'Kreditoren für Anlagen' AS value,
        CASE WHEN k % 83 = 7 THEN 2 ELSE 1 END::BIGINT AS n FROM derived WHERE side = 'V'

@@ -3,6 +3,7 @@ import itertools
 import random
 from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import AS_OF, item, make_model, partner
@@ -283,3 +284,12 @@ def test_a_rule_without_its_tables_is_skipped_and_one_that_fails_is_told(spark,
     rows = {r.rule_id: r.status for r in report.rule_outcomes(found, told).collect()}
     assert rows["AR-HYG-001"] == "failed" and rows["AP-LEA-002"] == "skipped"
     assert findings.no_hits(model).count() == 0
+
+
+def test_a_lost_executor_is_no_failed_check(spark):
+    def lost(model):
+        raise RuntimeError("Job aborted: ExecutorLostFailure (executor 3 exited)")
+
+    rule = replace(RULES[0], check=lost, requires=())
+    with pytest.raises(RuntimeError, match="ExecutorLostFailure"):
+        findings.run_rules(make_model(spark), [rule], lambda name, df: None)
