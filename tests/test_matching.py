@@ -242,3 +242,71 @@ def test_paid_on_two_accounts_of_one_vendor(spark):
     assert [(r["bp_key"], r["related_bp_keys"], r["finding_key"]) for r in found] == [
         ("V:2", ["V:1"], "20|30")]
     assert [d["document_no"] for d in found[0]["documents"]] == ["20", "30"]
+
+
+def test_similar_blocks_of_one_name_connect_as_all_pairs(spark, settle):
+    """Copies of a few names on streets that differ by a number, some of which pay for each other:
+    the links connect what all pairs of accounts do, and grow with accounts and not with pairs."""
+    rng = random.Random(5)
+    accounts = [at(f"C:{i:04d}", f"{rng.choice(('Copy', 'Copi'))} Handel" + rng.choice(
+                    ("", "", " GmbH", " AG")), f"Platz {rng.randrange(9)}",
+                   postal_code=rng.choice((None, f"{i:05d}", "86159")),
+                   city=rng.choice((None, "Augsburg", "Bonn"))) for i in range(300)]
+    for row in accounts:
+        if rng.random() < 0.3:
+            row["alt_payer_key"] = rng.choice(accounts)["bp_key"]
+    model = make_model(spark, business_partner=accounts)
+    match = matching.match(model, settle)
+    rows = [r.asDict() for r in match.vectors.collect()]
+    pays = {tuple(r) for r in match.excluded.collect()}
+    words = sorted({(r["name_norm"], r["street_norm"]) for r in rows})
+    weight = {r["word"]: r["weight"] for r in match.weights.collect()}
+    con = duckdb.connect()
+
+    def jw(a, b):
+        return con.execute("SELECT jaro_winkler_similarity(?, ?)", [a, b]).fetchall()[0][0]
+
+    streets = {(a, b): jw(a, b) for a in {s for _, s in words} for b in {s for _, s in words}}
+    names_ = {n for n, _ in words}
+
+    def name_sim(a, b):
+        x, y = a.split(), b.split()
+        best = [weight[v] * max(jw(v, w) for w in o) for s, o in ((x, y), (y, x)) for v in s]
+        return sum(best) / sum(weight[v] for v in x + y)
+
+    sims = {(a, b): name_sim(a, b) for a in names_ for b in names_}
+    form = ("role", *matching.CLASS[1:])
+
+    def similar(a, b):
+        if all(a[c] == b[c] for c in form):
+            return True
+        place = a["postal_code"] is not None and a["postal_code"] == b["postal_code"]
+        if not place and a["name_norm"] != b["name_norm"]:
+            return False
+        town = a["city_norm"] == b["city_norm"]
+        forms = (a["legal_form_norm"], b["legal_form_norm"])
+        return ((place or town and a["city_norm"] is not None)
+                and sims[a["name_norm"], b["name_norm"]] >= matching.JW_NAME
+                and streets[a["street_norm"], b["street_norm"]] >= matching.JW_STREET
+                and (None in forms or forms[0] == forms[1]))
+
+    pairs = [(a["bp_key"], b["bp_key"]) for a, b in itertools.combinations(
+        sorted(rows, key=lambda r: r["bp_key"]), 2)
+        if similar(a, b) and (a["bp_key"], b["bp_key"]) not in pays]
+    links = [(r["u"], r["v"]) for r in match.links.collect()]
+    assert {tuple(sorted(x)) for x in links} <= set(pairs)
+    keys = {r["bp_key"] for r in rows}
+    assert parts(keys, links) == parts(keys, pairs)
+
+
+def test_candidates_in_chunks_are_all_pairs(spark, settle, monkeypatch):
+    """Classes of one name meet once each, however many travel in a row; no link lists them."""
+    monkeypatch.setattr(matching, "CHUNK", 7)
+    n = 400
+    accounts = [at(f"C:{i:04d}", "Copy", f"Platz {i % 3}", postal_code=f"{i:05d}")
+                for i in range(n)]
+    match = matching.match(make_model(spark, business_partner=accounts), settle)
+    pairs = [(r["u"], r["v"]) for r in match.candidates.collect()]
+    assert sorted(pairs) == list(itertools.combinations([a["bp_key"] for a in accounts], 2))
+    assert match.links.count() < 2 * n
+    assert [r["members"] for r in match.clusters.collect()] == [n]
