@@ -234,11 +234,20 @@ def postings_of(own: np.ndarray, level: np.ndarray, boundary: int):
     return np.concatenate(keys), np.concatenate(kinds)
 
 
+def runs_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of an ascending array, and how often each stands in it.
+
+    Most postings of a bucket are the only one of their set: such counts shrink to nothing in a
+    shuffle, which the place of the set beside every posting does not."""
+    used, counts = np.unique(at, return_counts=True)
+    return used, counts.astype(np.uint32)
+
+
 def stars(docs: DataFrame, level: np.ndarray, boundary: int, buckets: int) -> DataFrame:
     """(key, kind, rep, rep_size, node, size): each set of a list with the first one entered in it.
     Lists of one set, or without an entry, give no row."""
     shared = docs.sparkSession.sparkContext.broadcast((level, boundary))  # 4 MB
-    blobs = fields("bucket int, late int, keys binary, kinds binary, at binary, nodes binary, "
+    blobs = fields("bucket int, late int, keys binary, kinds binary, counts binary, nodes binary, "
                    "sizes binary")
     blob_types = to_arrow_schema(blobs)
 
@@ -252,10 +261,10 @@ def stars(docs: DataFrame, level: np.ndarray, boundary: int, buckets: int) -> Da
         out = {f.name: [] for f in blob_types}
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             mine = order[cuts[b]:cuts[b + 1]]
-            used, place = np.unique(at[mine], return_inverse=True)
+            used, counts = runs_of(at[mine])
             for name, value in (("bucket", b // 2), ("late", b % 2), ("keys", keys[mine].tobytes()),
                                 ("kinds", kinds[mine].tobytes()),
-                                ("at", place.astype(np.uint32).tobytes()),
+                                ("counts", counts.tobytes()),
                                 ("nodes", nodes[used].tobytes()),
                                 ("sizes", sizes[used].tobytes())):
                 out[name].append(value)
@@ -342,10 +351,10 @@ def stars(docs: DataFrame, level: np.ndarray, boundary: int, buckets: int) -> Da
                     if bucket != now[0]:
                         state = Bucket()
                     now = (bucket, late)
-                k, kind, at, nodes, sizes = (
+                k, kind, counts, nodes, sizes = (
                     np.frombuffer(x.as_buffer(), kind) for x, kind in zip(
                         row, (np.uint64, np.uint8, np.uint32, np.int64, np.int32)))
-                state.take(late, k, kind, nodes[at], sizes[at])
+                state.take(late, k, kind, np.repeat(nodes, counts), np.repeat(sizes, counts))
         out = state.flush()
         if out is not None:
             yield out

@@ -105,3 +105,16 @@ def test_groups_with_one_id_or_none_all_stay(make_docs):
 def test_empty_table(make_docs):
     assert result(make_docs([])) == []
     assert J.keep_one(make_docs([])).count() == 0
+
+
+def test_postings_of_single_sets_pack_small():
+    """Counts in place of places: what a bucket of sets with one posting each says is constant."""
+    import zlib
+
+    import numpy as np
+
+    at = np.sort(np.random.default_rng(1).choice(1 << 20, 5000, replace=False))
+    at = np.concatenate([at, at[-1:]])
+    used, counts = J.runs_of(at)
+    assert (np.repeat(used, counts) == at).all() and counts.dtype == np.uint32
+    assert len(zlib.compress(counts.tobytes(), 1)) < len(at) // 4
