@@ -146,3 +146,16 @@ def test_every_mapped_field_names_a_canonical_column():
             names = {c.name for c in CANONICAL[spec.main_target]}
             targets = {t for t in spec.fields.values() if "." not in t}
             assert targets <= names, (spec.name, targets - names)
+
+
+def test_tables_are_made_when_asked_for_and_once():
+    from ledgercheck.checks.contract import LazyModel
+    from ledgercheck.session import Stages
+
+    made = []
+    tables = Stages("abc", lambda name: made.append(name) or name.upper())
+    model = LazyModel(tables, lambda: made.append("dates") or (1, 2), {}).having({"b": "own"})
+    assert model["b"] == "own" and model.missing(("a", "x")) == ["x"] and made == []
+    assert model["a"] == model["a"] == "A" and made == ["a"]
+    assert model.as_of == 1 and made == ["a", "dates"]
+    assert sorted(tables.all().values()) == ["A", "B", "C"] and sorted(made) == ["a", "b", "c", "dates"]
