@@ -147,3 +147,41 @@ def test_finding_id_is_a_hash_of_all_its_columns(spark):
 def test_every_vat_pattern_starts_with_its_prefix():
     # the prefix join of the pattern table relies on it
     assert all(p.startswith(f"^{prefix}") for prefix, p in VAT_PATTERNS.items())
+
+
+def test_plain_texts_are_read_as_by_the_steps(spark):
+    """A text written plainly is read without the steps, and with the same result and proof."""
+    shapes = ["7", "12,3", "12.30", "1.234", "1,234", "1.234,50", "1,234.50", "1.234.567,8",
+              "12.34,56", "9999999999999.99", "99999999999999", "0000000000000.10", "123.456.7",
+              ",5", ".5", "5.", "1,234,567", "1.2345", "1 234,50", "", "12a", "99,125", "100,5"]
+    texts = [f"{before}{t}{after}" for t in shapes for before in ("", "-", "+", " ")
+             for after in ("", "-", "+", "\n")] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    given = {}
+    for kind, notation in (("amount", "de"), ("amount", "iso"), ("amount", None),
+                           ("percent", None)):
+        steps = numbers.by_steps(F.col("t"), kind, F.lit(notation).cast("string"))
+        quick = numbers.plain(F.col("t"), kind)
+        given[f"{kind}_{notation}"] = F.struct(
+            quick.alias("quick"), steps.alias("steps"))
+    bare = numbers.body(F.col("t"))
+    proof = numbers._proof(bare, numbers.shape(bare))
+    rows = df.select("t", numbers.value_notation(F.col("t")).alias("proof"),
+                     proof.alias("by_shape"),
+                     *[c.alias(n) for n, c in given.items()]).collect()
+    read = 0
+    for row in rows:
+        assert row["proof"] == row["by_shape"], row["t"]
+        for name in given:
+            if row[name]["quick"] is not None:
+                read += 1
+                assert row[name]["quick"] == row[name]["steps"], (name, row["t"])
+    assert read > 50
+
+
+def test_amounts_of_a_table_are_typed_in_one_projection(spark):
+    """No row is copied from step to step: the typing of all amount columns is one projection."""
+    df = spark.range(3).selectExpr("CAST(id AS STRING) AS a", "CAST(id * 2 AS STRING) AS b")
+    made = numbers.parse_columns(df, {"a": "amount", "b": "percent"}, F.lit("de"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Project") == 1
