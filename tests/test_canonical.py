@@ -1,6 +1,13 @@
 import pytest
 
-from ledgercheck.operators.canonical import Scope, build_canonical, conservation, ibans
+from ledgercheck.operators.canonical import (
+    Scope,
+    build_canonical,
+    conservation,
+    ibans,
+    key_places,
+    with_place,
+)
 from ledgercheck.operators.staging import stage
 from ledgercheck.plans.run import Settler
 from ledgercheck.session import work_folder
@@ -159,3 +166,15 @@ def test_tables_are_made_when_asked_for_and_once():
     assert model["a"] == model["a"] == "A" and made == ["a"]
     assert model.as_of == 1 and made == ["a", "dates"]
     assert sorted(tables.all().values()) == ["A", "B", "C"] and sorted(made) == ["a", "b", "c", "dates"]
+
+
+def test_only_keys_in_question_are_asked(spark, settle):
+    """Rows are shuffled for their key only where a bit of the keys used twice is set; null keys and
+    tables without such keys included."""
+    rows = spark.sql("SELECT CASE WHEN id <> 7 THEN CAST(id AS STRING) END AS k FROM range(5000)")
+    twice = rows.filter("CAST(k AS INT) % 100 = 3")
+    asked = with_place(rows, ["k"], settle(key_places(twice, ["k"]), "places")).filter("_asked")
+    found = {r["k"] for r in asked.collect()}
+    assert {str(i) for i in range(3, 5000, 100)} <= found and len(found) < 60
+    none = with_place(rows, ["k"], settle(key_places(twice.limit(0), ["k"]), "none"))
+    assert none.count() == 5000 and none.filter("_asked").isEmpty()
