@@ -293,3 +293,22 @@ def test_a_lost_executor_is_no_failed_check(spark):
     rule = replace(RULES[0], check=lost, requires=())
     with pytest.raises(RuntimeError, match="ExecutorLostFailure"):
         findings.run_rules(make_model(spark), [rule], lambda name, df: None)
+
+
+def test_small_and_large_groups_of_invoices_have_the_same_matches(spark):
+    """Compared one by one and by keys; only large groups make keys."""
+    rng = random.Random(11)
+    rows = [item("V:1", amount_doc="50.00", posting_date=DAY + dt.timedelta(days=rng.randrange(300)),
+                 reference_norm="".join(rng.choice("12") for _ in range(rng.randrange(0, 5))))
+            for _ in range(double_payment.SMALL_GROUP)]
+    model = make_model(spark, business_partner=[partner("V:1")], fi_item=rows)
+    invoices = double_payment.repeated_amounts(double_payment.paid_invoices(model))
+    one_by_one = double_payment.matches_one_by_one(invoices)
+    by_keys = double_payment.matches_by_keys(invoices)
+    assert sorted(map(tuple, one_by_one.collect())) == sorted(map(tuple, by_keys.collect()))
+    assert one_by_one.count() > 30
+    assert {r.in_group for r in invoices.select("in_group").distinct().collect()} == {
+        double_payment.SMALL_GROUP}
+    assert "explode" not in one_by_one._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted(map(tuple, double_payment.nearest_matches(invoices).collect())) == sorted(
+        map(tuple, one_by_one.collect()))
