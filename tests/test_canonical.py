@@ -6,6 +6,7 @@ from ledgercheck.operators.canonical import (
     conservation,
     ibans,
     key_places,
+    repeated_places,
     with_place,
 )
 from ledgercheck.operators.staging import stage
@@ -178,3 +179,29 @@ def test_only_keys_in_question_are_asked(spark, settle):
     assert {str(i) for i in range(3, 5000, 100)} <= found and len(found) < 60
     none = with_place(rows, ["k"], settle(key_places(twice.limit(0), ["k"]), "none"))
     assert none.count() == 5000 and none.filter("_asked").isEmpty()
+
+
+def test_rows_are_read_once_for_the_places_of_repeated_keys(spark, settle):
+    """All keys used twice have their bit, null keys none; the keys are not joined for that."""
+    rows = spark.sql("SELECT CASE WHEN id % 50 <> 7 THEN CAST(id % 4900 AS STRING) END AS k "
+                     "FROM range(5000)")
+    places = repeated_places(rows, ["k"])
+    assert "join" not in places._jdf.queryExecution().optimizedPlan().toString().lower()
+    asked = {r["k"] for r in with_place(rows, ["k"], settle(places, "places")).filter(
+        "_asked").collect()}
+    assert {str(i) for i in range(100) if i % 50 != 7} <= asked and len(asked) < 110
+
+
+def test_only_rows_of_repeated_keys_are_kept_aside(spark, settle):
+    """What is kept aside for a verdict are rows of keys used twice; keys are in no table."""
+    made = {}
+
+    def noted(df, name):
+        made[name] = settle(df, name)
+        return made[name]
+
+    rows = [dict(ITEM, KUNNR="1", BELNR=f"{i}") for i in range(40)] + [
+        dict(ITEM, KUNNR="1", BELNR="7")]
+    model = build_canonical(staged(spark, KNA1=customers("1"), BSID=rows), settle=noted)
+    assert made["fi_item-asked"].count() == 2 and "fi_item-twice" not in made
+    assert model["fi_item"].count() == 39 and len(reasons(model)) == 2
