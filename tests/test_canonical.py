@@ -205,3 +205,14 @@ def test_only_rows_of_repeated_keys_are_kept_aside(spark, settle):
     model = build_canonical(staged(spark, KNA1=customers("1"), BSID=rows), settle=noted)
     assert made["fi_item-asked"].count() == 2 and "fi_item-twice" not in made
     assert model["fi_item"].count() == 39 and len(reasons(model)) == 2
+
+
+def test_a_place_is_a_bit_of_a_number(spark, settle):
+    """No text is made of a byte to look at its bit, and the last bit of a word counts as well."""
+    rows = spark.sql("SELECT CAST(id AS STRING) AS k FROM range(3000)")
+    places = settle(key_places(rows.filter("CAST(k AS INT) % 2 = 0"), ["k"]), "bits")
+    marked = with_place(rows, ["k"], places)
+    plan = marked._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "conv(" not in plan and "hex(" not in plan
+    assert marked.filter("CAST(k AS INT) % 2 = 0 AND NOT _asked").isEmpty()
+    assert marked.filter("CAST(k AS INT) % 2 = 1 AND _asked").count() < 10
