@@ -216,3 +216,28 @@ def test_a_place_is_a_bit_of_a_number(spark, settle):
     assert "conv(" not in plan and "hex(" not in plan
     assert marked.filter("CAST(k AS INT) % 2 = 0 AND NOT _asked").isEmpty()
     assert marked.filter("CAST(k AS INT) % 2 = 1 AND _asked").count() < 10
+
+
+def test_rows_are_written_once_with_their_place(spark, settle):
+    """The rows in question are a part of the one written table; no second pass looks for them."""
+    made = {}
+
+    def noted(df, name):
+        made[name] = settle(df, name)
+        return made[name]
+
+    rows = [dict(ITEM, KUNNR="1", BELNR=f"{i}") for i in range(40)] + [
+        dict(ITEM, KUNNR="1", BELNR="7")]
+    model = build_canonical(staged(spark, KNA1=customers("1"), BSID=rows), settle=noted)
+    assert made["fi_item-marked"].count() == 41 and "fi_item" not in made
+    assert sorted(r.item_key for r in model["fi_item"].select("item_key").collect()) == sorted(
+        r.item_key for r in made["fi_item-marked"].filter("NOT _asked").select("item_key").collect())
+    assert made["fi_item-marked"].filter("_asked").count() == 2
+
+
+def test_few_other_rows_are_asked_beside_many_repeated_keys(spark, settle):
+    rows = spark.sql("SELECT CAST(id AS STRING) AS k FROM range(1200000)")
+    places = settle(key_places(rows.filter("CAST(k AS INT) < 1000000"), ["k"]), "bits")
+    marked = with_place(rows, ["k"], places)
+    assert marked.filter("CAST(k AS INT) < 1000000 AND NOT _asked").isEmpty()
+    assert marked.filter("CAST(k AS INT) >= 1000000 AND _asked").count() < 3000   # of 200000

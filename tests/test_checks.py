@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from conftest import AS_OF, item, make_model, partner
 
-from ledgercheck.checks import bank_data, cross_role, double_payment, items, master_data
+from ledgercheck.checks import (
+    bank_data,
+    cross_role,
+    double_payment,
+    duplicates,
+    items,
+    master_data,
+)
 from ledgercheck.checks.rules import RULE_BY_ID, RULES
 from ledgercheck.operators import explore, findings, report
 from ledgercheck.plans import derived
@@ -324,6 +331,32 @@ def test_a_broadcast_that_breaks_off_is_no_failed_check(spark):
         findings.run_rules(make_model(spark), [rule], lambda name, df: None)
 
 
+def test_invoices_that_may_pair_are_written_once_and_read_with_their_account(spark, settle):
+    rows = [item(v, amount_doc="50.00", reference_norm="R1", reference="R1", document_no=f"{i:010d}")
+            for i, v in enumerate(("V:1", "V:2", "V:1", "V:3"))]
+    model = make_model(spark, business_partner=[partner(f"V:{i}") for i in (1, 2, 3)], fi_item=rows)
+    made, asked = [], []
+
+    class Noted(dict):
+        def __getitem__(self, name):
+            asked.append(name)
+            return super().__getitem__(name)
+
+    def noted(df, name):
+        made.append(name)
+        return settle(df, f"{name}-{len(made)}")
+
+    model = replace(model, tables=Noted(model.tables), settle=noted)
+    assert [r.finding_key for r in double_payment.double_payment(model).collect()] == [
+        "0000000000|0000000002"]
+    assert made == ["paid-invoices"]
+    asked.clear()
+    members = spark.createDataFrame([("V:1", "V:1"), ("V:2", "V:1")], "bp_key string, cluster_id string")
+    found = duplicates.paid_on_two_accounts(model, members)
+    assert made == ["paid-invoices"] * 2 and asked.count("fi_item") == 1
+    assert [(r.bp_key, r.related_bp_keys) for r in found.collect()] == [("V:1", ["V:2"])]
+
+
 def test_small_and_large_groups_of_invoices_have_the_same_matches(spark):
     """Compared one by one and by keys; only large groups make keys."""
     rng = random.Random(11)
