@@ -10,7 +10,7 @@ from ledgercheck.plans.bridge import raw_exports
 from ledgercheck.plans.catalog import _digit, query
 from ledgercheck.plans.derived import all_findings, model, settle_for
 from ledgercheck.plans.run import documents_union
-from ledgercheck.session import tune, work_folder
+from ledgercheck.session import tune_tables, work_folder
 from ledgercheck.sources.mapping import filled_columns, tell_tables
 
 _COMPARED = ["tier", "impact", "current_value"]
@@ -79,7 +79,7 @@ def told_tables(spark, sf_dir):
     """The tables of the derived exports by the columns that have values; their names are not
     used.  Cleared items also fit the open ones, so they are ambiguous."""
     parts = [filled_columns(df.drop("_row_no"), f"file-{i:02d}") for i, (_, df) in enumerate(
-        sorted(raw_exports(tune(spark), sf_dir).items()))]
+        sorted(raw_exports(tune_tables(spark), sf_dir).items()))]
     return tell_tables(documents_union(parts))
 
 
